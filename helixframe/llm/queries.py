@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .packing import pack_documents
 from .sharding import shard_documents
+from .simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +20,10 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -27,10 +33,16 @@ def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, temperature=0.5, epochs=1.0, seed=17, copy="copy", rate="rate", shuffle_key="shuffle_key")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+
+
 QUERIES: dict[str, Query] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_poisson_mixing": op5_poisson_mixing,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE: dict[str, str] = {
