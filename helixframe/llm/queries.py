@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_id import identify
 from .mixing import mix_sources
 from .packing import pack_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,11 +30,19 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mix_sources(docs, temperature=0.5, epochs=1.0, seed=17, copy="copy", rate="rate", shuffle_key="shuffle_key")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
@@ -41,7 +51,9 @@ QUERIES: dict[str, Query] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_poisson_mixing": op5_poisson_mixing,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 
