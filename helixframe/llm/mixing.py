@@ -16,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_side, unit_hash
+from .common import fresh, unit_hash
 
 #: Mean repetitions of a source; exp(-rate) stays a normal number.
 MAX_RATE = 200.0
+#: Up to so many sources their rates are broadcast; more are joined by a shuffle.
+FEW_SOURCES = 10_000
 
 
 def poisson_cdf(rate: Column) -> Column:
@@ -63,10 +65,11 @@ def mix_sources(df: DataFrame, key: str = "doc_id", source: str = "source", weig
     rates = source_rates(df, source, weights, temperature, epochs, size)
     s, r, c, k, o = (fresh(df, x) for x in ("_mix_source", "_mix_rate", "_mix_cdf", "_mix_copy", "_mix_order"))
     spark = df.sparkSession
-    kept = rates.collect() if rates.limit(10_001).count() <= 10_000 else None  # few sources: their rates are read once
-    if kept is not None:
-        rates = spark.createDataFrame(kept, rates.schema).coalesce(1)
-    rates = small_side(rates.select(F.col("source").alias(s), F.col("rate").alias(r), F.col("cdf").alias(c)), len(kept) if kept is not None else 1 << 40, 2000)
+    few = rates.limit(FEW_SOURCES + 1).collect()
+    if len(few) <= FEW_SOURCES:
+        rates = spark.createDataFrame(few, rates.schema).coalesce(1)
+    rates = rates.select(F.col("source").alias(s), F.col("rate").alias(r), F.col("cdf").alias(c))
+    rates = F.broadcast(rates) if len(few) <= FEW_SOURCES else rates
     u = unit_hash(F.lit(seed), F.col(key))
     count = F.size(F.filter(F.col(c), lambda x: x < u))
     drawn = (

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extract import extract_pages
 from .language_id import identify
 from .mixing import mix_sources
+from .nearest import nearest
 from .packing import pack_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .substring_dedup import repeated_spans
 from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +42,18 @@ def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, temperature=0.5, epochs=1.0, seed=17, copy="copy", rate="rate", shuffle_key="shuffle_key")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +68,9 @@ QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
     "op5_poisson_mixing": op5_poisson_mixing,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
