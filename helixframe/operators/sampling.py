@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def key_order(key: str, seed: int = 42) -> Column:
-    """An arithmetic shuffle of integer keys."""
-    return F.pmod(F.col(key).cast("long") * 2654435761 + seed, F.lit(4294967291))
+    """An arithmetic shuffle of integer keys; other keys are hashed first."""
+    number = F.coalesce(F.col(key).try_cast("long"), F.xxhash64(key))
+    return F.pmod(F.pmod(number, F.lit(1 << 31)) * 2654435761 + seed, F.lit(4294967291))
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
