@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, small_side
+from .common import cut, fresh
 
 #: Bytes of a chunk: at least, at most, and the bits that end one (32 more bytes on average).
 LEAST, MOST, CUT_BITS = 16, 128, 5
@@ -91,7 +91,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_s
     """doc_id, start, end, n_chunks, source_doc_id (of its first chunk, the smallest id that holds it) of every repeated span."""
     first = chunked(df, key, text, places=False).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared = cut(first.filter("first < last").select("h1", "h2", "first"))
-    hits = chunked(df, key, text).join(small_side(shared, shared.count(), 64), ["h1", "h2"]).filter("doc_id > first")
+    hits = chunked(df, key, text).join(shared, ["h1", "h2"]).filter("doc_id > first")  # a shuffle at every size; skewed digests are split at run time
     hits = hits.select("doc_id", "start", (F.col("start") + F.col("length")).alias("end"), "first")
     by = Window.partitionBy("doc_id").orderBy("start")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
