@@ -208,3 +208,24 @@ def top_organism(name: str | Column) -> Column:
     """After the last bar and before the first comma, or before the first underscore."""
     x = _col(name)
     return F.when(x.contains("|"), F.trim(F.substring_index(F.substring_index(x, "|", -1), ",", 1))).otherwise(F.substring_index(x, "_", 1))
+
+
+def collapse_label(label: str | Column) -> Column:
+    """Viral 1, cellular kinds 0, any other null."""
+    x = _col(label)
+    return F.when(x.isin("chromosome", "plasmid"), 0).when(x == "viral", 1)
+
+
+def gc_bin(share: str | Column, edges: tuple[float, ...] = (0.3, 0.4, 0.5, 0.6, 0.7)) -> Column:
+    """Half-open bins of a share, named in percent."""
+    x = _col(share)
+    out = F.when(x < edges[0], f"<{edges[0]:.0%}")
+    for lo, hi in zip(edges, edges[1:]):  # noqa: B905
+        out = out.when(x < hi, f"{lo:.0%}-{hi:.0%}")
+    return out.otherwise(f">={edges[-1]:.0%}")
+
+
+def mapped(name: str | Column, table: dict[str, str], other: str) -> Column:
+    """An exact lookup in a small table."""
+    x = _col(name)
+    return F.coalesce(*(F.when(x == k, F.lit(v)) for k, v in table.items()), F.lit(other))

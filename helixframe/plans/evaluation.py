@@ -209,6 +209,6 @@ def topk_uncertain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("doc_id", F.abs(F.col("score") - 0.5).alias("m")).orderBy("m", "doc_id").limit(20).select("doc_id", six("m").alias("margin"))
 
 
-@query(f"""WITH s AS ({_S}) SELECT doc_id, round(score, 6) AS score, CASE WHEN score >= 0.7 THEN 'viral' WHEN score <= 0.3 THEN 'non_viral' ELSE 'borderline' END AS triage, CASE WHEN score > 0.8 THEN 1 WHEN score < 0.2 THEN 0 END AS pseudo_label FROM s""")
+@query(f"""WITH s AS ({_S}) SELECT doc_id, round(score, 6) AS score, CASE WHEN score >= 0.7 THEN 'viral' WHEN score <= 0.3 THEN 'non_viral' ELSE 'borderline' END AS triage, CASE WHEN score > 0.8 THEN 1 WHEN score < 0.2 THEN 0 ELSE -1 END AS pseudo_label FROM s""")
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("doc_id", six("score").alias("score"), rules.triage("score").alias("triage"), rules.pseudo_label("score").alias("pseudo_label"))
+    return _scored(spark, sf_dir).select("doc_id", six("score").alias("score"), rules.triage("score").alias("triage"), F.coalesce(rules.pseudo_label("score"), F.lit(-1)).alias("pseudo_label"))

@@ -138,3 +138,50 @@ def read_intervals_json(spark: SparkSession, paths: list[str]) -> DataFrame:
     for f in frames[1:]:
         both = both.unionByName(f)
     return both.groupBy("gene").agg(F.max_by("v", "o").alias("v")).select("gene", "v.*")
+
+
+def read_npz(spark: SparkSession, path: str) -> DataFrame:
+    """(sequence_id, embedding) of archives of `sequence_ids` and `embeddings`; nothing pickled is read."""
+    import io
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for body in pdf["content"]:
+                with np.load(io.BytesIO(body), allow_pickle=False) as z:
+                    ids, x = z["sequence_ids"].astype(str), z["embeddings"]
+                    for at in range(0, len(ids), 1024):
+                        yield pd.DataFrame({"sequence_id": ids[at : at + 1024], "embedding": list(x[at : at + 1024].astype(np.float32).tolist())})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(each, "sequence_id string, embedding array<float>")
+
+
+def match_files(ids: DataFrame, files: DataFrame, key: str = "sequence_id", path: str = "path") -> DataFrame:
+    """ids with the file named for each: the safe name of at most 80 letters, else a file that shares its first 40; the smaller path on a tie."""
+    safe = F.substring(F.replace(F.col(key), F.lit("/"), F.lit("_")), 1, 80)
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    by = files.select(F.col(path).alias("_path"), stem.alias("_stem"))
+    exact = by.groupBy("_stem").agg(F.min("_path").alias("_exact"))
+    near = by.groupBy(F.substring("_stem", 1, 40).alias("_head")).agg(F.min("_path").alias("_near"))
+    named = ids.withColumn("_stem", safe).withColumn("_head", F.substring(safe, 1, 40))
+    out = named.join(exact, "_stem", "left").join(near, "_head", "left")
+    return out.withColumn(path, F.coalesce("_exact", "_near")).drop("_stem", "_head", "_exact", "_near")
+
+
+def coded_by(text: str | Column) -> Column:
+    """Struct of a `coded_by` qualifier: accession, whether it is on the other strand, and its parts (start from 1, end)."""
+    c = F.col(text) if isinstance(text, str) else text
+    spans = F.regexp_extract_all(c, F.lit(r"[<>]?(\d+)\.\.[<>]?(\d+)"), 0)
+    number = lambda x, i: F.regexp_extract(x, r"(\d+)\.\.[<>]?(\d+)", i).cast("long")
+    parts = F.transform(spans, lambda x: F.struct(number(x, 1).alias("start"), number(x, 2).alias("end")))
+    return F.struct(F.regexp_extract(c, r"([A-Za-z_0-9.]+):", 1).alias("accession"), c.startswith("complement").alias("reverse"), parts.alias("parts"))
+
+
+def coding_sequence(sequence: str | Column, coded: Column) -> Column:
+    """The parts of a sequence joined, turned around on the other strand."""
+    s = F.col(sequence) if isinstance(sequence, str) else sequence
+    joined = F.array_join(F.transform(coded["parts"], lambda p: F.substring(s, p["start"].cast("int"), (p["end"] - p["start"] + 1).cast("int"))), "")
+    return F.when(coded["reverse"], F.reverse(F.translate(joined, "ACGTacgt", "TGCAtgca"))).otherwise(joined)

@@ -75,3 +75,30 @@ def html_report(title: str, summary: dict, sections: dict[str, DataFrame], most:
         parts.append(f"<h2>{escape(name)}</h2>{body}")
     style = ".row{display:flex;gap:8px}.row i{background:#4477aa;height:12px;display:block}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:2px 6px}"
     return f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title><style>{style}</style></head><body>{''.join(parts)}</body></html>"
+
+
+def detection_report(result: DataFrame, bins: int = 50) -> str:
+    """Histogram, classes, cumulative share and the table by score of a detection."""
+    from ..operators import metrics as M
+
+    n = result.agg(F.count(F.lit(1)).alias("contigs"), F.avg("viral_score").alias("mean score"), F.median("viral_score").alias("median score")).first()
+    steps = M.histogram(result, "viral_score", 0.0, 1.0, bins).orderBy("bin")
+    total = float(n["contigs"] or 1)
+    from pyspark.sql import Window
+
+    cdf = steps.select("bin", F.round(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("bin")) / total, 4).alias("share"))
+    sections = {"Scores": steps, "Classes": result.groupBy("classification").count().orderBy("classification"), "Cumulative share": cdf, "Contigs": result.select("contig_id", "contig_length", "viral_score", "classification").orderBy(F.desc("viral_score"), "contig_id")}
+    return html_report("Detection", n.asDict(), sections)
+
+
+def training_report(predictions: DataFrame, classes: list[str], label: str = "label") -> str:
+    """Confusion table, metrics by class, ROC points and calibration of held-out predictions (label, probabilities)."""
+    from ..functions import vec
+    from ..operators import metrics as M
+
+    rows = predictions.withColumn("pred", vec.first_argmax("probabilities")).withColumn("p", F.col("probabilities")[1])
+    positive = F.col(label) == 1
+    sections = {"Confusion": M.confusion(rows, label, "pred").orderBy("truth", "pred"), "By class": M.per_class(rows, label, "pred").orderBy("label")}
+    if len(classes) == 2:
+        sections |= {"ROC": M.roc_points(rows, positive, "p").orderBy(F.desc("threshold")), "Calibration": M.calibration_bins(rows, positive, "p").orderBy("bin")}
+    return html_report("Training", M.weighted_metrics(rows, label, "pred").first().asDict() | {"classes": ", ".join(classes)}, sections)

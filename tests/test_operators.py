@@ -308,3 +308,22 @@ def test_classifier_trains_calibrates_and_comes_back(spark, tmp_path):
     assert a == b and back.classes == ["cellular", "viral"] and len(ml.importances(back, "abcde")) == 5
     ci = {r.metric: r for r in ml.bootstrap(held.withColumn("t", F.col("label") == 1), F.col("t"), vec.first_argmax("probabilities") == 1).collect()}
     assert ci["accuracy"].low <= ci["accuracy"].value <= ci["accuracy"].high
+
+
+def test_ami_of_equal_and_unrelated_labels(spark):
+    from helixframe.operators.panels import adjusted_mutual_information as ami
+
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 4, (400, 2))], "a int, b int")
+    assert abs(ami(df, "a", "b")) < 0.03 and ami(df.withColumn("c", F.col("a") + 7), "a", "c") > 0.999
+
+
+def test_routing_and_panels(spark):
+    from helixframe.operators import panels
+
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "k string")
+    assert {r.k: r.source for r in panels.route(ids("a", "b", "c"), [("x", ids("a")), ("y", ids("a", "b"))], "k").collect()} == {"a": "x", "b": "y", "c": "none"}
+    df = spark.createDataFrame([("g", "Homo sapiens A", 1), ("g", "Homo sapiens B", 2), ("g", "Mus musculus", 3), ("g", "Rattus rattus", 4)], "g string, o string, i int")
+    assert [r.i for r in panels.capped_panel(df, "g", "o", "i", 2).orderBy("i").collect()] == [1, 3]
+    got = {r.a: r.b for r in panels.contains_join(ids("ab", "hello world", "zz").withColumnRenamed("k", "a"), spark.createDataFrame([("xxabxx", 1), ("world", 0), ("lo", 2)], "b string, o int"), "a", "b", "o").collect()}
+    assert got == {"ab": "xxabxx", "hello world": "world", "zz": None}

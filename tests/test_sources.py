@@ -187,3 +187,24 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         windows.ingest(stream, lambda b: b.select("event_id", "value"), "event_id", str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+
+
+def test_archives_files_and_coded_regions(spark, tmp_path):
+    import numpy as np
+
+    np.savez(tmp_path / "e.npz", sequence_ids=np.array(["a", "b"]), embeddings=np.ones((2, 3), np.float32))
+    assert {(r.sequence_id, tuple(r.embedding)) for r in features.read_npz(spark, str(tmp_path / "e.npz")).collect()} == {("a", (1, 1, 1)), ("b", (1, 1, 1))}
+    long = "L" * 45
+    ids = spark.createDataFrame([("x/1",), (long + "tail",), ("none",)], "sequence_id string")
+    files = spark.createDataFrame([("/d/x_1.npy",), (f"/d/{long}other.npy",), (f"/d/{long}zz.npy",)], "path string")
+    assert {r.sequence_id: r.path for r in features.match_files(ids, files).collect()} == {"x/1": "/d/x_1.npy", long + "tail": f"/d/{long}other.npy", "none": None}
+    coded = features.coded_by(F.lit("complement(join(AB_1.2:1..3,AB_1.2:<7..>8))"))
+    r = spark.range(1).select(coded.alias("c"), features.coding_sequence(F.lit("AACGTTGC"), coded).alias("s")).first()
+    assert (r.c.accession, r.c.reverse, [tuple(p) for p in r.c.parts], r.s) == ("AB_1.2", True, [(1, 3), (7, 8)], "GCGTT")
+
+
+def test_report_pages(spark):
+    res = spark.createDataFrame([("a", 500, 0.9, "viral"), ("b", 600, 0.1, "cellular")], "contig_id string, contig_length int, viral_score double, classification string")
+    assert "Cumulative share" in sinks.detection_report(res)
+    pred = spark.createDataFrame([(1, [0.1, 0.9]), (0, [0.8, 0.2])], "label int, probabilities array<double>")
+    assert "Calibration" in sinks.training_report(pred, ["cellular", "viral"])
