@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch that are turned into Python objects at once.
+SLICE = 512
 #: Most bytes of a side that is broadcast; a larger side is shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -60,3 +64,10 @@ def unit_hash(*parts: Column) -> Column:
     """A number strictly between 0 and 1 from 48 bits of the MD5 of the parts, joined by colons."""
     text = F.concat_ws(":", *(p.cast("string") for p in parts))
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of SLICE rows, so that what a worker holds as Python objects stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytes_np import chunks
-from .common import fresh, held_out, unit_hash
+from .common import fresh, held_out, slices, unit_hash
 
 #: Bound of the training sample: texts of each language.
 PER_LANGUAGE = 400
@@ -197,7 +197,7 @@ def with_language(df: DataFrame, model: Model | None, text: str = "text", pred:
     names = [f.name for f in schema]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             langs, scores = shared.value.predict(texts) if shared.value and texts else (["und"] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)

@@ -34,7 +34,7 @@ CAPACITY = 2048
 #: Hash slices of the whole input in which ranks are counted, besides one for each length.
 SLICES = 1024
 #: Words of which a worker remembers the ids.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 #: The one special token of the vocabulary, and the places where splitting at single spaces would differ from the tokenizer's own pattern.
 SPECIAL = "<|endoftext|>"
