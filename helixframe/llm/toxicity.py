@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytes_np import chunks, mixed, run_hashes, words
-from .common import held_out, unit_hash
+from .common import held_out, slices, unit_hash
 
 #: Bound of the training sample: texts of each class.
 PER_CLASS = 4000
 BITS = 20
 #: Terms with a weight, and components of a term's vector.
 TERMS, FACTORS = 8192, 8
+#: Standard deviations by which the classes differ in a term; of a million hashed terms chance alone lifts few above it.
+MIN_STRENGTH = 4.0
 
 
 def term_hashes(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -82,7 +84,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, terms: int = TERMS, factors: int
     spread = np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     strength = np.where((in1 + in0 >= 3) & (spread > 0), np.abs(p1 - p0) / np.maximum(spread, 1e-12), 0.0)
     best = np.argsort(-strength, kind="stable")[:terms]
-    best = best[strength[best] > 2.0]
+    best = best[strength[best] > MIN_STRENGTH]
     number = np.full(1 << BITS, -1, np.int32)
     number[best] = np.arange(len(best))
     own = [number[r][number[r] >= 0] for r in rows]
@@ -141,7 +143,7 @@ def score_toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     schema = T.StructType([src.schema["doc_id"], src.schema["held_out"], T.StructField("score", T.DoubleType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             scores = shared.value.score(texts) if shared.value and texts else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
