@@ -1,0 +1,28 @@
+"""Spark-native analytics of sequences, vectors and corpora."""
+
+from __future__ import annotations
+
+import os
+import site
+import tempfile
+import zipfile
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, unless their Python path has it anyway."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    sc = spark.sparkContext
+    if root in paths or root in site.getsitepackages() or getattr(sc, "_helixframe_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="helixframe-"), "helixframe.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    sc.addPyFile(path)  # Spark's own file server hands it out
+    sc._helixframe_shipped = True
