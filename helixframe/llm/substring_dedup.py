@@ -1,6 +1,6 @@
 """Substring deduplication by content-defined chunking.
 
-A gear hash of the last 32 bytes rolls over each text; where its top bits are zero a
+A gear hash of the last 8 bytes rolls over each text; where its top bits are zero a
 chunk ends. The cut depends on those bytes alone, so after an insertion the chunks
 soon fall in step again. Chunks are deduplicated by their 128-bit digests: one that a
 document with a smaller id also holds is repeated. Repeated chunks that touch make a
@@ -38,20 +38,24 @@ def chunk_ends(text: bytes) -> list[int]:
     if not n:
         return []
     h = GEAR[np.frombuffer(text, np.uint8)]
-    for s in (1, 2, 4, 8, 16):  # doubles the window each time
+    for s in (1, 2, 4):  # doubles the window each time
         if n > s:
             h[s:] += h[:-s] << np.uint32(s)
     ends, last = [], 0
-    for c in (np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist():
-        while c - last > MOST:
-            last += MOST
+
+    def forced(to: int) -> None:
+        # no end within reach: the smallest hash makes one, so these cuts too follow the text
+        nonlocal last
+        while to - last > MOST:
+            last += LEAST + int(np.argmin(h[last + LEAST - 1 : last + MOST]))
             ends.append(last)
+
+    for c in (np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist():
+        forced(c)
         if c - last >= LEAST:
             ends.append(c)
             last = c
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
+    forced(n)
     if last < n:
         ends.append(n)
     return ends
@@ -88,7 +92,7 @@ def chunked(df: DataFrame, key: str = "doc_id", text: str = "text", places: bool
 
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
-    """doc_id, start, end, n_chunks, source_doc_id (of its first chunk, the smallest id that holds it) of every repeated span."""
+    """doc_id, start, end, n_chunks, source_doc_id, source_doc_ids of every repeated span: the smallest id that holds its first chunk, and those of all its chunks, at most n_chunks."""
     first = chunked(df, key, text, places=False).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared = cut(first.filter("first < last").select("h1", "h2", "first"))
     hits = chunked(df, key, text).join(shared, ["h1", "h2"]).filter("doc_id > first")  # a shuffle at every size; skewed digests are split at run time
@@ -96,8 +100,8 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_s
     by = Window.partitionBy("doc_id").orderBy("start")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     islands = hits.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct("start").alias("n_chunks"), F.min_by("first", "start").alias("source_doc_id"))
-    return spans.filter(F.col("end") - F.col("start") >= min_span).select("doc_id", "start", "end", "n_chunks", "source_doc_id")
+    spans = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct("start").alias("n_chunks"), F.min_by("first", "start").alias("source_doc_id"), F.array_sort(F.collect_set("first")).alias("source_doc_ids"))
+    return spans.filter(F.col("end") - F.col("start") >= min_span).select("doc_id", "start", "end", "n_chunks", "source_doc_id", "source_doc_ids")
 
 
 def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
