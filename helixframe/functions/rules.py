@@ -14,28 +14,30 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _first_word(text: Column, table: dict[str, str]) -> Column:
+    """At most one struct (c, w) in an array: the first word of the table that stands in the text. The table is one constant."""
+    words = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(w).alias("w")) for c, w in V.words(table)))
+    return F.slice(F.filter(words, lambda x: F.contains(text, x["w"])), 1, 1)
+
+
 def category_by_words(text: str | Column, table: dict[str, str]) -> Column:
-    """The first category of which a word stands in the text, whatever the case; null if none. A regular expression a category."""
-    lower = F.lower(_col(text))
-    hits = [F.when(lower.rlike("|".join(re.escape(w) for w in row.split("|"))), F.lit(category)) for category, row in table.items()]
-    return F.coalesce(*hits)
+    """The first category of which a word stands in the text, whatever the case; null if none."""
+    return F.try_element_at(F.transform(_first_word(F.lower(_col(text)), table), lambda x: x["c"]), F.lit(1))
 
 
 def category_by_keywords(description: str | Column, gene: str | Column | None = None) -> Column:
     """The first keyword decides, unless what follows speaks of inhibition or what precedes of the host."""
     g = F.coalesce(_col(gene), F.lit("")) if gene is not None else F.lit("")
     text = F.lower(F.concat(F.coalesce(_col(description), F.lit("")), F.lit(" "), g))
-    steps = []
-    for category, word in V.words(V.KEYWORDS):
-        at = F.locate(word, text)
-        if category == "host_interaction":
-            steps.append(F.when(at > 0, F.lit(category)))
-            continue
-        after = F.substring(text, at + len(word), F.lit(30))
+
+    def decide(hit: Column) -> Column:
+        at = F.position(hit["w"], text)
+        after = F.substring(text, at + F.length(hit["w"]), F.lit(30))
         before = F.substring(text, F.greatest(at - 15, F.lit(1)), F.least(at - 1, F.lit(15)))
         about_host = after.contains("inhibitor") | after.contains("inhibition") | before.contains("host")
-        steps.append(F.when(at > 0, F.when(about_host, F.lit("host_interaction")).otherwise(F.lit(category))))
-    return F.coalesce(*steps, F.lit("unknown"))
+        return F.when((hit["c"] != "host_interaction") & about_host, F.lit("host_interaction")).otherwise(hit["c"])
+
+    return F.coalesce(F.try_element_at(F.transform(_first_word(text, V.KEYWORDS), decide), F.lit(1)), F.lit("unknown"))
 
 
 def category_by_evidence(description: str | Column, gene: str | Column | None, domain: str | Column, superfamily: str | Column, process: str | Column, function: str | Column) -> tuple[Column, Column]:

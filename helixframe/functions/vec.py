@@ -37,7 +37,7 @@ def unit(v: str | Column) -> Column:
     """Scaled to length 1; a zero vector stays as it is."""
     n = norm(v)
     safe = F.when(n > 0, n).otherwise(F.lit(1.0))
-    return F.transform(_col(v), lambda x: x / safe)
+    return F.zip_with(_col(v), F.array_repeat(safe, F.size(_col(v))), lambda x, y: x / y)  # the length is computed once a row, not once a component
 
 
 def fuse(first: str | Column, second: str | Column, missing_size: int | None = None) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +27,34 @@ def mean_pool(df: DataFrame, seq: str, vector: str) -> DataFrame:
     return centroids(df, seq, vector, "vector").select(F.col("label").alias(seq), "vector")
 
 
+def _label_matrix(panel: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Labels, centroids and rows of a table of centroids, whose rows are labels, not data."""
+    rows = sorted(panel.select(F.col("label").cast("string").alias("l"), "centroid", *(["n"] if "n" in panel.columns else [])).collect(), key=lambda r: r.l)
+    return [r.l for r in rows], np.array([r.centroid for r in rows], float), np.array([r["n"] if "n" in panel.columns else 1 for r in rows], float)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of an array column of equal lengths, as doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+
+
 def centroid_similarities(df: DataFrame, key: str, vector: str, panel: DataFrame) -> DataFrame:
-    """(key, similarities map): the cosine with each labelled centroid of the panel, whose rows are labels, not data."""
-    packed = panel.agg(F.collect_list(F.struct(F.col("label").cast("string").alias("l"), "centroid")).alias("_panel"))
-    rows = df.select(key, vec.as_double(vector).alias("_v")).join(F.broadcast(packed))  # one row
-    sims = F.map_from_entries(F.transform("_panel", lambda c: F.struct(c["l"], vec.cosine("_v", c["centroid"]))))
-    return rows.select(key, sims.alias("similarities"))
+    """(key, similarities map): the cosine with each labelled centroid, 0 with a zero vector; a matrix product a batch."""
+    labels, means, _ = _label_matrix(panel)
+    other = unit_rows(means) if labels else means
+    kind = dict(df.dtypes)[key]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            sims = unit_rows(_matrix(batch.column(1))) @ other.T if n and labels else np.zeros((n, 0))
+            keys = pa.array(labels * n, pa.string())
+            maps = pa.MapArray.from_arrays(np.arange(n + 1, dtype=np.int32) * len(labels), keys, pa.array(sims.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), maps], names=[key, "similarities"])
+
+    rows = df.filter(F.col(vector).isNotNull()).select(key, vector)
+    return rows.mapInArrow(each, f"{key} {kind}, similarities map<string,double>")
 
 
 def nearest_label(sims: DataFrame, key: str) -> DataFrame:
@@ -128,18 +151,26 @@ def similarity_stats(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 def silhouette_cosine(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
     """(key, label, silhouette) with cosine distance: means over clusters come from the clusters' sums, so it is linear in the rows."""
-    u = vec.unit(vec.as_double(vector))
-    rows = df.select(F.col(key).alias("k"), F.col(label).alias("l"), u.alias("u"))
-    sums = centroids(rows.select(F.col("l"), F.col("u")), "l", "u").agg(F.collect_list(F.struct("label", "centroid", "n")).alias("_c"))
-    dist = F.transform("_c", lambda c: F.struct(
-        c["label"].alias("l"), c["n"].alias("n"),
-        F.when(c["label"] == F.col("l"), F.try_divide(c["n"] - c["n"] * vec.dot("u", c["centroid"]), (c["n"] - 1).cast("double")))
-        .otherwise(1 - vec.dot("u", c["centroid"])).alias("d")))  # a row is at distance 0 from itself
-    at = rows.join(F.broadcast(sums)).withColumn("_d", dist)
-    own = F.filter("_d", lambda x: x["l"] == F.col("l"))[0]
-    other = F.array_min(F.transform(F.filter("_d", lambda x: x["l"] != F.col("l")), lambda x: x["d"]))
-    s = F.when((own["n"] == 1) | other.isNull(), F.lit(0.0)).otherwise(F.try_divide(other - own["d"], F.greatest(own["d"], other)))
-    return at.select(F.col("k").alias(key), F.col("l").alias(label), F.coalesce(s, F.lit(0.0)).alias("silhouette"))
+    units = df.select(F.col(key), F.col(label), vec.unit(vec.as_double(vector)).alias("_u"))
+    names, means, n = _label_matrix(centroids(units, label, "_u"))
+    place = {name: i for i, name in enumerate(names)}
+    types = dict(df.dtypes)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = _matrix(batch.column(2))
+            own = np.array([place[str(x)] for x in batch.column(1).to_pylist()], int)
+            rows = np.arange(len(u))
+            d = 1 - u @ means.T if len(u) else np.zeros((0, len(names)))
+            count = n[own]
+            inner = (count * d[rows, own] - (1 - (u * u).sum(1))) / np.maximum(count - 1, 1)  # less the row with itself
+            d[rows, own] = np.inf
+            outer = d.min(1) if len(names) > 1 else np.full(len(u), np.nan)
+            top = np.maximum(inner, outer)
+            s = np.where((count > 1) & np.isfinite(outer) & (top > 0), (outer - inner) / np.where(top > 0, top, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=[key, label, "silhouette"])
+
+    return units.mapInArrow(each, f"{key} {types[key]}, {label} {types[label]}, silhouette double")
 
 
 def silhouette_euclidean(df: DataFrame, key: str, label: str, vector: str, block: int = BLOCK) -> DataFrame:
