@@ -35,6 +35,8 @@ CAPACITY = 2048
 SLICES = 1024
 #: Words of which a worker remembers the ids.
 REMEMBERED = 600_000
+#: Letters of the longest of them.
+LONGEST = 64
 
 #: The one special token of the vocabulary, and the places where splitting at single spaces would differ from the tokenizer's own pattern.
 SPECIAL = "<|endoftext|>"
@@ -53,9 +55,11 @@ class WordIds(dict):
         self.whole, self.tokenizer = whole, None
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self[word] = self.pack(self.encode(" " + word))
+        ids = self.pack(self.encode(" " + word))
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
         return ids
 
     @staticmethod
