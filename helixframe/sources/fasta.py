@@ -1,4 +1,4 @@
-"""FASTA sources: a file is split at record marks, so large files are read in parallel."""
+"""FASTA sources: a file is split where a line begins with the record mark, so large files are read in parallel."""
 
 from __future__ import annotations
 
@@ -14,8 +14,8 @@ def read_fasta(spark: SparkSession, path: str, unique: bool = True, upper: bool
     The id is the header's first word. Of records with one id the last sequence stands
     in the first one's place; `unique=False` keeps them all. Letters become capitals.
     """
-    records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
-    header = F.trim(F.substring_index("value", "\n", 1))
+    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).filter(F.trim("value") != "")
+    header = F.regexp_replace(F.substring_index("value", "\n", 1), r"^\s+|\s+$", "")
     body = F.regexp_replace(F.substring("value", F.locate("\n", F.concat("value", F.lit("\n"))) + 1, F.length("value")), r"\s", "")
     letters = F.translate(body, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if upper else body
     rows = records.select(F.monotonically_increasing_id().alias("seq_ord"), F.element_at(F.split(header, r"\s+"), 1).alias("sequence_id"), header.alias("description"), letters.alias("sequence"))

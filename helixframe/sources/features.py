@@ -114,6 +114,20 @@ def read_proviruses(spark: SparkSession, path: str) -> DataFrame:
     return df.select(name.alias("sequence_id"), start.alias("start"), end.alias("end")).filter("sequence_id is not null and start is not null and end is not null")
 
 
+def read_quality(spark: SparkSession, path: str, sample: str | None = None) -> DataFrame:
+    """(sequence_id, checkv_quality, ...) of a CSV of contig qualities, of one sample if it is named."""
+    df = spark.read.csv(path, header=True)
+    kept = df.filter(F.col("sample") == sample) if sample is not None else df
+    return kept.withColumnRenamed(df.columns[0] if "contig_id" not in df.columns else "contig_id", "sequence_id")
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """(sequence_id, score, classification) of a result table of this library, whichever names its id and score have."""
+    df = spark.read.csv(path, sep="\t", header=True)
+    pick = lambda *names: F.coalesce(*[F.col(n) for n in names if n in df.columns], F.lit(None).cast("string"))
+    return df.select(pick("contig_id", "sequence_id", "seq_name").alias("sequence_id"), pick("viral_score", "score", "virus_score").try_cast("double").alias("score"), pick("classification", "class").alias("classification"))
+
+
 def read_confidence(spark: SparkSession, path: str) -> DataFrame:
     """(path, mean_confidence) of structure files: the mean of characters 61 to 66 of atom lines; unreadable ones are skipped."""
     lines = spark.read.text(path).select(F.input_file_name().alias("path"), "value")

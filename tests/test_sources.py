@@ -14,6 +14,8 @@ def write(tmp_path, name, text):
 
 def test_fasta_last_record_wins_in_the_first_place(spark, tmp_path):
     path = write(tmp_path, "a.fasta", ">x first\nacg\nTT\n>y\nAAAA\n>x again\nGG\n")
+    marked = write(tmp_path, "m.fasta", ">m a -> b\r\nAC\r\nGT\r\n>n\r\n")
+    assert {(r.description, r.sequence) for r in fasta.read_fasta(spark, marked).collect()} == {("m a -> b", "ACGT"), ("n", "")}
     rows = fasta.read_fasta(spark, path).orderBy("seq_ord").collect()
     assert [(r.sequence_id, r.description, r.sequence) for r in rows] == [("x", "x again", "GG"), ("y", "y", "AAAA")]
     assert fasta.read_fasta(spark, path, unique=False).count() == 3
@@ -64,6 +66,13 @@ def test_tool_outputs(spark, tmp_path):
     assert len(hits.columns) == 20 and hits.first().evalue == 1e-5
 
 
+def test_quality_and_score_tables(spark, tmp_path):
+    q = features.read_quality(spark, write(tmp_path, "q.csv", "contig_id,sample,checkv_quality\na,s1,High\nb,s2,Low\n"), "s1")
+    assert [(r.sequence_id, r.checkv_quality) for r in q.collect()] == [("a", "High")]
+    r = features.read_scores(spark, write(tmp_path, "r.tsv", "contig_id\tviral_score\tclassification\na\t0.5\tviral\nb\tx\t\n")).orderBy("sequence_id").collect()
+    assert [(x.sequence_id, x.score) for x in r] == [("a", 0.5), ("b", None)]
+
+
 def test_structures_and_intervals(spark, tmp_path):
     line = "ATOM      1  N   MET A   1      11.104   6.134  -6.504  1.00 {:5.2f}           N"
     pdb = write(tmp_path, "a_unrelaxed_rank_001_x.pdb", "\n".join([line.format(50), line.format(70), "TER", "ATOM short"]))
