@@ -35,13 +35,12 @@ def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], key:
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.dropDuplicates([key])
-        other = [f"{path}/batch={number}"]
         try:
             seen = spark.read.parquet(path).filter(F.col("batch") < number).select(key)
             rows = rows.join(seen, key, "left_anti")
         except Exception as e:  # there is no table yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        transform(rows).write.mode("overwrite").parquet(other[0])
+        transform(rows).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
