@@ -76,8 +76,8 @@ def window_id(seq: str | Column, start: str | Column, end: str | Column) -> Colu
 
 
 def wrap(s: str | Column, width: int = 80) -> Column:
-    """Line breaks after every `width` characters but the last line's; 0: none."""
-    return F.regexp_replace(_col(s), f"(.{{{width}}})(?!$)", "$1\n") if width else _col(s)
+    """Line breaks after every `width` characters, of which a line break is one, but the last line's; 0: none."""
+    return F.regexp_replace(_col(s), rf"(?s)(.{{{width}}})(?!\z)", "$1\n") if width else _col(s)
 
 
 def entropy(counts: Column) -> Column:

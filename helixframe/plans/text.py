@@ -74,6 +74,12 @@ def fasta_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(seq.wrap(F.left("text", F.lit(500)), 80)).alias("wrapped"))
 
 
+@query("""SELECT doc_id, md5(CASE WHEN length(text) % 80 = 0 THEN left(w, length(w) - 1) ELSE w END) AS wrapped FROM (SELECT doc_id, text, regexp_replace(text, '(.{80})', '\\1' || chr(10), 'gs') AS w FROM documents)""")
+def fasta_wrap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every document; `fasta_wrap` is tied by its SQL to prefixes of a subset."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(seq.wrap("text", 80)).alias("wrapped"))
+
+
 #: A word of each table stands for each part, so that annotations of all kinds come about.
 _WORDS = {"domain": V.DOMAINS, "superfamily": V.SUPERFAMILIES, "process": V.PROCESSES, "function": V.FUNCTIONS}
 

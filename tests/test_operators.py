@@ -327,3 +327,15 @@ def test_routing_and_panels(spark):
     assert [r.i for r in panels.capped_panel(df, "g", "o", "i", 2).orderBy("i").collect()] == [1, 3]
     got = {r.a: r.b for r in panels.contains_join(ids("ab", "hello world", "zz").withColumnRenamed("k", "a"), spark.createDataFrame([("xxabxx", 1), ("world", 0), ("lo", 2)], "b string, o int"), "a", "b", "o").collect()}
     assert got == {"ab": "xxabxx", "hello world": "world", "zz": None}
+
+
+def test_whole_texts_are_wrapped(spark, tmp_path):
+    import hashlib
+
+    from helixframe.plans import text as plans_text
+
+    rows = [(1, "x" * 170), (2, "a\n" * 200), (3, "y" * 160), (4, "z" * 79 + "\n"), (5, "z" * 80 + "\n"), (6, ""), (7, None), (8, "é\r\n" * 1000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.wrapped for r in plans_text.fasta_wrap_whole(spark, str(tmp_path)).collect()}
+    want = {i: t if t is None else "\n".join(t[a : a + 80] for a in range(0, len(t), 80)) for i, t in rows}
+    assert got == {i: t if t is None else hashlib.md5(t.encode()).hexdigest() for i, t in want.items()}
