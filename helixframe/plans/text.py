@@ -56,6 +56,12 @@ def revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.substring(seq.reverse_complement(F.left(F.translate("text", "acgtn", "ACGTN"), F.lit(200))), 1, 60).alias("revcomp"))
 
 
+@query(f"SELECT doc_id, md5(list_aggregate(list_reverse(regexp_extract_all(translate({_UP}, 'ACGTacgtNn', 'TGCAtgcaNn'), '(?s).')), 'string_agg', '')) AS revcomp FROM documents WHERE text <> '' UNION ALL SELECT doc_id, md5(text) FROM documents WHERE text = '' OR text IS NULL")
+def revcomp_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every document; `revcomp` is tied by its SQL to 200 characters of English ones."""
+    return _texts(spark, sf_dir).select("doc_id", F.md5(seq.reverse_complement("s")).alias("revcomp"))
+
+
 @query("SELECT doc_id, n_chars FROM documents WHERE length(text) BETWEEN 500 AND 16000")
 def length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(F.length("text").between(500, 16000)).select("doc_id", "n_chars")

@@ -339,3 +339,15 @@ def test_whole_texts_are_wrapped(spark, tmp_path):
     got = {r.doc_id: r.wrapped for r in plans_text.fasta_wrap_whole(spark, str(tmp_path)).collect()}
     want = {i: t if t is None else "\n".join(t[a : a + 80] for a in range(0, len(t), 80)) for i, t in rows}
     assert got == {i: t if t is None else hashlib.md5(t.encode()).hexdigest() for i, t in want.items()}
+
+
+def test_whole_texts_of_all_languages_are_complemented(spark, tmp_path):
+    import hashlib
+
+    from helixframe.plans import text as plans_text
+
+    rows = [(1, "ACGTN" * 100 + "A", "en"), (2, "acgtn x\r\ny", "de"), (3, "GGé\u0301T", None), (4, "", "en"), (5, None, "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.revcomp for r in plans_text.revcomp_whole(spark, str(tmp_path)).collect()}
+    up, pairs = str.maketrans("acgtn", "ACGTN"), str.maketrans("ACGTN", "TGCAN")
+    assert got == {i: t if t is None else hashlib.md5(t.translate(up).translate(pairs)[::-1].encode()).hexdigest() for i, t, _ in rows}
