@@ -1,16 +1,17 @@
-"""Substring deduplication by content-defined chunking.
+"""Substring deduplication by winnowed anchors and a comparison of bytes.
 
-A gear hash of the last 8 bytes rolls over each text; where its top bits are zero a
-chunk ends. The cut depends on those bytes alone, so after an insertion the chunks
-soon fall in step again. Chunks are deduplicated by their 128-bit digests: one that a
-document with a smaller id also holds is repeated. Repeated chunks that touch make a
-span, and spans of `MIN_SPAN` bytes or more are reported; shorter ones are chance or
-set phrases.
+A rolling hash of `GRAM` bytes runs over each text; of every `WINDOW` neighbouring ones
+the smallest is an anchor. Texts that share `GRAM + WINDOW - 1` bytes or more therefore
+share an anchor in them, wherever the bytes stand. Each anchor is compared with the
+smallest id that holds it: both texts are laid side by side, from `REACH` bytes before
+the first common anchor to `REACH` after the last, and runs of equal bytes are matches.
+Matches that touch make a span, and spans of `MIN_SPAN` bytes or more are reported.
 
-Offsets count UTF-8 bytes. Null and empty texts have no chunks. A row without an id is
+Offsets count UTF-8 bytes. Null and empty texts have no anchors. A row without an id is
 neither reported nor kept as a source. Rows that share an id are one document. Repeats
-inside one document alone are left. An empty table gives no rows. Other columns are
-not read, but `drop_repeats` returns them.
+inside one document alone are left, unless `within` is set: then an anchor's first place
+in its document is a source of the later ones. An empty table gives no rows. Other
+columns are not read, but `drop_repeats` returns them.
 """
 
 from __future__ import annotations
@@ -27,13 +28,19 @@ from .common import cut, fresh
 
 #: Bytes of a chunk: at least, at most, and the bits that end one (32 more bytes on average).
 LEAST, MOST, CUT_BITS = 16, 128, 5
-#: Bytes of a reported span: well below a passage of 50 words, well above a phrase.
-MIN_SPAN = 128
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
+#: Bytes of an anchor, and neighbouring anchors of which the smallest is kept: 40 + 62 - 1 = MIN_SPAN.
+GRAM, WINDOW = 40, 62
+#: Bytes compared beyond the outermost anchors; a longer match has one more anchor there.
+REACH = GRAM + WINDOW
+#: Bytes of a reported span: 51 words of one letter.
+MIN_SPAN = 101
+_RANDOM = np.random.default_rng(20240301)
+BYTE, STEP = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64), int(_RANDOM.integers(0, 1 << 63)) * 2 + 1
 
 
 def chunk_ends(text: bytes) -> list[int]:
-    """Where the chunks of a text end; the last is its length."""
+    """Where content-defined chunks of a text end; the last is its length. The spans don't rest on them."""
     n = len(text)
     if not n:
         return []
@@ -61,46 +68,108 @@ def chunk_ends(text: bytes) -> list[int]:
     return ends
 
 
-def chunked(df: DataFrame, key: str = "doc_id", text: str = "text", places: bool = True) -> DataFrame:
-    """h1, h2 (the digest), doc_id, and with `places` start and length, of every chunk of every text."""
-    from xxhash import xxh3_128_digest
+def _window(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
+    """The best of each n neighbours."""
+    have = 1
+    while have < n:
+        by = min(have, n - have)
+        x = best(x[:-by], x[by:])
+        have += by
+    return x
 
-    src = df.select(F.col(key).alias("doc_id"), F.col(text).alias("t")).filter("doc_id is not null and t <> ''")
-    fields = ["h1", "h2", "doc_id", *(["start", "length"] if places else [])]
-    schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), src.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in fields[3:])])
+
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's anchors and where these start."""
+    n = len(text) - GRAM + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    power = lambda k: np.uint64(pow(STEP, k, 1 << 64))
+    h8 = BYTE[np.frombuffer(text, np.uint8)]
+    for s in (1, 2, 4):  # doubles the window each time
+        h8 = h8[:-s] * power(s) + h8[s:]
+    h = h8
+    for s in (8, 16):
+        h = h[:-s] * power(s) + h[s:]
+    h = h[:-8] * power(8) + h8[32:]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    w = min(WINDOW, n)
+    least = _window(h, w, np.minimum)
+    edge = np.zeros(w - 1, np.uint64)
+    at = np.flatnonzero(_window(np.concatenate([edge, least, edge]), w, np.maximum) == h)
+    return h[at].view(np.int64), at
+
+
+def anchored(texts: DataFrame, first: bool) -> DataFrame:
+    """h, doc_id and start of the anchors of (doc_id, t); with `first` each once a row, and whether it comes again."""
+    fields = ["h", "doc_id", "start", *(["again"] if first else [])]
+    schema = T.StructType([T.StructField("h", T.LongType()), texts.schema["doc_id"], T.StructField("start", T.LongType()), *([T.StructField("again", T.BooleanType())] if first else [])])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                digests, counts, starts, lengths = [], [], [], []
+                hashes, starts, again = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
                 for t in part.column(1):
-                    body = t.as_py().encode()
-                    ends = chunk_ends(body)
-                    begins = [0, *ends[:-1]]
-                    digests += [xxh3_128_digest(body[a:b]) for a, b in zip(begins, ends, strict=True)]
-                    counts.append(len(ends))
-                    if places:
-                        starts.append(np.array(begins, np.int64))
-                        lengths.append(np.array(ends, np.int64) - starts[-1])
-                two = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), counts)))
-                more = [pa.array(np.concatenate(x)) for x in (starts, lengths)] if places else []
-                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1]), ids, *more], names=fields)
-
-    return src.mapInArrow(each, schema)
-
-
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
-    """doc_id, start, end, n_chunks, source_doc_id, source_doc_ids of every repeated span: the smallest id that holds its first chunk, and those of all its chunks, at most n_chunks."""
-    first = chunked(df, key, text, places=False).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = cut(first.filter("first < last").select("h1", "h2", "first"))
-    hits = chunked(df, key, text).join(shared, ["h1", "h2"]).filter("doc_id > first")  # a shuffle at every size; skewed digests are split at run time
-    hits = hits.select("doc_id", "start", (F.col("start") + F.col("length")).alias("end"), "first")
+                    h, start = anchors(t.as_py())
+                    if first:
+                        h, place, n = np.unique(h, return_index=True, return_counts=True)
+                        start = start[place]
+                        again.append(n > 1)
+                    hashes.append(h)
+                    starts.append(start)
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), [len(h) for h in hashes[1:]])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), ids, *(pa.array(np.concatenate(x)) for x in (starts, again)[: len(fields) - 2])], names=fields)
+
+    return texts.mapInArrow(each, schema)
+
+
+def equal_runs(a: bytes, b: bytes, least: int) -> list[tuple[int, int]]:
+    """Where a and b, side by side, have `least` or more equal bytes in a row."""
+    n = min(len(a), len(b))
+    same = np.zeros(n + 2, np.int8)
+    same[1:-1] = np.frombuffer(a, np.uint8, n) == np.frombuffer(b, np.uint8, n)
+    edges = np.flatnonzero(np.diff(same)).reshape(-1, 2)
+    return edges[edges[:, 1] - edges[:, 0] >= least].tolist()
+
+
+def matches(df: DataFrame, key: str, text: str, within: bool) -> DataFrame:
+    """doc_id, start, end, first: runs of `GRAM` bytes or more that `first`, the smallest id with one of their anchors, also holds."""
+    texts = df.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("t")).filter((F.col("doc_id").isNotNull()) & (F.octet_length("t") >= GRAM))
+    held = anchored(texts, first=True).groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("at"), F.max("again").alias("again"))
+    shared = cut(held.filter((F.col("first") < F.col("last")) | (F.col("again") & F.lit(within))).select("h", "first", "at"))
+    later = (F.col("doc_id") > F.col("first")) | (F.lit(within) & (F.col("doc_id") == F.col("first")) & (F.col("start") > F.col("at")))
+    hits = anchored(texts, first=False).join(shared, "h").filter(later)  # a shuffle at every size; skewed hashes are split at run time
+    chains = hits.groupBy("doc_id", "first", (F.col("start") - F.col("at")).alias("shift")).agg(F.min("start").alias("lo"), (F.max("start") + GRAM).alias("hi"))
+    chains = chains.withColumn("back", F.least(F.lit(REACH), "lo", F.col("lo") - F.col("shift")))
+    chains = chains.withColumn("start", F.col("lo") - F.col("back")).withColumn("n", F.col("hi") - F.col("start") + REACH)
+    piece = lambda side, at: F.substring(F.col(f"{side}.t"), (at + 1).cast("int"), F.col("n").cast("int"))
+    theirs = chains.join(texts.alias("s"), F.col("first") == F.col("s.doc_id")).select(chains["doc_id"].alias("id"), "first", "start", "n", piece("s", F.col("start") - F.col("shift")).alias("theirs"))
+    pairs = theirs.join(texts.alias("d"), F.col("id") == F.col("d.doc_id")).select("d.doc_id", "first", "start", "theirs", piece("d", F.col("start")).alias("own"))
+    kind = texts.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("first", kind), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, ends = [], [], []
+            for i, (start, a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True)):
+                for x, y in equal_runs(a.as_py(), b.as_py(), GRAM):
+                    rows.append(i)
+                    starts.append(start + x)
+                    ends.append(start + y)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "first", "start", "end"])
+
+    return pairs.mapInArrow(each, schema)
+
+
+def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN, within: bool = False) -> DataFrame:
+    """doc_id, start, end, n_chunks, source_doc_id, source_doc_ids of every repeated span: how many matches make it, the source of the first, and those of all, at most n_chunks."""
+    found = matches(df, key, text, within)
     by = Window.partitionBy("doc_id").orderBy("start")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    islands = hits.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct("start").alias("n_chunks"), F.min_by("first", "start").alias("source_doc_id"), F.array_sort(F.collect_set("first")).alias("source_doc_ids"))
+    islands = found.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct("start", "end", "first").alias("n_chunks"), F.min_by("first", F.struct("start", "first")).alias("source_doc_id"), F.array_sort(F.collect_set("first")).alias("source_doc_ids"))
     return spans.filter(F.col("end") - F.col("start") >= min_span).select("doc_id", "start", "end", "n_chunks", "source_doc_id", "source_doc_ids")
 
 

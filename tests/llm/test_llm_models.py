@@ -271,3 +271,24 @@ def test_substrings_of_odd_rows(spark):
     assert sd.repeated_spans(docs(spark, [])).count() == 0
     back = sd.drop_repeats(docs(spark, rows))
     assert back.columns == docs(spark, rows).columns and back.count() == len(rows)
+
+
+def test_passages_of_short_words_are_found_to_their_ends(spark):
+    rng = random.Random(14)
+    short = lambda n, most: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, most))) for _ in range(n))
+    rows, want = [], {}
+    for i in range(60):
+        p = short(51, i % 3 + 1)
+        before, after = passage(rng, rng.randint(1, 90)) + " <", "> " + passage(rng, rng.randint(1, 90))
+        rows += [(i, f"{passage(rng, 40)} [{p}] {passage(rng, 30)}"), (1000 + i, before + p + after)]
+        want[1000 + i] = (len(before), len(before) + len(p), i)
+    out = sd.repeated_spans(docs(spark, rows)).collect()
+    assert {r.doc_id: (r.start, r.end, r.source_doc_id) for r in out} == want and len(out) == 60
+
+
+def test_repeats_inside_a_document(spark):
+    rng = random.Random(15)
+    p = passage(rng, 60)
+    text = f"{p} <{passage(rng, 40)}> {p}"
+    out = sd.repeated_spans(docs(spark, [(1, text), (2, passage(rng, 200))]), within=True).collect()
+    assert [(r.doc_id, r.source_doc_id) for r in out] == [(1, 1)] and text[out[0].start : out[0].end].strip() == p
