@@ -112,6 +112,17 @@ def test_mixing_of_odd_rows(spark):
         mixing.mix_sources(docs(spark, [(1, "a", None, "s")] * 3), epochs=1e4).count()
 
 
+def test_a_small_source_of_a_large_table_has_any_rate(spark):
+    data = [(i, "t", None, "small" if i < 8 else "large") for i in range(4000)]
+    out = mixing.mix_sources(docs(spark, data), weights={"small": 1.0, "large": 1.0}, copy="k", rate="rate", shuffle_key="o").collect()
+    got = Counter(r.doc_id for r in out if r.source == "small")
+    assert {r.rate for r in out if r.source == "small"} == {250.0} and len(set(got.values())) > 1
+    assert all(abs(n - 250) < 6 * 250**0.5 for n in got.values()) and abs(sum(got.values()) - 2000) < 5 * 2000**0.5
+    assert all(sorted(r.k for r in out if r.doc_id == i) == list(range(n)) for i, n in got.items()) and len({r.o for r in out}) == len(out)
+    far = mixing.mix_sources(docs(spark, [(i, "t", None, "s" if i else "x") for i in range(2000)]), weights={"x": 1.0}).count()
+    assert abs(far - 2000) < 5 * 2000**0.5
+
+
 # --- packing
 def test_plan_places_every_piece_once_and_fills_sequences():
     for seed in range(20):
