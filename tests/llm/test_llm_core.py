@@ -123,6 +123,17 @@ def test_a_small_source_of_a_large_table_has_any_rate(spark):
     assert abs(far - 2000) < 5 * 2000**0.5
 
 
+def test_whole_documents_are_mixed(spark, tmp_path):
+    from helixframe.llm import queries
+
+    rows = [(i, f"text {i} " * (i % 40), "en", "ab"[i % 7 > 0], i) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.QUERIES["op5_poisson_mixing_documents"](spark, str(tmp_path)).collect()
+    ids = queries.QUERIES["op5_poisson_mixing"](spark, str(tmp_path)).collect()
+    assert {tuple(r)[:5] for r in out} <= set(rows)
+    assert sorted((r.doc_id, r.copy, r.shuffle_key) for r in out) == sorted((r.doc_id, r.copy, r.shuffle_key) for r in ids)
+
+
 # --- packing
 def test_plan_places_every_piece_once_and_fills_sequences():
     for seed in range(20):
