@@ -163,16 +163,83 @@ def test_extraction_of_odd_rows(spark):
     assert all(r.n_chars == len(r.text) for r in rows) and hx.extract_pages(df.filter("false")).count() == 0
 
 
-@needs_tables
-def test_articles_of_the_table(spark):
+def article(html):
     import re
     from html import unescape
 
+    inner = re.search(r"<article>(.*?)(</article>|$)", html, re.S)[1]
+    return " ".join(unescape(re.sub(r"<[^>]*>", lambda m: " " if re.match(r"</?(p|h1|br)", m[0]) else "", inner)).split())
+
+
+@needs_tables
+def test_articles_of_the_table(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()}
     for r in hx.extract_pages(spark.read.parquet(f"{DIR}/pages.parquet")).collect():
-        inner = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1]
-        want = " ".join(unescape(re.sub(r"<[^>]*>", lambda m: " " if re.match(r"</?(p|h1|br)", m[0]) else "", inner)).split())
-        assert r.text == want
+        assert r.text == article(pages[r.page_id])
+
+
+@needs_tables
+def test_ratios_find_the_text_without_tags_and_classes_to_go_by(spark, monkeypatch):
+    import re
+
+    pages = [r.html for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()]
+    unmarked = [re.sub(r' class="[^"]*"|</?article>', "", h) for h in pages]
+    plain = [re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", re.sub(r' class="[^"]*"', "", h)) for h in pages]
+    right = lambda htmls: sum(hx.main_text(h) == article(w) for h, w in zip(htmls, pages, strict=True)) / len(pages)
+    assert right(unmarked) >= 0.95 and right(plain) >= 0.85
+    before = [hx.main_text(h) for h in unmarked], [hx.main_text(h) for h in plain]
+    monkeypatch.setattr(hx, "path_ratios", lambda found: dict.fromkeys((b.path for b in found), 1.0))  # the same ratio everywhere
+    for htmls, texts in zip((unmarked, plain), before, strict=True):
+        assert sum(hx.main_text(h) != t for h, t in zip(htmls, texts, strict=True)) / len(texts) > 0.9
+
+
+def test_ratios_against_brute_force():
+    from html.parser import HTMLParser
+
+    class Paths(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.texts = [], {}
+
+        def handle_starttag(self, tag, attrs):
+            self.open.append(tag)
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                blocky = tuple(t for t in self.open if t not in hx.INLINE)
+                self.texts.setdefault(blocky, []).append((" ".join(data.split()), "a" in self.open))
+
+    html = "<html><body><div><ul><li><a>One</a></li><li><a>Two!</a></li></ul></div><div><p>Some text, long; and more. Yes.</p><p>Short</p><section><p>Other: text</p></section></div><p>x, y</p></body></html>"
+    want = Paths()
+    want.feed(html)
+    expected = []
+    for texts in want.texts.values():
+        letters, n = sum(len(t) for t, _ in texts), len(texts)
+        marks = (sum(c in ".,;:!?" for t, _ in texts for c in t) + 0.5) / n
+        plain = sum(len(t) for t, linked in texts if not linked) / letters
+        expected.append(letters / n / (letters / n + hx.LETTERS) * marks / (marks + hx.MARKS) * plain)
+    assert np.allclose(sorted(hx.path_ratios(hx.parse(html).blocks).values()), sorted(expected))
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div>x", "<p><b>y", "</div>", "<li><ul>z", "<li>z", "<td><table>q", "<!--", "<a href='", "&amp;", "<dd><div>"])
+def test_hostile_pages_take_work_in_proportion(unit):
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        hx.main_text("<ul>" + unit * n + "end")
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(100_000) < 40 * max(took(10_000), 0.01) and took(100_000) < 20
+
+
+def test_a_very_long_page_is_read_whole():
+    html = "<nav><a href=1>Menu</a></nav><article>" + "<p>A sentence, with a comma, of some length. And so on.</p>" * 100_000 + "</article>"
+    assert hx.main_text(html).count("A sentence") == 100_000 and "Menu" not in hx.main_text(html)
 
 
 # --- nearest
