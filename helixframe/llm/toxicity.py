@@ -1,16 +1,20 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are a text's words and the first four and five bytes of longer words, hashed.
-The terms that tell the classes apart best in the training sample get a linear weight
-and a vector each; the score adds the weights of the terms present and the products
-of all pairs of their vectors, so two terms can mean together what neither means
-alone. Training: at most `PER_CLASS` labelled texts of each class, those whose ids
-hash lowest. Scoring is one pass over the whole text.
+Terms are a text's words and the first four and five bytes of longer words, hashed. A
+term gets a linear weight and a vector if the classes differ in it. So does each of two
+terms of which one changes what the other says: for all pairs of the commonest terms,
+that interaction is measured in the residuals of a first machine. The score adds the weights
+of the terms present and the products of all pairs of their vectors, so two terms can
+mean together what neither means alone.
+Training: at most `PER_CLASS` labelled texts of each class, those whose ids hash lowest.
+Scoring is one pass over the whole text, in work proportional to its length.
 
 Scores use the text alone. Null and empty texts have no terms and get the score of
 the constant alone. A document labelled twice counts as toxic if one label says so;
 null labels and ids, and held-out rows, are not learned from. Without labelled texts
-every score is 0. Repeated rows score alike. An empty table gives no rows.
+every score is 0. Repeated rows score alike; terms equally common are taken by hash. An
+empty table gives no rows. Columns other than those named are not read, so their names
+can't clash.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ BITS = 20
 TERMS, FACTORS = 8192, 8
 #: Standard deviations by which the classes differ in a term; of a million hashed terms chance alone lifts few above it.
 MIN_STRENGTH = 4.0
+#: Commonest terms of the sample whose pairs are measured, and standard deviations of an interaction; of eight million pairs chance lifts hardly one above it.
+PAIRED, MIN_INTERACTION = 4096, 6.0
 
 
 def term_hashes(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -65,32 +71,77 @@ class Machine:
             pairs += np.bincount(doc, v[:, f], n) ** 2 - np.bincount(doc, v[:, f] ** 2, n)
         return self.constant + linear + pairs / 2
 
+    def chance(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Scores of rows of distinct hashed terms."""
+        docs, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, r in enumerate(rows):
+            known = self.number[r][self.number[r] >= 0]
+            docs.append(np.full(len(known), i)), terms.append(known)
+        return 1 / (1 + np.exp(-np.clip(self.raw(np.concatenate(docs), np.concatenate(terms), len(rows)), -40, 40)))
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         docs, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for doc, h in term_hashes(texts):
             number = self.number[h]
             known = number >= 0
-            both = np.unique(doc[known].astype(np.int64) * TERMS + number[known])
-            docs.append(both // TERMS), terms.append(both % TERMS)
+            both = np.unique(doc[known].astype(np.int64) << 32 | number[known])
+            docs.append(both >> 32), terms.append(both & 0xFFFFFFFF)
         return 1 / (1 + np.exp(-np.clip(self.raw(np.concatenate(docs), np.concatenate(terms), len(texts)), -40, 40)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, terms: int = TERMS, factors: int = FACTORS, epochs: int = 12, rate: float = 0.08, decay: float = 2e-4, seed: int = 11) -> Machine:
-    """A machine of rows of distinct hashed terms; adaptive gradient steps on logistic loss, classes weighted alike."""
+def pair_strength(rows: list[np.ndarray], residual: np.ndarray, terms: np.ndarray, least: int = 20) -> np.ndarray:
+    """Of each term, the most standard deviations by which another one changes the difference that it makes to the mean residual.
+
+    Each of the four cells of two terms (both, either, none) has `least` texts or more.
+    """
+    at = np.full(1 << BITS, -1, np.int32)
+    at[terms] = np.arange(len(terms))
+    x = np.zeros((len(rows), len(terms)), np.float32)
+    for i, r in enumerate(rows):
+        x[i, at[r][at[r] >= 0]] = 1
+    e = residual.astype(np.float32)
+    n, total, deviation = x.sum(0), e @ x, max(float(e.std()), 1e-9)
+    best = np.zeros(len(terms))
+    for lo in range(0, len(terms), 256):
+        own = x[:, lo : lo + 256]
+        both, sums = own.T @ x, (own * e[:, None]).T @ x
+        a, sa = n[lo : lo + 256, None], total[lo : lo + 256, None]
+        cells = [(both, sums, 1), (a - both, sa - sums, -1), (n - both, total - sums, -1), (len(e) - a - n + both, float(e.sum()) - sa - total + sums, 1)]
+        contrast = sum(sign * s / np.maximum(k, 1) for k, s, sign in cells)
+        spread = deviation * np.sqrt(sum(1 / np.maximum(k, 1) for k, _, _ in cells))
+        full = np.minimum.reduce([k for k, _, _ in cells]) >= least
+        best[lo : lo + 256] = np.where(full, np.abs(contrast) / spread, 0).max(1, initial=0)
+    return best
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, terms: int = TERMS, paired: int = PAIRED, **steps) -> Machine:
+    """A machine of the terms that tell the classes apart, alone or in pairs. rows: distinct hashed terms."""
     n1, n0 = max(1, (y > 0).sum()), max(1, (y == 0).sum())
     in1 = np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, t in zip(rows, y, strict=True) if t)]), minlength=1 << BITS)
     in0 = np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, t in zip(rows, y, strict=True) if not t)]), minlength=1 << BITS)
     p1, p0, p = in1 / n1, in0 / n0, (in1 + in0) / (n1 + n0)
     spread = np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    strength = np.where((in1 + in0 >= 3) & (spread > 0), np.abs(p1 - p0) / np.maximum(spread, 1e-12), 0.0)
-    best = np.argsort(-strength, kind="stable")[:terms]
-    best = best[strength[best] > MIN_STRENGTH]
+    strength = np.where((in1 + in0 >= 3) & (spread > 0), np.abs(p1 - p0) / np.maximum(spread, 1e-12), 0.0) / MIN_STRENGTH
+    strongest = lambda: (best := np.argsort(-strength, kind="stable")[:terms])[strength[best] > 1]
+    first = strongest()
+    machine = descend(rows, y, first, **steps)
+    common = np.argsort(-(in1 + in0), kind="stable")[:paired]
+    common = common[(in1 + in0)[common] > 0]
+    residual = (y - machine.chance(rows)) * np.where(y > 0, len(y) / (2 * n1), len(y) / (2 * n0))
+    strength[common] = np.maximum(strength[common], pair_strength(rows, residual, common) / MIN_INTERACTION)
+    both = strongest()
+    return machine if len(both) == len(first) else descend(rows, y, both, **steps)
+
+
+def descend(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, factors: int = FACTORS, epochs: int = 12, rate: float = 0.08, decay: float = 2e-4, seed: int = 11) -> Machine:
+    """A machine of the terms by adaptive gradient steps on logistic loss, classes weighted alike."""
+    n1, n0 = max(1, (y > 0).sum()), max(1, (y == 0).sum())
     number = np.full(1 << BITS, -1, np.int32)
-    number[best] = np.arange(len(best))
+    number[terms] = np.arange(len(terms))
     own = [number[r][number[r] >= 0] for r in rows]
     rng = np.random.default_rng(seed)
-    w, v, c = np.zeros(TERMS), rng.normal(0, 0.02, (TERMS, factors)), 0.0
-    gw, gv, gc = np.full(TERMS, 1e-6), np.full((TERMS, factors), 1e-6), 1e-6
+    w, v, c = np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), factors)), 0.0
+    gw, gv, gc = np.full(len(terms), 1e-6), np.full((len(terms), factors), 1e-6), 1e-6
     cost = np.where(y > 0, len(y) / (2 * n1), len(y) / (2 * n0))
     for _ in range(epochs):
         for i in rng.permutation(len(y)):

@@ -110,8 +110,30 @@ def test_pairs_mean_what_single_terms_do_not():
         y.append(int(x[0] != x[1]))  # exclusive or: no weighted sum tells it
     m = tox.fit(rows, np.array(y), epochs=30)
     got = m.score(["foo bar", "foo", "bar", "none"])
-    if (m.number[[a, b]] >= 0).all():
-        assert got[0] < 0.5 < got[1] and got[2] > 0.5
+    assert (m.number[[a, b]] >= 0).all()
+    assert got[0] < 0.5 < got[1] and got[3] < 0.5 < got[2]
+
+
+def test_scores_are_sums_over_all_pairs():
+    rng = np.random.default_rng(2)
+    number = np.full(1 << tox.BITS, -1, np.int32)
+    words = [f"w{i}" for i in range(40)]
+    hashed = [int(next(tox.term_hashes([w]))[1][0]) for w in words]
+    number[hashed] = np.arange(40)
+    m = tox.Machine(number, 0.3, rng.normal(size=40), rng.normal(size=(40, 3)))
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 2, 7, 60)] + ["w1 " * 2_000_000 + "w2"]
+    want = []
+    for t in texts:
+        own = sorted({words.index(x) for x in t.split()})
+        pairs = sum(float(m.vectors[a] @ m.vectors[b]) for i, a in enumerate(own) for b in own[:i])
+        want.append(1 / (1 + np.exp(-(0.3 + m.weights[own].sum() + pairs))))
+    assert np.allclose(m.score(texts), want) and np.allclose(m.chance([np.array([hashed[i] for i in sorted({words.index(x) for x in t.split()})], int) for t in texts]), want)
+
+
+def test_toxicity_of_a_table_with_other_columns(spark):
+    df, labels, truth = labelled(spark)
+    more = df.select(*df.columns, F.lit(0.9).alias("y"), F.lit(1).alias("U"), F.lit("x").alias("k.k"), F.lit(True).alias("Held_Out"))
+    assert sorted(tox.score_toxicity(more, labels.withColumn("Text", F.lit("?"))).collect()) == sorted(tox.score_toxicity(df, labels).collect())
 
 
 def test_toxicity_without_labels_or_rows(spark):
