@@ -49,6 +49,11 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by their places: mapInArrow reads names with dots as fields."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its counted rows fit BROADCAST_BYTES, else as it is (a shuffle join)."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

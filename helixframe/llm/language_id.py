@@ -9,8 +9,11 @@ whose ids hash lowest.
 
 Predictions use the text alone. A null text and one without any letter are `und`,
 with score 0. Rows without an id, or held out, are not learned from. Without any
-labelled text everything is `und`. Repeated rows are predicted alike. An empty table
-gives no rows.
+labelled text everything is `und`, and `keep_identified` keeps every row. Tied votes go
+to the greater sum of beliefs, then to the name that sorts first. A very long text is
+read whole, in memory proportional to it. Repeated rows are predicted alike. An empty
+table gives no rows. `identify` reads no columns but those named; `keep_identified`
+returns all, and columns named like its own, in any case, don't clash.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytes_np import chunks
-from .common import fresh, held_out, slices, unit_hash
+from .common import fresh, held_out, numbered, slices, unit_hash
 
 #: Bound of the training sample: texts of each language.
 PER_LANGUAGE = 400
@@ -202,7 +205,7 @@ def with_language(df: DataFrame, model: Model | None, text: str = "text", pred:
             langs, scores = shared.value.predict(texts) if shared.value and texts else (["und"] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    return df.mapInArrow(each, schema)
+    return numbered(df).mapInArrow(each, schema)
 
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
@@ -213,8 +216,17 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The rows of df, with all their columns, whose language is not `und`."""
+def keep_identified(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, languages: tuple[str, ...] | None = None, min_score: float = 0.4) -> DataFrame:
+    """The rows of df, with all their columns, that are predicted to be in one of `languages` (None: any that was learned) with a score of `min_score` or more.
+
+    Texts that the machines dispute, such as mixtures of languages or one word over and
+    over, score below it. A table without labels has no machines that could reject a
+    row, and comes back as it is.
+    """
+    model = train(df, key, text, lang, per_language)
+    if model is None:
+        return df
     pred, score = fresh(df, "_lang_pred"), fresh(df, "_lang_score")
-    found = with_language(df, train(df, key, text, lang, per_language), text, pred, score)
-    return found.filter(F.col(pred) != "und").select(*(F.col(f"`{c}`") for c in df.columns))
+    wanted = [x for x in model.languages if languages is None or x in languages]
+    found = with_language(df, model, text, pred, score)
+    return found.filter(F.col(pred).isin(wanted) & (F.col(score) >= min_score)).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -69,11 +69,58 @@ def test_language_without_labels_or_rows(spark):
     assert {r.lang_pred for r in one} == {"en"}
 
 
-def test_rows_without_a_language_go(spark):
-    df = docs(spark, [*ODD, *[(50 + i, "der Hund und die Katze", "de") for i in range(30)]])
-    left = lid.keep_identified(df)
-    assert left.columns == df.columns
-    assert {r.doc_id for r in left.collect()} == {4, None, 6, *range(50, 80)}
+def test_rows_go_by_their_predicted_language(spark):
+    rng = random.Random(6)
+    rows = [(100 + i, prose(rng, lang := rng.choice(list(WORDS)), 25), lang) for i in range(300)]
+    df = docs(spark, [*rows, *ODD, (900, "12 + 30"), (901, prose(rng, "de", 9) + " " + prose(rng, "es", 9))])
+    pred = {r.doc_id: (r.lang_pred, r.score) for r in lid.identify(df).collect()}
+    for languages, least in ((None, 0.4), (("de", "fr"), 0.4), (("de",), 0.9), (("xx",), 0.0)):
+        left = lid.keep_identified(df, languages=languages, min_score=least)
+        want = {i for i, (a, s) in pred.items() if a != "und" and (languages is None or a in languages) and s >= least}
+        assert left.columns == df.columns and {r.doc_id for r in left.collect()} == want
+    assert len(want) == 0
+
+
+def test_a_table_without_labels_comes_back_whole(spark):
+    df = docs(spark, [*ODD, (50, "text")]).withColumn("lang", F.lit(None).cast("string"))
+    assert lid.keep_identified(df).count() == len(ODD) + 1
+
+
+def test_votes_against_brute_force():
+    rng = np.random.default_rng(3)
+    langs = ["en", "de", "nl", "fr", "es", "it", "ru", "xx"]
+    fams = sorted({lid.family(x) for x in langs})
+    pairs = [("", a, b) for i, a in enumerate(fams) for b in fams[i + 1 :]]
+    for f in fams:
+        own = sorted(x for x in langs if lid.family(x) == f)
+        pairs += [(f, a, b) for i, a in enumerate(own) for b in own[i + 1 :]]
+    m = lid.Model(sorted(langs), fams, pairs, rng.normal(size=(1 << lid.BITS, len(pairs))).astype(np.float32), rng.normal(size=len(pairs)), np.abs(rng.normal(size=len(pairs))) * 3)
+    texts = ["".join(rng.choice(list("abcdé ß,"), n)) + "a" for n in (0, 1, 5, 80, 3000)]
+    got, scores = m.predict(texts)
+    for t, g, s in zip(texts, got, scores, strict=True):
+        raw = b" " + t.lower().encode() + b" "
+        places = [((raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16) * 2654435761 & 0xFFFFFFFF) >> 32 - lid.BITS for i in range(len(raw) - 2)]
+        sure = 1 / (1 + np.exp(-(m.weights[places].astype(float).mean(0) + m.constants) * m.slopes))
+
+        def winner(level, names):
+            belief = {n: sum(sure[k] if n == a else 1 - sure[k] for k, (at, a, b) in enumerate(pairs) if at == level and n in (a, b)) for n in names}
+            votes = {n: sum((sure[k] >= 0.5) == (n == a) for k, (at, a, b) in enumerate(pairs) if at == level and n in (a, b)) for n in names}
+            best = max(sorted(names), key=lambda n: (votes[n], round(belief[n], 5)))
+            return best, belief[best] / (len(names) - 1) if len(names) > 1 else 1.0
+
+        f, outer = winner("", fams)
+        lang, inner = winner(f, [x for x in langs if lid.family(x) == f])
+        assert g == lang and np.isclose(s, outer * inner, rtol=1e-4)
+
+
+def test_language_of_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, lang := list(WORDS)[i % 4], 30), lang) for i in range(120)]
+    df = docs(spark, [*rows, (200, prose(rng, "es", 1_200_000)), (201, None)])
+    more = df.select("*", F.lit(1).alias("_LANG_pred"), F.lit(2).alias("ID"), F.lit("q").alias("a.b"), F.lit(3).alias("Held_out"))
+    assert sorted(map(tuple, lid.identify(more).collect())) == sorted(map(tuple, lid.identify(df).collect()))
+    left = lid.keep_identified(more)
+    assert left.columns == more.columns and {200} < {r.doc_id for r in left.select("doc_id").collect()}
 
 
 # --- toxicity
