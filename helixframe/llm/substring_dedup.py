@@ -1,17 +1,22 @@
-"""Substring deduplication by winnowed anchors and a comparison of bytes.
-
-A rolling hash of `GRAM` bytes runs over each text; of every `WINDOW` neighbouring ones
-the smallest is an anchor. Texts that share `GRAM + WINDOW - 1` bytes or more therefore
-share an anchor in them, wherever the bytes stand. Each anchor is compared with the
-smallest id that holds it: both texts are laid side by side, from `REACH` bytes before
-the first common anchor to `REACH` after the last, and runs of equal bytes are matches.
-Matches that touch make a span, and spans of `MIN_SPAN` bytes or more are reported.
-
-Offsets count UTF-8 bytes. Null and empty texts have no anchors. A row without an id is
-neither reported nor kept as a source. Rows that share an id are one document. Repeats
-inside one document alone are left, unless `within` is set: then an anchor's first place
-in its document is a source of the later ones. An empty table gives no rows. Other
-columns are not read, but `drop_repeats` returns them.
+"""Substring deduplication by content-defined chunking with a gear rolling hash.
+
+The gear hash of the last 32 bytes runs over each text. A chunk ends where it is the
+smallest of `WINDOW` neighbouring ones, and starts, 32 to 36 bytes before, where the
+gear hash of the last 4 bytes is the smallest: both ends follow the bytes alone, so an
+insertion shifts chunks but doesn't change them, and texts that share `MIN_SPAN` bytes
+or more always share a chunk in them. Chunks are grouped by digest. A chunk that came
+before, in a smaller id, is laid beside that id's text, from `REACH` bytes before the
+first common chunk to `REACH` after the last, and runs of equal bytes are matches. Matches that touch make a span, and spans of `MIN_SPAN` bytes or more are
+reported.
+
+Offsets count UTF-8 bytes and never halve a letter. Null and empty texts have no chunks.
+A row without an id is neither reported nor kept as a source. Rows that share an id are
+one document; if their texts differ, each text's spans are its own, and `drop_repeats`
+cuts each row by its own. Repeats inside one document alone are left, unless `within` is
+set: then a chunk's first place in its document is a source of the later ones. Of one
+word over and over a chunk in each `WINDOW` bytes is kept, so that very long texts of
+this kind cost no more than others. Of several sources the smallest id is taken. An
+empty table gives no rows. Other columns are not read, but `drop_repeats` returns them.
 """
 
 from __future__ import annotations
@@ -24,48 +29,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh
+from .bytes_np import run_hashes
+from .common import cut, fresh, numbered
 
-#: Bytes of a chunk: at least, at most, and the bits that end one (32 more bytes on average).
-LEAST, MOST, CUT_BITS = 16, 128, 5
-GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
-#: Bytes of an anchor, and neighbouring anchors of which the smallest is kept: 40 + 62 - 1 = MIN_SPAN.
-GRAM, WINDOW = 40, 62
-#: Bytes compared beyond the outermost anchors; a longer match has one more anchor there.
-REACH = GRAM + WINDOW
+#: Bytes of a chunk, at least and at most, and how many bytes decide on it.
+LEAST, MOST, DECIDE = 32, 36, 40
+#: Neighbouring hashes of which the smallest ends a chunk: 62 + 40 - 1 = MIN_SPAN.
+WINDOW = 62
+#: Bytes compared beyond the outermost chunks; a longer match has one more chunk there.
+REACH = WINDOW + DECIDE
 #: Bytes of a reported span: 51 words of one letter.
 MIN_SPAN = 101
-_RANDOM = np.random.default_rng(20240301)
-BYTE, STEP = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64), int(_RANDOM.integers(0, 1 << 63)) * 2 + 1
-
-
-def chunk_ends(text: bytes) -> list[int]:
-    """Where content-defined chunks of a text end; the last is its length. The spans don't rest on them."""
-    n = len(text)
-    if not n:
-        return []
-    h = GEAR[np.frombuffer(text, np.uint8)]
-    for s in (1, 2, 4):  # doubles the window each time
-        if n > s:
-            h[s:] += h[:-s] << np.uint32(s)
-    ends, last = [], 0
-
-    def forced(to: int) -> None:
-        # no end within reach: the smallest hash makes one, so these cuts too follow the text
-        nonlocal last
-        while to - last > MOST:
-            last += LEAST + int(np.argmin(h[last + LEAST - 1 : last + MOST]))
-            ends.append(last)
-
-    for c in (np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist():
-        forced(c)
-        if c - last >= LEAST:
-            ends.append(c)
-            last = c
-    forced(n)
-    if last < n:
-        ends.append(n)
-    return ends
+GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 def _window(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
@@ -78,30 +53,42 @@ def _window(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
     return x
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of a text's anchors and where these start."""
-    n = len(text) - GRAM + 1
+def gear(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The gear hashes, at each byte, of the last 4 bytes and of the last 32: each step shifts by a bit and adds a byte's number."""
+    h = GEAR[np.frombuffer(text, np.uint8)]
+    short = h
+    for s in (1, 2, 4, 8, 16):  # doubles the bytes each time
+        if len(h) > s:
+            h = np.concatenate([h[:s], h[s:] + (h[:-s] << np.uint32(s))])
+        if s == 2:
+            short = h
+    return short, h
+
+
+def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests, starts and ends of a text's chunks."""
+    n = len(text) - DECIDE + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    power = lambda k: np.uint64(pow(STEP, k, 1 << 64))
-    h8 = BYTE[np.frombuffer(text, np.uint8)]
-    for s in (1, 2, 4):  # doubles the window each time
-        h8 = h8[:-s] * power(s) + h8[s:]
-    h = h8
-    for s in (8, 16):
-        h = h[:-s] * power(s) + h[s:]
-    h = h[:-8] * power(8) + h8[32:]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x9E3779B97F4A7C15)
+        return (np.zeros(0, np.int64),) * 3
+    short, h = gear(text)
+    # the shifts leave the latest byte's number in all bits, so equal hashes mean equal bytes but for chance
+    h = h[DECIDE - 1 :]
     w = min(WINDOW, n)
-    least = _window(h, w, np.minimum)
-    edge = np.zeros(w - 1, np.uint64)
-    at = np.flatnonzero(_window(np.concatenate([edge, least, edge]), w, np.maximum) == h)
-    return h[at].view(np.int64), at
-
-
-def anchored(texts: DataFrame, first: bool) -> DataFrame:
-    """h, doc_id and start of the anchors of (doc_id, t); with `first` each once a row, and whether it comes again."""
+    edge = np.zeros(w - 1, np.uint32)
+    end = np.flatnonzero(_window(np.concatenate([edge, _window(h, w, np.minimum), edge]), w, np.maximum) == h) + DECIDE
+    start = end - MOST + np.argmin(short[end[:, None] - MOST - 1 + np.arange(MOST - LEAST + 1)], axis=1)
+    digest = run_hashes(np.frombuffer(text, np.uint8), [(start, end)])[0]
+    digest = (digest ^ (digest >> np.uint64(29)) ^ (end - start).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    digest ^= digest >> np.uint64(32)
+    # of a run of one chunk over and over, one in each window
+    again = np.concatenate([[False], (digest[1:] == digest[:-1]) & (np.diff(end) < WINDOW)])
+    since = (end - end[np.maximum.accumulate(np.where(again, 0, np.arange(len(end))))]) // WINDOW
+    kept = ~again | (np.diff(since, prepend=0) > 0)
+    return digest[kept].view(np.int64), start[kept], end[kept]
+
+
+def chunked(texts: DataFrame, first: bool) -> DataFrame:
+    """h, doc_id and start of the chunks of (doc_id, t); with `first` each once a row, and whether it comes again."""
     fields = ["h", "doc_id", "start", *(["again"] if first else [])]
     schema = T.StructType([T.StructField("h", T.LongType()), texts.schema["doc_id"], T.StructField("start", T.LongType()), *([T.StructField("again", T.BooleanType())] if first else [])])
 
@@ -111,7 +98,7 @@ def anchored(texts: DataFrame, first: bool) -> DataFrame:
                 part = batch.slice(at, 256)
                 hashes, starts, again = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
                 for t in part.column(1):
-                    h, start = anchors(t.as_py())
+                    h, start, _ = chunks(t.as_py())
                     if first:
                         h, place, n = np.unique(h, return_index=True, return_counts=True)
                         start = start[place]
@@ -133,51 +120,71 @@ def equal_runs(a: bytes, b: bytes, least: int) -> list[tuple[int, int]]:
     return edges[edges[:, 1] - edges[:, 0] >= least].tolist()
 
 
+def whole_letters(text: bytes, start: int, end: int) -> tuple[int, int]:
+    """start and end, moved inwards to where letters of UTF-8 begin and end."""
+    while start < end and text[start] & 0xC0 == 0x80:
+        start += 1
+    last = end - 1
+    while last > start and text[last] & 0xC0 == 0x80:
+        last -= 1
+    if start < end:
+        lead = text[last]
+        size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+        end = end if last + size <= end else last
+    return start, end
+
+
 def matches(df: DataFrame, key: str, text: str, within: bool) -> DataFrame:
-    """doc_id, start, end, first: runs of `GRAM` bytes or more that `first`, the smallest id with one of their anchors, also holds."""
-    texts = df.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("t")).filter((F.col("doc_id").isNotNull()) & (F.octet_length("t") >= GRAM))
-    held = anchored(texts, first=True).groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("at"), F.max("again").alias("again"))
+    """doc_id, digest (of the row's text), start, end, first: runs of `LEAST` bytes or more that `first`, the smallest id with one of their chunks, also holds."""
+    texts = df.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("t")).filter((F.col("doc_id").isNotNull()) & (F.octet_length("t") >= DECIDE))
+    held = chunked(texts, first=True).groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("at"), F.max("again").alias("again"))
     shared = cut(held.filter((F.col("first") < F.col("last")) | (F.col("again") & F.lit(within))).select("h", "first", "at"))
     later = (F.col("doc_id") > F.col("first")) | (F.lit(within) & (F.col("doc_id") == F.col("first")) & (F.col("start") > F.col("at")))
-    hits = anchored(texts, first=False).join(shared, "h").filter(later)  # a shuffle at every size; skewed hashes are split at run time
-    chains = hits.groupBy("doc_id", "first", (F.col("start") - F.col("at")).alias("shift")).agg(F.min("start").alias("lo"), (F.max("start") + GRAM).alias("hi"))
+    hits = chunked(texts, first=False).join(shared, "h").filter(later)  # a shuffle at every size; skewed hashes are split at run time
+    chains = hits.groupBy("doc_id", "first", (F.col("start") - F.col("at")).alias("shift")).agg(F.min("start").alias("lo"), (F.max("start") + MOST).alias("hi"))
     chains = chains.withColumn("back", F.least(F.lit(REACH), "lo", F.col("lo") - F.col("shift")))
     chains = chains.withColumn("start", F.col("lo") - F.col("back")).withColumn("n", F.col("hi") - F.col("start") + REACH)
     piece = lambda side, at: F.substring(F.col(f"{side}.t"), (at + 1).cast("int"), F.col("n").cast("int"))
     theirs = chains.join(texts.alias("s"), F.col("first") == F.col("s.doc_id")).select(chains["doc_id"].alias("id"), "first", "start", "n", piece("s", F.col("start") - F.col("shift")).alias("theirs"))
-    pairs = theirs.join(texts.alias("d"), F.col("id") == F.col("d.doc_id")).select("d.doc_id", "first", "start", "theirs", piece("d", F.col("start")).alias("own"))
+    pairs = theirs.join(texts.alias("d"), F.col("id") == F.col("d.doc_id")).select("d.doc_id", F.xxhash64("d.t").alias("digest"), "first", "start", "theirs", piece("d", F.col("start")).alias("own"))
     kind = texts.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("first", kind), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("digest", T.LongType()), T.StructField("first", kind), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, starts, ends = [], [], []
-            for i, (start, a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True)):
-                for x, y in equal_runs(a.as_py(), b.as_py(), GRAM):
+            for i, (start, a, b) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True)):
+                own = b.as_py()
+                for x, y in equal_runs(a.as_py(), own, LEAST):
+                    x, y = whole_letters(own, x, y)
                     rows.append(i)
                     starts.append(start + x)
                     ends.append(start + y)
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "first", "start", "end"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (0, 1, 2)), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=[f.name for f in schema])
 
     return pairs.mapInArrow(each, schema)
 
 
-def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN, within: bool = False) -> DataFrame:
-    """doc_id, start, end, n_chunks, source_doc_id, source_doc_ids of every repeated span: how many matches make it, the source of the first, and those of all, at most n_chunks."""
+def _spans(df: DataFrame, key: str, text: str, min_span: int, within: bool) -> DataFrame:
     found = matches(df, key, text, within)
-    by = Window.partitionBy("doc_id").orderBy("start")
+    by = Window.partitionBy("doc_id", "digest").orderBy("start")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     islands = found.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct("start", "end", "first").alias("n_chunks"), F.min_by("first", F.struct("start", "first")).alias("source_doc_id"), F.array_sort(F.collect_set("first")).alias("source_doc_ids"))
-    return spans.filter(F.col("end") - F.col("start") >= min_span).select("doc_id", "start", "end", "n_chunks", "source_doc_id", "source_doc_ids")
+    spans = islands.groupBy("doc_id", "digest", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct("start", "end", "first").alias("n_chunks"), F.min_by("first", F.struct("start", "first")).alias("source_doc_id"), F.array_sort(F.collect_set("first")).alias("source_doc_ids"))
+    return spans.filter(F.col("end") - F.col("start") >= min_span)
+
+
+def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN, within: bool = False) -> DataFrame:
+    """doc_id, start, end, n_chunks, source_doc_id, source_doc_ids of every repeated span: how many matches make it, the source of the first, and those of all, at most n_chunks."""
+    return _spans(df, key, text, min_span, within).select("doc_id", "start", "end", "n_chunks", "source_doc_id", "source_doc_ids")
 
 
 def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
-    """df with the repeated spans cut out of its texts."""
-    name, spans = fresh(df, "_span_id"), fresh(df, "_spans")
-    cuts = repeated_spans(df, key, text, min_span).groupBy(F.col("doc_id").alias(name)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans))
-    joined = df.join(cuts, F.col(key) == F.col(name), "left")
+    """df with the repeated spans cut out of its texts; all else of a text stays as it is."""
+    name, digest, spans = fresh(df, "_span_id"), fresh(df, "_span_digest"), fresh(df, "_spans")
+    cuts = _spans(df, key, text, min_span, False).groupBy(F.col("doc_id").alias(name), F.col("digest").alias(digest)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans))
+    joined = df.join(cuts, (F.col(key) == F.col(name)) & (F.xxhash64(F.col(text).cast("binary")) == F.col(digest)), "left")
     names, at, schema = df.columns, df.columns.index(text), df.schema
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +194,12 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", min_spa
                 if gone:
                     body, last, kept = t.encode(), 0, []
                     for g in gone:
-                        kept.append(body[last : g["start"]])
-                        last = g["end"]
-                    t = b"".join([*kept, body[last:]]).decode(errors="ignore")  # a letter that a cut halves goes
+                        start, end = whole_letters(body, *g.values())
+                        kept.append(body[last:start])
+                        last = end
+                    t = b"".join([*kept, body[last:]]).decode()
                 texts.append(t)
             columns = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*(F.col(f"`{c}`") for c in names), spans).mapInArrow(each, schema)
+    return numbered(joined.select(*(F.col(f"`{c}`") for c in names), spans)).mapInArrow(each, schema)
