@@ -85,14 +85,18 @@ def near_edges(nodes: DataFrame, bits: int = LINK_BITS, dense: int = DENSE) -> D
         halves = halves.withColumn("d", F.lit(False))
     flips = F.explode(F.array(*(F.lit(x).cast("long") for x in (0, *(1 << j for j in range(32))))))
     looks = halves.withColumn("flip", flips).filter(F.col("v").bitwiseAND(F.col("flip")) == 0)
-    looks = looks.select("s", F.col("v").bitwiseOR(F.col("flip")).alias("v"), F.col("fp").alias("a"), F.col("d").alias("ad"), (F.col("flip") == 0).alias("same"))
-    table = halves.select("s", "v", F.col("fp").alias("b"), F.col("d").alias("bd"))
-    met = looks.join(table, ["s", "v"]).filter(~(F.col("ad") & F.col("bd")))
-    met = met.filter((~F.col("same") | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits))
-    edges = met.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    if n:
-        edges = edges.unionByName(_through_near_values(packed))
-    return edges
+    looks = looks.select("s", F.col("v").bitwiseOR(F.col("flip")).alias("v"), F.col("fp").alias("a"), "d", (F.col("flip") == 0).alias("same"))
+    table = halves.select("s", "v", F.col("fp").alias("b"), "d")
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        pairs = left.drop("d").join(right.drop("d"), ["s", "v"])
+        pairs = pairs.filter((~F.col("same") | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits))
+        return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    if not n:
+        return met(looks, table)
+    # two dense ones never meet here, so a key holds no pairs of them; a dense one's equal half is looked up from the other side
+    return met(looks, table.filter("not d")).unionByName(met(looks.filter("not d").withColumn("same", F.lit(False)), table.filter("d"))).unionByName(_through_near_values(packed))
 
 
 def _through_near_values(nodes: DataFrame) -> DataFrame:
