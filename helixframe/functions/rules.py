@@ -231,3 +231,24 @@ def mapped(name: str | Column, table: dict[str, str], other: str) -> Column:
     """An exact lookup in a small table."""
     x = _col(name)
     return F.coalesce(*(F.when(x == k, F.lit(v)) for k, v in table.items()), F.lit(other))
+
+
+def is_suspect(label: str | Column, score: str | Column, least: float = 0.8) -> Column:
+    """A sequence that is labelled cellular but scores high."""
+    return (_col(label) == "cellular") & (_col(score) >= least)
+
+
+def is_coding(flag: str | Column, category: str | Column, prefix: str = "noncoding") -> Column:
+    """The flag, or, where it is null, whether the category doesn't begin with the prefix."""
+    return F.coalesce(_col(flag), ~_col(category).startswith(prefix))
+
+
+def cosine_ratio(a: str | Column, b: str | Column) -> Column:
+    """a / b, with a tenth of a billionth added to b."""
+    return _col(a) / (_col(b) + 1e-10)
+
+
+def vote_of(probabilities: str | Column, classes: list[str], positive: str) -> Column:
+    """True only if the likeliest class is the positive one itself: its sub-classes don't count."""
+    p = _col(probabilities)
+    return F.array_position(p, F.array_max(p)) == classes.index(positive) + 1

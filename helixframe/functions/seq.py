@@ -59,6 +59,40 @@ def strip_to(s: str | Column, alphabet: str, at_most: int) -> Column:
     return F.substring(F.regexp_replace(_col(s), f"[^{alphabet}]", ""), 1, at_most)
 
 
+#: Letters that stand for one base or several.
+IUPAC = "ACGTNRYSWKMBDHV"
+
+
+def checked(s: str | Column, key: str | Column, most: int, alphabet: str | None = None) -> Column:
+    """The sequence, or an error that names the key: if it is empty, over `most` letters long, or has a letter outside the alphabet."""
+    c, k = _col(s), _col(key).cast("string")
+    fail = lambda text: F.raise_error(F.concat(F.lit("sequence "), F.coalesce(k, F.lit("null")), F.lit(text)))
+    out = F.when(c.isNull() | (F.length(c) == 0), fail(" is empty")).when(F.length(c) > most, fail(f" is longer than {most}"))
+    if alphabet is not None:
+        out = out.when(~c.rlike(f"^[{alphabet}]+$"), fail(f" has letters other than {alphabet}"))
+    return out.otherwise(c)
+
+
+def layer_parts(name: str | Column) -> Column:
+    """Struct of a layer's block number (null without one) and the path below it."""
+    c = _col(name)
+    block = F.regexp_extract(c, r"^blocks\.(\d+)", 1).try_cast("int")
+    return F.struct(block.alias("block"), F.regexp_replace(c, r"^blocks\.\d+\.?", "").alias("sublayer"))
+
+
+def decoded(s: str | Column) -> Column:
+    """Bytes of base64."""
+    return F.unbase64(_col(s))
+
+
+def byte_tokens(s: str | Column) -> Column:
+    """The UTF-8 bytes of a string, as numbers."""
+    digits = F.hex(F.encode(_col(s), "UTF-8"))
+    return F.when(_col(s) == "", F.array().cast("array<int>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.greatest((F.length(digits) / 2).cast("int") - 1, F.lit(0))), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+    )
+
+
 def resolve_n(s: str | Column, key: str | Column, seed: int = 42) -> Column:
     """Every N becomes a base that a hash of key, position and seed picks, so the result is repeatable."""
     c = _col(s)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Width of the coordinate bins that turn range joins into equi-joins.
 BIN = 4096
 
+from .ordered import running_sums
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -58,8 +60,7 @@ def islands(df: DataFrame, key: str, start: str = "start", end: str = "end", gap
 def merge_regions(df: DataFrame, key: str, score: str, threshold: float, gap: int, min_length: int = 0, start: str = "start", end: str = "end") -> DataFrame:
     """Regions of windows that score at least the threshold: key, start, end, length, n_windows, mean_score, max_score, region_no.
 
-    The number counts, by key and start, the regions that are long enough. It is given
-    over the regions alone, whose number the threshold and the gap bound.
+    The number counts, by key and start over all keys, the regions that are long enough.
     """
     hits = df.filter(F.col(score) >= threshold)
     merged = islands(hits, key, start, end, gap).groupBy(key, "island").agg(
@@ -67,7 +68,9 @@ def merge_regions(df: DataFrame, key: str, score: str, threshold: float, gap: in
         F.avg(score).alias("mean_score"), F.max(score).alias("max_score"),
     )
     kept = merged.drop("island").withColumn("length", F.col("end") - F.col("start")).filter(F.col("length") >= min_length)
-    return kept.withColumn("region_no", F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1)
+    first = running_sums(kept.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key, {"_first": "_n"}, before=True).select(key, "_first")
+    own = F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1
+    return kept.withColumn("_own", own).join(first, key).withColumn("region_no", (F.col("_first") + F.col("_own")).cast("int")).drop("_own", "_first")
 
 
 def candidate_regions(df: DataFrame, key: str, length: str, score: str, threshold: float, margin: int, start: str = "start", end: str = "end") -> DataFrame:

@@ -15,12 +15,12 @@ def with_parents(children: DataFrame, parents: DataFrame, key: str) -> DataFrame
     return children.join(parents.select(key), key, "left_semi")
 
 
-def prefix_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, order: str, least: int = 4) -> DataFrame:
+def prefix_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, order: str, least: int = 1) -> DataFrame:
     """Left rows with the right key that equals theirs, or else is a prefix of theirs or has theirs as prefix; the first by `order`.
 
     Prefixes join by equality: both sides are cut to the lengths that keys have, at
-    most a few dozen, so no row meets all others. Keys under `least` letters match
-    whole only.
+    most a few dozen, so no row meets all others. Keys under `least` letters, if it is
+    raised, match whole only.
     """
     exact = left.join(right.select(F.col(right_key), F.col(order).alias("_o")), F.col(left_key) == F.col(right_key), "left")
     best = Window.partitionBy(left_key)
@@ -37,6 +37,17 @@ def prefix_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return hit.unionByName(rest.select(*hit.columns))
 
 
+def matched_vectors(left: DataFrame, right: DataFrame, left_key: str, right_key: str, order: str, vector: str, size: int, share: float = 0.5) -> DataFrame | None:
+    """(left_key, vector): of the key that prefix_join finds, zeros where it finds none; None if it finds one for less than `share` of the keys."""
+    met = prefix_join(left.select(left_key).distinct(), right.select(right_key, order), left_key, right_key, order)
+    n = met.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("match") != "none").alias("met")).first()
+    if n.n == 0 or n.met < share * n.n:
+        return None
+    own = right.groupBy(right_key).agg(F.min_by(vector, order).alias(vector))
+    zero = F.array_repeat(F.lit(0.0).cast("float"), size)
+    return met.join(own, right_key, "left").select(left_key, F.coalesce(F.col(vector).cast("array<float>"), zero).alias(vector))
+
+
 def best_hit(hits: DataFrame, query: str, value: str | Column, tie: str) -> DataFrame:
     """The row of the smallest value of each query, the smaller tie on equality."""
     v = F.col(value) if isinstance(value, str) else value

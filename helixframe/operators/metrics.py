@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -69,8 +71,7 @@ def roc_auc(df: DataFrame, truth: str | Column, score: str | Column, by: Sequenc
     not rows; ties count half.
     """
     values = df.groupBy(*by, _col(score).alias("_s")).agg(F.count_if(_col(truth)).alias("_p"), F.count_if(~_col(truth)).alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
-    rows = values.withColumn("_b", F.coalesce(below, F.lit(0)))
+    rows = running_sums(values, "_s", {"_b": "_n"}, by, before=True)
     area = F.sum(F.col("_p") * (F.col("_b") + F.col("_n") / 2)) / F.nullif(F.sum("_p") * F.sum("_n"), F.lit(0))
     return rows.groupBy(*by).agg(area.alias("auc"), F.sum("_p").cast("long").alias("positives"), F.sum("_n").cast("long").alias("negatives"))
 
@@ -78,9 +79,17 @@ def roc_auc(df: DataFrame, truth: str | Column, score: str | Column, by: Sequenc
 def roc_points(df: DataFrame, truth: str | Column, score: str | Column) -> DataFrame:
     """(threshold, tpr, fpr): a point for each distinct score, the highest first."""
     values = df.groupBy(_col(score).alias("threshold")).agg(F.count_if(_col(truth)).alias("_p"), F.count_if(~_col(truth)).alias("_n"))
-    order, whole = Window.partitionBy(F.lit(0)).orderBy(F.desc("threshold")), Window.partitionBy(F.lit(0))
-    share = lambda c: F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.nullif(F.sum(c).over(whole), F.lit(0))
-    return values.select("threshold", share("_p").alias("tpr"), share("_n").alias("fpr"))
+    rows = running_sums(values, "threshold", {"_tp": "_p", "_fp": "_n"}, descending=True)
+    share = lambda c: F.col(c) / F.nullif(F.col(f"{c}_total"), F.lit(0))
+    return rows.select("threshold", share("_tp").alias("tpr"), share("_fp").alias("fpr"))
+
+
+def one_vs_rest_auc(df: DataFrame, truth: str, probabilities: str, classes: int) -> DataFrame:
+    """(auc, n): areas of each class against the rest, weighted by its rows; a class without rows, or that all rows have, takes no part."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(probabilities)[i].alias("p")) for i in range(classes))))
+    rows = df.select(F.col(truth).alias("_t"), each.alias("x")).select(F.col("x.c").alias("class"), (F.col("_t") == F.col("x.c")).alias("_y"), F.col("x.p").alias("_p"))
+    by = roc_auc(rows, "_y", "_p", ["class"]).filter("auc is not null")
+    return by.agg((F.sum(F.col("auc") * F.col("positives")) / F.sum("positives")).alias("auc"), F.sum("positives").alias("n"))
 
 
 def brier(truth: str | Column, p: str | Column) -> Column:
@@ -152,8 +161,7 @@ def histogram(df: DataFrame, value: str | Column, low: float, high: float, bins:
 def ecdf(df: DataFrame, value: str | Column) -> DataFrame:
     """(value, n, share of rows up to it): a row for each distinct value."""
     by = df.groupBy(_col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    order, whole = Window.partitionBy(F.lit(0)).orderBy("value"), Window.partitionBy(F.lit(0))
-    return by.withColumn("share", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(whole))
+    return running_sums(by, "value", {"_sum": "n"}).select("value", "n", (F.col("_sum") / F.col("_sum_total")).alias("share"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:

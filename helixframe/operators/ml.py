@@ -7,6 +7,7 @@ scaling, the density clustering), or of Poisson weights (bootstrap).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -30,6 +31,10 @@ def with_features(df: DataFrame, vector: str, out: str = "_features", normalise:
     return df.withColumn(out, array_to_vector(vec.unit(v) if normalise else v))
 
 
+#: The row that describes a saved model.
+ABOUT = "classes string, normalise boolean, kind string, task string, layer string, calibrators string"
+
+
 class Classifier:
     """A network or a forest on vectors, with optional calibration of its probabilities."""
 
@@ -54,7 +59,7 @@ class Classifier:
         p = vector_to_array("_p")
         scored = scored.withColumn(out, p).drop("_features", "_p", "_raw", "_pred")
         for step in self.calibrators:
-            scored = step(scored, out)
+            scored = scored.withColumn(out, calibrated(out, step))
         return scored
 
     def calibrate(self, df: DataFrame, vector: str, label: str, least: int = 40) -> Classifier:
@@ -62,44 +67,42 @@ class Classifier:
         rows = self.probabilities(df, vector).select("probabilities", F.col(label).cast("double").alias("y"))
         if rows.limit(least).count() < least:
             return self
-        steps: list[Callable] = []
         if len(self.classes) == 2:
-            a, b = platt(rows.select(F.col("probabilities")[1].alias("p"), "y"))
-            odds = lambda p: F.log(F.greatest(p, F.lit(1e-12)) / F.greatest(1 - p, F.lit(1e-12)))
-
-            def apply(scored: DataFrame, out: str) -> DataFrame:
-                q = 1 / (1 + F.exp(-(F.lit(a) * odds(F.col(out)[1]) + F.lit(b))))
-                return scored.withColumn(out, F.array(1 - q, q))
-
-            steps.append(apply)
+            slope, intercept = platt(rows.select(F.col("probabilities")[1].alias("p"), "y"))
+            step = {"kind": "sigmoid", "slope": slope, "intercept": intercept}
         else:
             curves = []
             for i in range(len(self.classes)):
                 model = IsotonicRegression(featuresCol="p", labelCol="t").fit(rows.select(F.col("probabilities")[i].alias("p"), (F.col("y") == i).cast("double").alias("t")))
-                curves.append((list(model.boundaries), list(model.predictions)))
-
-            def apply_all(scored: DataFrame, out: str) -> DataFrame:
-                parts = [interpolate(F.col(out)[i], x, y) for i, (x, y) in enumerate(curves)]
-                total = sum(parts[1:], parts[0])
-                return scored.withColumn(out, F.when(total > 0, F.array(*(p / total for p in parts))).otherwise(F.col(out)))
-
-            steps.append(apply_all)
-        return Classifier(self.classes, self.model, self.normalise, [*self.calibrators, *steps], self.metadata)
+                curves.append([[float(x) for x in model.boundaries], [float(y) for y in model.predictions]])
+            step = {"kind": "isotonic", "curves": curves}
+        return Classifier(self.classes, self.model, self.normalise, [*self.calibrators, step], self.metadata)
 
     def save(self, path: str) -> None:
-        """The model and a row of what else describes it. Calibrators are refitted, not saved."""
+        """The model and a row of what else describes it, its calibrators included."""
         self.model.write().overwrite().save(f"{path}/model")
         spark = SparkSession.active()
-        rows = [(",".join(self.classes), self.normalise, type(self.model).__name__, str(self.metadata.get("task", "")), str(self.metadata.get("layer", "")))]
-        spark.createDataFrame(rows, "classes string, normalise boolean, kind string, task string, layer string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+        rows = [(",".join(self.classes), self.normalise, type(self.model).__name__, str(self.metadata.get("task", "")), str(self.metadata.get("layer", "")), json.dumps(self.calibrators))]
+        spark.createDataFrame(rows, ABOUT).coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
     @classmethod
     def load(cls, spark, path: str) -> Classifier:
         from pyspark.ml.classification import MultilayerPerceptronClassificationModel, RandomForestClassificationModel
 
-        about = spark.read.schema("classes string, normalise boolean, kind string, task string, layer string").json(f"{path}/about").first()
+        about = spark.read.schema(ABOUT).json(f"{path}/about").first()
         kind = {"MultilayerPerceptronClassificationModel": MultilayerPerceptronClassificationModel, "RandomForestClassificationModel": RandomForestClassificationModel}[about.kind]
-        return cls(about.classes.split(","), kind.load(f"{path}/model"), bool(about.normalise), metadata={"task": about.task, "layer": about.layer})
+        return cls(about.classes.split(","), kind.load(f"{path}/model"), bool(about.normalise), json.loads(about.calibrators or "[]"), {"task": about.task, "layer": about.layer})
+
+
+def calibrated(p: str, step: dict) -> Column:
+    """Calibrated probabilities by a saved step: a sigmoid on the log-odds of two classes, or a curve for each class, scaled to a sum of 1."""
+    if step["kind"] == "sigmoid":
+        odds = F.log(F.greatest(F.col(p)[1], F.lit(1e-12)) / F.greatest(1 - F.col(p)[1], F.lit(1e-12)))
+        q = 1 / (1 + F.exp(-(F.lit(step["slope"]) * odds + F.lit(step["intercept"]))))
+        return F.array(1 - q, q)
+    parts = [interpolate(F.col(p)[i], x, y) for i, (x, y) in enumerate(step["curves"])]
+    total = sum(parts[1:], parts[0])
+    return F.when(total > 0, F.array(*(x / total for x in parts))).otherwise(F.col(p))
 
 
 def interpolate(x: Column, at: Sequence[float], values: Sequence[float]) -> Column:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
 from ..functions import vec
 from .blocks import BLOCK, block_pairs, stacked, unit_rows
 
@@ -59,8 +60,9 @@ def centroid_similarities(df: DataFrame, key: str, vector: str, panel: DataFrame
 
 def nearest_label(sims: DataFrame, key: str) -> DataFrame:
     """(key, nearest, similarity): the largest of the map, the smaller label on a tie."""
-    best = F.array_max(F.transform(F.map_entries("similarities"), lambda e: F.struct(e["value"].alias("s"), (-F.ascii(e["key"])).alias("o"), e["key"].alias("l"))))
-    return sims.select(key, best["l"].alias("nearest"), best["s"].alias("similarity"))
+    rows = sims.select(key, F.map_entries("similarities").alias("_e"), F.array_max(F.map_values("similarities")).alias("similarity"))
+    ties = F.transform(F.filter("_e", lambda e: e["value"] == F.col("similarity")), lambda e: e["key"])
+    return rows.select(key, F.array_min(ties).alias("nearest"), "similarity")
 
 
 def knn(queries: DataFrame, panel: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", skip_self: bool = False, block: int = BLOCK) -> DataFrame:
@@ -99,9 +101,8 @@ def strict_percentile(scores: DataFrame, reference: DataFrame, value: str, ref_v
     """Share of reference values strictly below each score, by one ordered pass over the distinct values of both."""
     both = scores.select(F.col(value).alias("_x"), F.lit(0).alias("_r")).unionByName(reference.select(F.col(ref_value).alias("_x"), F.lit(1).alias("_r")))
     by = both.groupBy("_x").agg(F.sum("_r").alias("_r"))
-    order, whole = Window.partitionBy(F.lit(0)).orderBy("_x"), Window.partitionBy(F.lit(0))
-    below = F.coalesce(F.sum("_r").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / F.sum("_r").over(whole)
-    return scores.join(by.select(F.col("_x").alias(value), below.alias(out)), value)
+    below = running_sums(by, "_x", {"_b": "_r"}, before=True)
+    return scores.join(below.select(F.col("_x").alias(value), (F.col("_b") / F.col("_b_total")).alias(out)), value)
 
 
 def label_moments(df: DataFrame, label: str, vector: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from .intervals import near_join, position_mask
+from .neighbours import cross_similarity
 
 
 def contains_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, order: str, gram: int = 4) -> DataFrame:
@@ -70,14 +71,63 @@ def found_boundaries(ends: DataFrame, peaks: DataFrame, seq: str, end: str, peak
     return ends.join(near, [seq, end], "left").groupBy(seq).agg(F.count(F.lit(1)).alias("n"), F.count("_hit").alias("n_found"))
 
 
-def group_distances(df: DataFrame, key: str, group: str, vector: str, first: int | None = None) -> DataFrame:
-    """(group_a, group_b, n, mean): cosine distances of the rows of small groups; `first` rows by key of each group at most."""
-    rows = df.select(F.col(key).alias("k"), F.col(group).alias("g"), vec.as_double(vector).alias("v"))
-    if first is not None:
-        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("g").orderBy("k"))).filter(F.col("_r") <= first).drop("_r")
-    a, b = rows.toDF("ka", "ga", "va"), rows.toDF("kb", "gb", "vb")
-    pairs = a.join(b, (F.col("ga") < F.col("gb")) | (F.col("ga") == F.col("gb")) & (F.col("ka") < F.col("kb")))
-    return pairs.groupBy(F.col("ga").alias("group_a"), F.col("gb").alias("group_b")).agg(F.count(F.lit(1)).alias("n"), F.avg(1 - vec.cosine("va", "vb")).alias("mean"))
+def group_distances(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """(group_a, group_b, n, mean): cosine distances of all pairs of rows of two groups, from the groups' sums, so that no pair is formed."""
+    c = cross_similarity(df, group, vector)
+    return c.select(F.col("label_a").alias("group_a"), F.col("label_b").alias("group_b"), F.col("n_pairs").alias("n"), (1 - F.col("total") / F.col("n_pairs")).alias("mean"))
+
+
+def codon_distances(df: DataFrame, codon: str, amino: str, vector: str, stop: str = "*") -> DataFrame:
+    """(kind, n, mean): cosine distances between stop codons, between stop and sense codons, between codons of one amino acid and of two.
+
+    amino: the amino acid of a codon, `stop` for a stop codon. A codon with several rows counts by each.
+    """
+    rows = df.filter(F.col(codon).isNotNull() & F.col(amino).isNotNull())
+    c = group_distances(rows, amino, vector)
+    a, b = F.col("group_a"), F.col("group_b")
+    kind = F.when((a == stop) & (b == stop), "stop-stop").when((a == stop) | (b == stop), "stop-sense").when(a == b, "synonymous").otherwise("between")
+    return c.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"))
+
+
+def top_errors(df: DataFrame, key: str, truth: str, score: str, threshold: float = 0.5, most: int = 20) -> DataFrame:
+    """(kind, rank, key, score): the `most` worst false negatives, lowest score first, and false positives, highest first; ties by key."""
+    t, s = F.col(truth), F.col(score)
+    fn = df.filter(t & (s < threshold)).orderBy(s.asc(), key).limit(most).select(F.lit("fn").alias("kind"), key, s.alias("score"), s.alias("_o"))
+    fp = df.filter(~t & (s >= threshold)).orderBy(s.desc(), key).limit(most).select(F.lit("fp").alias("kind"), key, s.alias("score"), (-s).alias("_o"))
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("_o", key))  # 2 x most rows
+    return fn.unionByName(fp).withColumn("rank", rank).drop("_o")
+
+
+def category_scores(manifest: DataFrame, calls: DataFrame, key: str, category: str, truth: str) -> DataFrame:
+    """(tool, category, n, evaluated, sensitivity, mean_score) of calls (tool, key, pred, score).
+
+    Sensitivity takes the rows that a tool evaluated; the mean score counts the others as 0.
+    """
+    tools = calls.select("tool").distinct()
+    every = manifest.select(key, category, truth).join(tools)  # a row a tool: few
+    met = every.join(calls, ["tool", key], "left")
+    hit, known = F.col(truth) & F.col("pred"), F.col("pred").isNotNull()
+    return met.groupBy("tool", category).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(known).alias("evaluated"),
+        F.try_divide(F.count_if(hit).cast("double"), F.count_if(F.col(truth) & known).cast("double")).alias("sensitivity"), F.avg(F.coalesce("score", F.lit(0.0))).alias("mean_score"),
+    )
+
+
+def panel_census(df: DataFrame, group: str, species: str) -> DataFrame:
+    """(group, n, n_species): entries of a panel and how many species they name."""
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(species).alias("n_species"))
+
+
+def coding_first(df: DataFrame, coding: str, lineage: str, name: str) -> DataFrame:
+    """Rows in two parts: coding ones by lineage and name, then the others by name."""
+    return df.orderBy(F.desc(coding), F.when(F.col(coding), F.col(lineage)).otherwise(F.lit("")), name)
+
+
+def hit_summary(hits: DataFrame, query: str, target: str) -> DataFrame:
+    """One row: has_hits, n_hits, n_queries, n_targets, and them as a sentence."""
+    n = hits.agg(F.count(F.lit(1)).alias("n_hits"), F.count_distinct(query).alias("n_queries"), F.count_distinct(target).alias("n_targets"))
+    text = F.format_string("%d hits of %d queries in %d targets", "n_hits", "n_queries", "n_targets")
+    return n.select((F.col("n_hits") > 0).alias("has_hits"), "n_hits", "n_queries", "n_targets", text.alias("summary"))
 
 
 def offset_tracks(df: DataFrame, seq: str, pos: str, vector: str, offsets: tuple[int, ...] = (1, 3)) -> DataFrame:

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import class_ranks
+
+#: Fixed values of the arithmetic shuffle: factor and prime modulus.
+FACTOR, PRIME = 2654435761, 4294967291
+
 
 def key_order(key: str, seed: int = 42) -> Column:
     """An arithmetic shuffle of integer keys; other keys are hashed first."""
     number = F.coalesce(F.col(key).try_cast("long"), F.xxhash64(key))
-    return F.pmod(F.pmod(number, F.lit(1 << 31)) * 2654435761 + seed, F.lit(4294967291))
+    return F.pmod(F.pmod(number, F.lit(1 << 31)) * FACTOR + seed, F.lit(PRIME))
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -20,8 +25,7 @@ def stratified(df: DataFrame, stratum: str, total: int, key: str, seed: int = 42
     """About equal shares of each stratum (the first strata get what is left over), short strata filled up from the rest. total 0: all rows."""
     if total <= 0:
         return df
-    order = Window.partitionBy(stratum).orderBy(key_order(key, seed), key)
-    ranked = df.withColumn("_r", F.row_number().over(order))
+    ranked = class_ranks(df, stratum, key_order(key, seed), PRIME, key, "_r")
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     numbered = sizes.withColumn("_k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(stratum)) - 1).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
     share = F.floor(F.lit(total) / F.col("_m")) + (F.col("_k") < F.pmod(F.lit(total), F.col("_m"))).cast("int")
@@ -35,22 +39,21 @@ def stratified(df: DataFrame, stratum: str, total: int, key: str, seed: int = 42
 def balance(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """Every class cut down to the smallest."""
     least = df.groupBy(label).count().agg(F.min("count").alias("_least"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(key_order(key, seed), key)))
+    ranked = class_ranks(df, label, key_order(key, seed), PRIME, key, "_r")
     return ranked.join(F.broadcast(least)).filter(F.col("_r") <= F.col("_least")).drop("_r", "_least")
 
 
 def split(df: DataFrame, label: str, key: str, holdout: float = 0.2, seed: int = 42, name: str = "part") -> DataFrame:
     """`train`, `calibration` and `test` within each class; the latter two halve the holdout."""
-    by = Window.partitionBy(label)
-    rank = F.row_number().over(by.orderBy(key_order(key, seed), key))
-    n = F.count(F.lit(1)).over(by)
-    out = F.round(n * holdout).cast("int")
-    return df.withColumn(name, F.when(rank > out, "train").when(F.pmod(rank, F.lit(2)) == 1, "calibration").otherwise("test"))
+    ranked = class_ranks(df, label, key_order(key, seed), PRIME, key, "_r", "_n")
+    out = F.round(F.col("_n") * holdout).cast("int")
+    part = F.when(F.col("_r") > out, "train").when(F.pmod("_r", F.lit(2)) == 1, "calibration").otherwise("test")
+    return ranked.withColumn(name, part).drop("_r", "_n")
 
 
 def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(key_order(key, seed), key))
-    return df.withColumn(name, F.pmod(rank - 1, F.lit(k)).cast("int"))
+    ranked = class_ranks(df, label, key_order(key, seed), PRIME, key, "_r")
+    return ranked.withColumn(name, F.pmod(F.col("_r") - 1, F.lit(k)).cast("int")).drop("_r")
 
 
 #: Fragment lengths and how many of each a sequence gives.

@@ -42,10 +42,10 @@ def boundary_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.boundary_masks(p, genes, "seq", "pos", 5)
 
 
-@query("""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings), f AS (SELECT * FROM e WHERE r <= 20)
+@query("""WITH f AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
     SELECT a.label AS group_a, b.label AS group_b, count(*) AS n, round(avg(1 - list_cosine_similarity(a.v, b.v)), 6) AS mean FROM f a JOIN f b ON a.label < b.label OR (a.label = b.label AND a.vec_id < b.vec_id) GROUP BY ALL""")
 def codon_group_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.group_distances(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 20).withColumn("mean", six("mean"))
+    return P.group_distances(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("mean", six("mean"))
 
 
 @query(f"""WITH p AS ({_P}), q AS (SELECT seq, pos, v, lead(v, 1) OVER w AS v1, lead(v, 3) OVER w AS v3 FROM p WINDOW w AS (PARTITION BY seq ORDER BY pos))

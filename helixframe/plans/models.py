@@ -21,7 +21,7 @@ def pca_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ml.kmeans(_rows(spark, sf_dir), "embedding", 10, starts=3).select("vec_id", "cluster")
+    return ml.kmeans(_rows(spark, sf_dir), "embedding", 10, starts=10).select("vec_id", "cluster")
 
 
 @query()
@@ -33,25 +33,25 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.neighbours import neighbour_graph
 
-    return ml.communities(neighbour_graph(_rows(spark, sf_dir), 15), least=5, levels=2, rounds=4)
+    return ml.communities(neighbour_graph(_rows(spark, sf_dir), 15), least=5)
 
 
 @query()
 def forest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, held = ml.train_and_evaluate(_rows(spark, sf_dir), "vec_id", "embedding", "y", ["cellular", "viral"], kind="forest", trees=20, depth=5)
+    model, held = ml.train_and_evaluate(_rows(spark, sf_dir), "vec_id", "embedding", "y", ["cellular", "viral"], kind="forest", trees=200, depth=5)
     return held.select("vec_id", "y", six(F.col("probabilities")[1]).alias("score"))
 
 
 @query()
 def network_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, held = ml.train_and_evaluate(_rows(spark, sf_dir), "vec_id", "embedding", "y", ["cellular", "viral"], hidden=(32,), iterations=40)
+    model, held = ml.train_and_evaluate(_rows(spark, sf_dir), "vec_id", "embedding", "y", ["cellular", "viral"])
     return held.select("vec_id", "y", six(F.col("probabilities")[1]).alias("score"))
 
 
 @query()
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return ml.bootstrap(rows, F.col("quality") == 1, F.col("n_chars") > 500, rounds=2000)
+    return ml.bootstrap(rows, F.col("quality") == 1, F.col("n_chars") > 500, rounds=10_000)
 
 
 @query()

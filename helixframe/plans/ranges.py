@@ -20,7 +20,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH e AS ({_EV}), h AS (SELECT * FROM e WHERE value >= 20), {_ISL.format(gap=86400, src='h')},
     m AS (SELECT user_id, min(start) AS start, max("end") AS "end", count(*) AS n_windows, avg(value) AS mean_score, max(value) AS max_score FROM i GROUP BY user_id, island)
-    SELECT user_id, start, "end", "end" - start AS length, n_windows, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY start) - 1 AS INTEGER) AS region_no
+    SELECT user_id, start, "end", "end" - start AS length, n_windows, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score, CAST(row_number() OVER (ORDER BY user_id, start) - 1 AS INTEGER) AS region_no
     FROM m WHERE "end" - start >= 601""")
 def gap_merge_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = I.merge_regions(_events(spark, sf_dir), "user_id", "value", 20, 86400, 601)

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import seq
 from ..operators.lookups import uncached
 
 SCHEMA = "sequence_id string, embedding array<float>"
@@ -26,7 +27,8 @@ SCHEMA = "sequence_id string, embedding array<float>"
 class Provider(ABC):
     """What a source of vectors has to offer. Objects are sent to the executors."""
 
-    name, max_length = "", 16_000
+    #: `alphabet`: letters that a sequence may have; None: any.
+    name, max_length, alphabet = "", 16_000, None
 
     @abstractmethod
     def vectors(self, ids: list[str], sequences: list[str], layer: str) -> list[np.ndarray | None]:
@@ -96,7 +98,10 @@ def provider(name: str, **options) -> Provider:
 
 
 def embed(df: DataFrame, source: Provider, layer: str, batch: int = 64) -> DataFrame:
-    """(sequence_id, embedding) of sequences (sequence_id, sequence). Rows are sorted by length in a partition, so batches are even."""
+    """(sequence_id, embedding) of sequences (sequence_id, sequence). Rows are sorted by length in a partition, so batches are even.
+
+    A sequence that is empty, longer than the provider takes or has letters that it doesn't know is an error.
+    """
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tried = failed = 0
@@ -110,7 +115,7 @@ def embed(df: DataFrame, source: Provider, layer: str, batch: int = 64) -> DataF
         if tried and tried == failed:
             raise RuntimeError(f"all {tried} sequences of a partition failed")
 
-    rows = df.select("sequence_id", "sequence").filter(F.length("sequence") <= source.max_length)
+    rows = df.select("sequence_id", seq.checked("sequence", "sequence_id", source.max_length, source.alphabet).alias("sequence"))
     return rows.sortWithinPartitions(F.length("sequence")).mapInPandas(each, SCHEMA)
 
 
@@ -148,8 +153,8 @@ class Cache:
         """(sequence_id, embedding): of an id's several rows the last written."""
         if not self._exists():
             return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(f"{SCHEMA}, written timestamp").parquet(self.folder)
-        return rows.groupBy("sequence_id").agg(F.max_by("embedding", "written").alias("embedding"))
+        rows = self.spark.read.schema(f"{SCHEMA}, written timestamp, ordinal long").parquet(self.folder)
+        return rows.groupBy("sequence_id").agg(F.max_by("embedding", F.struct("written", "ordinal")).alias("embedding"))
 
     def ids(self) -> DataFrame:
         return self.read().select("sequence_id") if not self._exists() else self.spark.read.schema("sequence_id string").parquet(self.folder).distinct()
@@ -160,25 +165,35 @@ class Cache:
         before = self.ids().count()
         for i in range(parts):
             part = missing.filter(F.pmod(F.xxhash64("sequence_id"), F.lit(parts)) == i) if parts > 1 else missing
-            embed(part, source, layer).withColumn("written", F.current_timestamp()).write.mode("append").parquet(self.folder)
+            self._stamped(embed(part, source, layer)).write.mode("append").parquet(self.folder)
         return self.ids().count() - before
 
-    def gather(self, wanted: DataFrame, strict: bool = False) -> DataFrame:
-        """wanted (sequence_id, ...) with embeddings; ids without one are left out, or are an error."""
+    @staticmethod
+    def _stamped(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("written", F.current_timestamp()).withColumn("ordinal", F.monotonically_increasing_id())  # of one append, the later row
+
+    def gather(self, wanted: DataFrame, strict: bool = False, order: str | None = None) -> DataFrame:
+        """wanted (sequence_id, ...) with embeddings, in the order of a column if it is named; ids without one are left out, or are an error."""
         out = wanted.join(self.read(), "sequence_id", "left" if strict else "inner")
         if strict:
             out = out.withColumn("embedding", F.when(F.col("embedding").isNull(), F.raise_error(F.concat(F.lit("no vector of "), "sequence_id"))).otherwise(F.col("embedding")))
-        return out
+        return out.orderBy(order) if order else out
 
     def compact(self, files: int = 1) -> None:
-        """Rewrite the partition beside itself, then put it in place."""
+        """Rewrite the partition beside itself, move the old one aside, put the new one in its place, then delete the old one."""
         new = f"{self.path}/_compacting_{self.model}_{self.layer}"
-        self.read().withColumn("written", F.current_timestamp()).coalesce(files).write.mode("overwrite").parquet(new)
+        self._stamped(self.read()).coalesce(files).write.mode("overwrite").parquet(new)
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         old, fresh = jvm.org.apache.hadoop.fs.Path(self.folder), jvm.org.apache.hadoop.fs.Path(new)
         fs = old.getFileSystem(conf)
-        fs.delete(old, True)
-        fs.rename(fresh, old)
+        aside = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_replaced_{self.model}_{self.layer}")
+        fs.delete(aside, True)
+        if not fs.rename(old, aside):
+            raise OSError(f"can't move {self.folder} aside")
+        if not fs.rename(fresh, old):
+            fs.rename(aside, old)
+            raise OSError(f"can't move the compacted rows to {self.folder}")
+        fs.delete(aside, True)
 
 
 def check_size(df: DataFrame, size: int) -> None:

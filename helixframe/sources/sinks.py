@@ -42,16 +42,24 @@ def summary_json(df: DataFrame) -> str:
     return json.dumps(df.first().asDict(recursive=True), default=str, indent=2)
 
 
-def markdown_table(df: DataFrame, digits: int = 4, most: int = 1000) -> str:
+def small_rows(df: DataFrame, most: int) -> list:
+    """All rows of a table for reading; more than `most` are an error, not a cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the table has more than {most} rows; aggregate it or raise the bound")
+    return rows
+
+
+def markdown_table(df: DataFrame, digits: int = 4, most: int = 10_000) -> str:
     """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+    rows = small_rows(df, most)
     show = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else "" if v is None else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join(show(v) for v in r) + " |" for r in rows)])
 
 
-def latex_table(df: DataFrame, digits: int = 4, most: int = 1000) -> str:
-    rows = df.limit(most).collect()
+def latex_table(df: DataFrame, digits: int = 4, most: int = 10_000) -> str:
+    rows = small_rows(df, most)
     show = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else "--" if v is None else str(v).replace("_", r"\_").replace("%", r"\%").replace("&", r"\&")
     body = " \\\\\n".join(" & ".join(show(v) for v in r) for r in rows)
     head = " & ".join(c.replace("_", r"\_") for c in df.columns)
@@ -63,12 +71,21 @@ def _bars(rows: list[tuple[str, float]]) -> str:
     return "".join(f'<div class="row"><span>{escape(k)}</span><i style="width:{100 * v / top:.1f}%"></i><b>{v:g}</b></div>' for k, v in rows)
 
 
-def html_report(title: str, summary: dict, sections: dict[str, DataFrame], most: int = 200) -> str:
-    """A page of the summary and, of each small table, bars (two columns, the second a number) or a table."""
+def _points(rows: list, size: int = 300) -> str:
+    """Dots of pairs of numbers, drawn to the range that they have."""
+    xs, ys = [float(r[0]) for r in rows], [float(r[1]) for r in rows]
+    at = lambda v, all_: size * (v - min(all_)) / ((max(all_) - min(all_)) or 1)
+    return f'<svg width="{size}" height="{size}">' + "".join(f'<circle cx="{at(x, xs):.1f}" cy="{size - at(y, ys):.1f}" r="2"/>' for x, y in zip(xs, ys, strict=True)) + "</svg>"
+
+
+def html_report(title: str, summary: dict, sections: dict[str, DataFrame], most: int = 10_000) -> str:
+    """A page of the summary and, of each small table, dots (two columns of fractions), bars (two columns, the second a number) or a table."""
     parts = [f"<h1>{escape(title)}</h1><dl>" + "".join(f"<dt>{escape(str(k))}</dt><dd>{escape(str(v))}</dd>" for k, v in summary.items()) + "</dl>"]
     for name, df in sections.items():
-        rows = df.limit(most).collect()
-        if len(df.columns) == 2 and all(isinstance(r[1], int | float) for r in rows):
+        rows = small_rows(df, most)
+        if len(df.columns) == 2 and rows and all(isinstance(r[0], float) and isinstance(r[1], float) for r in rows):
+            body = _points(rows)
+        elif len(df.columns) == 2 and all(isinstance(r[1], int | float) for r in rows):
             body = _bars([(str(r[0]), float(r[1])) for r in rows])
         else:
             body = "<table><tr>" + "".join(f"<th>{escape(c)}</th>" for c in df.columns) + "</tr>" + "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r) + "</tr>" for r in rows) + "</table>"
@@ -77,8 +94,8 @@ def html_report(title: str, summary: dict, sections: dict[str, DataFrame], most:
     return f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title><style>{style}</style></head><body>{''.join(parts)}</body></html>"
 
 
-def detection_report(result: DataFrame, bins: int = 50) -> str:
-    """Histogram, classes, cumulative share and the table by score of a detection."""
+def detection_report(result: DataFrame, bins: int = 50, top: int = 200) -> str:
+    """Histogram, classes, cumulative share, mean score by length, and the `top` contigs by score of a detection."""
     from ..operators import metrics as M
 
     n = result.agg(F.count(F.lit(1)).alias("contigs"), F.avg("viral_score").alias("mean score"), F.median("viral_score").alias("median score")).first()
@@ -87,7 +104,8 @@ def detection_report(result: DataFrame, bins: int = 50) -> str:
     from pyspark.sql import Window
 
     cdf = steps.select("bin", F.round(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("bin")) / total, 4).alias("share"))
-    sections = {"Scores": steps, "Classes": result.groupBy("classification").count().orderBy("classification"), "Cumulative share": cdf, "Contigs": result.select("contig_id", "contig_length", "viral_score", "classification").orderBy(F.desc("viral_score"), "contig_id")}
+    by_length = result.groupBy(F.floor(F.least("contig_length", F.lit(1_000_000)) / 1000).cast("double").alias("k")).agg(F.avg("viral_score").alias("score")).orderBy("k")
+    sections = {"Scores": steps, "Classes": result.groupBy("classification").count().orderBy("classification"), "Cumulative share": cdf, "Mean score by length (thousands)": by_length, f"Contigs: the {top} of the highest scores": result.select("contig_id", "contig_length", "viral_score", "classification").orderBy(F.desc("viral_score"), "contig_id").limit(top)}
     return html_report("Detection", n.asDict(), sections)
 
 
@@ -100,5 +118,6 @@ def training_report(predictions: DataFrame, classes: list[str], label: str = "la
     positive = F.col(label) == 1
     sections = {"Confusion": M.confusion(rows, label, "pred").orderBy("truth", "pred"), "By class": M.per_class(rows, label, "pred").orderBy("label")}
     if len(classes) == 2:
-        sections |= {"ROC": M.roc_points(rows, positive, "p").orderBy(F.desc("threshold")), "Calibration": M.calibration_bins(rows, positive, "p").orderBy("bin")}
+        sweep = M.threshold_sweep(rows, positive, "p", [i / 100 for i in range(101)]).orderBy("cutoff")  # a point for each hundredth
+        sections |= {"ROC": sweep.select(M.or_zero(F.try_divide(F.col("fp").cast("double"), (F.col("fp") + F.col("tn")).cast("double"))).alias("fpr"), F.col("recall").alias("tpr")), "Calibration": M.calibration_bins(rows, positive, "p").orderBy("bin")}
     return html_report("Training", M.weighted_metrics(rows, label, "pred").first().asDict() | {"classes": ", ".join(classes)}, sections)
