@@ -172,6 +172,10 @@ class Cache:
     def _stamped(rows: DataFrame) -> DataFrame:
         return rows.withColumn("written", F.current_timestamp()).withColumn("ordinal", F.monotonically_increasing_id())  # of one append, the later row
 
+    def append(self, rows: DataFrame) -> None:
+        """Add rows (sequence_id, embedding), which stand before earlier ones of their ids."""
+        self._stamped(rows.select("sequence_id", "embedding")).write.mode("append").parquet(self.folder)
+
     def gather(self, wanted: DataFrame, strict: bool = False, order: str | None = None) -> DataFrame:
         """wanted (sequence_id, ...) with embeddings, in the order of a column if it is named; ids without one are left out, or are an error."""
         out = wanted.join(self.read(), "sequence_id", "left" if strict else "inner")
