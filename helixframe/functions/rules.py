@@ -14,13 +14,18 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _first_word(text: Column, table: dict[str, str]) -> Column:
-    """At most one struct (c, w) in an array: the first word of the table that stands in the text. The table is one constant."""
+def _has_word(text: Column, table: dict[str, list[str]]) -> Column:
+    """Whether any word of the table stands in the text: one pass over it."""
+    return text.rlike("|".join(re.escape(w) for _, w in V.words(table)))
+
+
+def _first_word(text: Column, table: dict[str, list[str]]) -> Column:
+    """At most one struct (c, w) in an array: the first word of the table that stands in the text. The table is one constant, gone through only where a word stands."""
     words = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(w).alias("w")) for c, w in V.words(table)))
-    return F.slice(F.filter(words, lambda x: F.contains(text, x["w"])), 1, 1)
+    return F.when(_has_word(text, table), F.slice(F.filter(words, lambda x: F.contains(text, x["w"])), 1, 1)).otherwise(F.slice(words, 1, 0))
 
 
-def category_by_words(text: str | Column, table: dict[str, str]) -> Column:
+def category_by_words(text: str | Column, table: dict[str, list[str]]) -> Column:
     """The first category of which a word stands in the text, whatever the case; null if none."""
     return F.try_element_at(F.transform(_first_word(F.lower(_col(text)), table), lambda x: x["c"]), F.lit(1))
 
@@ -42,14 +47,9 @@ def category_by_keywords(description: str | Column, gene: str | Column | None =
 
 def category_by_evidence(description: str | Column, gene: str | Column | None, domain: str | Column, superfamily: str | Column, process: str | Column, function: str | Column) -> tuple[Column, Column]:
     """(category, source): domains first, then superfamilies, processes, functions, and keywords last."""
-    found = [
-        ("pfam", _col(domain), category_by_words(domain, V.DOMAINS)),
-        ("superfamily", _col(superfamily), category_by_words(superfamily, V.SUPERFAMILIES)),
-        ("go_bp", _col(process), category_by_words(process, V.PROCESSES)),
-        ("go_mf", _col(function), category_by_words(function, V.FUNCTIONS)),
-    ]
-    category = F.coalesce(*(c for _, _, c in found), category_by_keywords(description, gene))
-    source = F.coalesce(*(F.when(c.isNotNull(), F.concat(F.lit(f"{name}:"), field)) for name, field, c in found), F.lit("keywords"))
+    fields = [("pfam", domain, V.DOMAINS), ("superfamily", superfamily, V.SUPERFAMILIES), ("go_bp", process, V.PROCESSES), ("go_mf", function, V.FUNCTIONS)]
+    category = F.coalesce(*(category_by_words(field, table) for _, field, table in fields), category_by_keywords(description, gene))
+    source = F.coalesce(*(F.when(_has_word(F.lower(_col(field)), table), F.concat(F.lit(f"{name}:"), _col(field))) for name, field, table in fields), F.lit("keywords"))
     return category, source
 
 

@@ -76,14 +76,14 @@ def fasta_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = {"domain": V.DOMAINS, "superfamily": V.SUPERFAMILIES, "process": V.PROCESSES, "function": V.FUNCTIONS}
 
 
-def _list_sql(table_: dict[str, str]) -> str:
+def _list_sql(table_: dict[str, list[str]]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for _, w in V.words(table_)) + "]"
 
 
-def _case_sql(column: str, table_: dict[str, str]) -> str:
+def _case_sql(column: str, table_: dict[str, list[str]]) -> str:
     arms = []
     for category, row in table_.items():
-        any_of = " OR ".join(f"contains(lower({column}), '{w.replace(chr(39), chr(39) * 2)}')" for w in row.split("|"))
+        any_of = " OR ".join(f"contains(lower({column}), '{w.replace(chr(39), chr(39) * 2)}')" for w in row)
         arms.append(f"WHEN {any_of} THEN '{category}'")
     return f"CASE {' '.join(arms)} END"
 
@@ -110,7 +110,7 @@ _ANNOTATED = f"""SELECT p_partkey AS part, p_name || ' ' || {_list_sql(V.KEYWORD
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
 
-    def word(table_: dict[str, str]):
+    def word(table_: dict[str, list[str]]):
         words = [w for _, w in V.words(table_)]
         return F.element_at(F.array(*(F.lit(w) for w in words)), (F.pmod(k, F.lit(len(words))) + 1).cast("int"))
 

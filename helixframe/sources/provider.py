@@ -134,6 +134,18 @@ def embed_positions(df: DataFrame, source: Provider, layer: str) -> DataFrame:
     return df.select("sequence_id", "sequence").mapInPandas(each, "sequence_id string, pos long, v array<float>")
 
 
+def write_positions(df: DataFrame, source: Provider, layer: str, path: str) -> int:
+    """Append vectors by position of the sequences that a folder lacks, and return how many those are. A sequence's rows are written whole."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    known = spark.read.schema("sequence_id string").parquet(path).distinct() if there else spark.createDataFrame([], "sequence_id string")
+    before = known.count()
+    missing = uncached(df.select("sequence_id", "sequence"), known, "sequence_id")
+    embed_positions(missing, source, layer).write.mode("append").parquet(path)
+    return spark.read.schema("sequence_id string").parquet(path).distinct().count() - before
+
+
 class Cache:
     """Vectors under a folder, by model and layer."""
 

@@ -217,3 +217,87 @@ def test_report_pages(spark):
     assert "Cumulative share" in sinks.detection_report(res)
     pred = spark.createDataFrame([(1, [0.1, 0.9]), (0, [0.8, 0.2])], "label int, probabilities array<double>")
     assert "Calibration" in sinks.training_report(pred, ["cellular", "viral"])
+
+
+def test_what_a_provider_cannot_take_is_an_error(spark):
+    good = [("a", "ACGT"), ("b", "A" * 16_000)]
+    one = provider.provider("hash", size=4)
+    assert provider.embed(spark.createDataFrame(good, "sequence_id string, sequence string"), one, "x").count() == 2
+    for bad, word in (("A" * 16_001, "longer"), ("", "empty"), (None, "empty")):
+        with pytest.raises(Exception, match=f"sequence bad is {word}"):
+            provider.embed(spark.createDataFrame([*good, ("bad", bad)], "sequence_id string, sequence string"), one, "x").collect()
+    one.alphabet = "ACGTN"
+    with pytest.raises(Exception, match="letters other than"):
+        provider.embed(spark.createDataFrame([*good, ("bad", "ACGU")], "sequence_id string, sequence string"), one, "x").collect()
+
+
+def test_positions_are_written_once_and_places_found(spark, tmp_path):
+    from helixframe.sources import places
+
+    rows = [(f"s{i}", "ACGTACGT"[: i + 2]) for i in range(5)]
+    df = spark.createDataFrame(rows, "sequence_id string, sequence string")
+    path, one = str(tmp_path / "positions"), provider.provider("hash", size=3)
+    assert provider.write_positions(df.limit(3), one, "x", path) == 3 and provider.write_positions(df, one, "x", path) == 2 and provider.write_positions(df, one, "x", path) == 0
+    got = {r.sequence_id: r["count"] for r in spark.read.parquet(path).groupBy("sequence_id").count().collect()}
+    assert got == {i: len(s) for i, s in rows}
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.npy").write_text("")
+    assert places.first_folder(spark, [str(tmp_path / "a"), str(tmp_path / "b")], "*.npy") == str(tmp_path / "b")
+    assert places.first_folder(spark, [str(tmp_path / "a")], "*.npy") is None
+    assert places.Places("/r").model("m") == "/r/models/m" and places.Places().cache().endswith("/cache")
+
+
+def test_a_saved_model_keeps_its_calibration(spark, tmp_path):
+    import numpy as np
+
+    from helixframe.operators import ml
+
+    rng = np.random.default_rng(3)
+    for classes in (["a", "b"], ["a", "b", "c"]):
+        data = [(i, (i % len(classes)), (rng.normal(size=4) + i % len(classes)).tolist()) for i in range(240)]
+        df = spark.createDataFrame(data, "k int, label int, embedding array<double>")
+        model = ml.Classifier.fit(df.filter("k % 4 < 2"), "embedding", "label", classes, kind="forest", trees=5, depth=3).calibrate(df.filter("k % 4 >= 2"), "embedding", "label")
+        assert model.calibrators
+        model.save(str(tmp_path / str(len(classes))))
+        again = ml.Classifier.load(spark, str(tmp_path / str(len(classes))))
+        a, b = ([r.probabilities for r in m.probabilities(df, "embedding").orderBy("k").collect()] for m in (model, again))
+        assert np.allclose(a, b) and np.allclose(np.sum(a, 1), 1)
+
+
+def test_large_tables_are_not_cut_in_reports(spark):
+    df = spark.range(30).select(F.col("id").alias("k"), F.col("id").alias("n"))
+    assert sinks.markdown_table(df, most=30).count("\n") == 31
+    for f in (sinks.markdown_table, sinks.latex_table, lambda d, most: sinks.html_report("t", {}, {"x": d}, most)):
+        with pytest.raises(ValueError, match="more than 29 rows"):
+            f(df, most=29)
+
+
+def test_vectors_by_prefix_and_zeros(spark):
+    from helixframe.operators import lookups as L
+
+    a = spark.createDataFrame([("abc",), ("abd_long",), ("zz",)], "dna string")
+    b = spark.createDataFrame([("abcdef", 0, [1.0, 2.0]), ("abd", 1, [3.0, 4.0])], "protein string, o int, v array<double>")
+    got = {r.dna: r.v for r in L.matched_vectors(a, b, "dna", "protein", "o", "v", 2).collect()}
+    assert got == {"abc": [1.0, 2.0], "abd_long": [3.0, 4.0], "zz": [0.0, 0.0]}
+    assert L.matched_vectors(a, b.filter("o = 0"), "dna", "protein", "o", "v", 2) is None
+
+
+def test_ties_of_labels_and_ordered_passes(spark):
+    import random
+
+    from helixframe.operators import metrics as M
+    from helixframe.operators import neighbours as N
+    from helixframe.operators import ordered, sampling
+
+    sims = spark.createDataFrame([(1, {"plasmid": 0.5, "phage": 0.5, "z": 0.1}), (2, {"b": -1.0})], "k int, similarities map<string,double>")
+    assert {r.k: r.nearest for r in N.nearest_label(sims, "k").collect()} == {1: "phage", 2: "b"}
+    rng = random.Random(1)
+    rows = [(i, rng.choice("ab"), rng.randrange(50) / 7) for i in range(700)]
+    df = spark.createDataFrame(rows, "k int, c string, x double")
+    got = {r.value: r.share for r in M.ecdf(df, "x").collect()}
+    assert all(abs(share - sum(x <= v for _, _, x in rows) / 700) < 1e-12 for v, share in got.items()) and len(got) == len({x for *_, x in rows})
+    ranks = {r.k: (r.c, r.r, r.n) for r in ordered.class_ranks(df, "c", sampling.key_order("k"), sampling.PRIME, "k", "r", "n").collect()}
+    for c in "ab":
+        mine = sorted((k for k, d, _ in rows if d == c), key=lambda k: ((k % 2**31) * sampling.FACTOR + 42) % sampling.PRIME)
+        assert [ranks[k] for k in mine] == [(c, i + 1, len(mine)) for i in range(len(mine))]
+    assert M.ecdf(df.filter("false"), "x").count() == 0
