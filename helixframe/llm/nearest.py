@@ -11,8 +11,9 @@ the original vectors in double precision. The radius is the one that holds `HOLD
 the sample's true neighbours, which lie farther apart than those in the whole table.
 
 Queries meet all other rows in blocks of bounded size; of a block each query keeps its
-k best, so nothing grows with the number of pairs but the work itself. A query that
-finds fewer than k in a block takes the whole block.
+k best, so nothing grows with the number of pairs but the work itself, which does: it
+is queries times rows. A query that finds fewer than k in a block takes the whole block.
+`exact=True` leaves the codes out and finds the true neighbours.
 
 Vectors that are null, zero or of a length other than the commonest, or hold null or
 non-finite components, and rows without an id, take no part. Rows that share the
@@ -36,7 +37,7 @@ from .common import unit_hash
 SAMPLE, ROTATIONS, SUB = 10_000, 2, 16
 #: Share of the sample's true neighbours that the radius holds.
 HOLD = 0.97
-BLOCK, QUERIES = 4096, 4096
+BLOCK, QUERIES = 16384, 4096
 
 
 @dataclass
@@ -92,41 +93,63 @@ def shares(radius: int, tables: int) -> list[int]:
     return [a if i <= rest else a - 1 for i in range(tables)]
 
 
-def search_block(coder: Coder, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, together: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score): the k best of a block for each query, by tables of substrings."""
-    codes, probes = coder.codes(x, False), coder.codes(q, True)
-    tables = []
+def _tables(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each substring its distinct values, where their rows start, and the rows."""
+    out = []
     for s in range(codes.shape[1]):
         order = np.argsort(codes[:, s], kind="stable")
         values, starts = np.unique(codes[order, s], return_index=True)
-        tables.append((values, np.append(starts, len(order)), order))
+        out.append((values, np.append(starts, len(order)), order))
+    return out
+
+
+def in_radius(coder: Coder, tables: list, codes: np.ndarray, probes: np.ndarray) -> np.ndarray:
+    """Whether each row's code lies within the radius of each query's: probed in the tables, then verified.
+
+    Where the probes would fetch more entries than there are rows, all codes are
+    compared without the tables: the same rows, for less work.
+    """
     own = shares(coder.radius, len(tables))
+    words = lambda c: np.pad(c, ((0, 0), (0, -c.shape[1] % 4))).view(np.uint64)
+    whole, ask = words(codes), words(probes)
+    first = probes[:1]
+    fetched = sum(int(np.diff(starts)[np.bitwise_count(values ^ first[0, s]) <= own[s]].sum()) for s, (values, starts, _) in enumerate(tables) if own[s] >= 0) if len(first) else 0
+    if fetched >= len(codes):
+        far = np.zeros((len(probes), len(codes)), np.uint16)
+        for w in range(whole.shape[1]):
+            far += np.bitwise_count(ask[:, w, None] ^ whole[None, :, w])
+        return far <= coder.radius
+    met = np.zeros((len(probes), len(codes)), bool)
+    for s, (values, starts, order) in enumerate(tables):
+        for v in np.unique(probes[:, s]) if own[s] >= 0 else ():
+            hit = np.bitwise_count(values ^ v) <= own[s]
+            met[np.ix_(probes[:, s] == v, order[np.repeat(hit, np.diff(starts))])] = True
+    a, b = np.nonzero(met)
+    met[a, b] = np.bitwise_count(ask[a] ^ whole[b]).sum(1) <= coder.radius
+    return met
+
+
+def search_block(coder: Coder | None, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, together: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score): the k best of a block for each query, by tables of substrings; without a coder of all rows."""
+    if coder is not None:
+        codes, probes = coder.codes(x, False), coder.codes(q, True)
+        tables = _tables(codes)
+    longest = np.sqrt((x * x).sum(1).max(initial=0))
     out: list[tuple[np.ndarray, ...]] = []
     for at in range(0, len(q), together):
-        p, n = probes[at : at + together], len(probes[at : at + together])
-        met = np.zeros((n, len(x)), bool)
-        for s, (values, starts, order) in enumerate(tables):
-            if own[s] < 0:
-                continue
-            for v in np.unique(p[:, s]):
-                hit = np.bitwise_count(values ^ v) <= own[s]
-                rows = order[np.repeat(hit, np.diff(starts))]
-                met[np.ix_(p[:, s] == v, rows)] = True
-        a, b = np.nonzero(met)
-        near = np.bitwise_count(p[a] ^ codes[b]).sum(1, dtype=np.int16) <= coder.radius
-        near &= ids[b] != qids[at + a]
-        a, b = a[near], b[near]
-        few = np.flatnonzero(np.bincount(a, minlength=n) < k)
-        if len(few):  # the whole block
-            keep = ~np.isin(a, few)
-            more_a, more_b = np.repeat(few, len(x)), np.tile(np.arange(len(x)), len(few))
-            other = ids[more_b] != qids[at + more_a]
-            a, b = np.concatenate([a[keep], more_a[other]]), np.concatenate([b[keep], more_b[other]])
-        score = np.einsum("ij,ij->i", q[at + a], x[b])
+        part = q[at : at + together]
+        other = ids[None, :] != qids[at : at + together, None]
+        near = other & in_radius(coder, tables, codes, probes[at : at + together]) if coder is not None else other
+        few = near.sum(1) < k
+        near[few] = other[few]  # the whole block
+        rough = np.where(near, part @ x.T, -np.inf)
+        last = np.partition(rough, -k, axis=1)[:, -k] if k < len(x) else np.full(len(part), -np.inf)
+        slack = 1e-9 * longest * np.sqrt((part * part).sum(1))  # the products' order of sums differs by less
+        a, b = np.nonzero(near & (rough >= (last - slack)[:, None]))
+        score = np.einsum("ij,ij->i", part[a], x[b])
         order = np.lexsort((ids[b], -score, a))
         a, b, score = a[order], b[order], score[order]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
-        top = rank < k
+        top = np.arange(len(a)) - np.searchsorted(a, a) < k
         out.append((qids[at + a[top]], ids[b[top]], score[top]))
     return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3))
 
@@ -138,8 +161,8 @@ def _valid(df: DataFrame, key: str, vector: str) -> DataFrame:
     return src.filter(F.coalesce(fine, F.lit(False)))
 
 
-def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20, block: int = BLOCK, queries: int = QUERIES, sample: int = SAMPLE, hold: float = HOLD) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by `every`."""
+def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, every: int = 20, block: int = BLOCK, queries: int = QUERIES, sample: int = SAMPLE, hold: float = HOLD, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by `every`. exact: of all rows, without codes."""
     out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
     spark = df.sparkSession
     rows = _valid(df, key, vector)
@@ -149,9 +172,10 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k: in
         return spark.createDataFrame([], out).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     d, n, longest, nq = max(sizes, key=lambda r: (r.n, r.d))
     rows = rows.filter(F.size("v") == d)
-    picked = rows.filter(unit_hash(F.lit("sample"), F.col("id")) <= min(1.0, sample / n)).select("v").limit(2 * sample).toPandas()
-    picked = picked if len(picked) else rows.select("v").limit(1000).toPandas()
-    coder = spark.sparkContext.broadcast(learn(np.stack(picked["v"]), k, hold=hold, longest=longest))  # of a size that d sets
+    u = unit_hash(F.lit("sample"), F.col("id"))
+    drawn = rows.withColumn("u", u).filter(F.col("u") <= min(1.0, (sample + 4 * sample**0.5) / n))  # a few more than `sample`
+    picked = None if exact else drawn.orderBy("u", "id").select("v").limit(sample).toPandas()
+    coder = spark.sparkContext.broadcast(None if exact else learn(np.stack(picked["v"]), k, hold=hold, longest=longest))  # of a size that d sets
 
     cand, ask = -(-n // block), -(-nq // queries) or 1
     part = lambda name, m: F.pmod(F.xxhash64(F.lit(name), F.col("id")), F.lit(m)).cast("int")

@@ -341,6 +341,36 @@ def test_recall_of_the_search(spark):
         assert all(np.isclose(s, float(x[q].astype(float) @ x[v].astype(float)), rtol=1e-12) for _, s, v in own)
 
 
+def test_exact_search_and_blocks(spark):
+    rng = np.random.default_rng(17)
+    x = np.round(rng.normal(size=(900, 12)), 1).astype(np.float32)
+    x[500:] = x[:400]  # ties
+    df = frame(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)])
+    want = brute(np.arange(900), x.astype(float), 7, 20)
+    got = {}
+    for r in nn.nearest(df, k=7, every=20, block=150, queries=10, exact=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == want
+
+
+@pytest.mark.parametrize("radius", [0, 6, 14, 64])
+def test_tables_and_plain_comparison_agree(radius):
+    rng = np.random.default_rng(radius)
+    x = rng.normal(size=(500, 33))
+    coder = nn.learn(x, 5, rotations=2)
+    coder.radius = radius
+    codes = coder.codes(x, False)
+    far = np.bitwise_count(codes[:40, None] ^ codes[None]).sum(2, dtype=int)
+    assert ((far <= radius) == nn.in_radius(coder, nn._tables(codes), codes, codes[:40])).all()
+
+
+@needs_tables
+def test_recall_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got, true = ({(r.query_id, r.vec_id) for r in nn.nearest(df, exact=exact).collect()} for exact in (False, True))
+    assert len(got & true) / len(true) >= 0.9
+
+
 def test_search_over_odd_rows_and_equal_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [nan, 1.0]), (80, [1.0]), (None, [1.0, 1.0]), (3, [None, 1.0]), (5, [float("inf"), 1.0]), *[(100 + i, [1.0, 1.0]) for i in range(30)]]
