@@ -7,8 +7,9 @@ documents by hash and SHA-256.
 
 Null text counts as empty. Rows that share both id and text are the same document
 repeated: all carry the group's result; `drop_copies` leaves one of them. A null id
-ranks below all others. An empty table gives no rows. Other columns are not read, but
-`drop_copies` returns them.
+ranks below all others. Very long texts are hashed and compared whole. An empty table
+gives no rows. Other columns are not read, but `drop_copies` returns them, and its own
+column names give way to theirs.
 """
 
 from __future__ import annotations
@@ -64,5 +65,5 @@ def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text", keep: st
     marked = df.withColumn(h, md5_128(body)).withColumn(sha, _sha(body))
     joined = marked.join(small_side(groups, groups.count(), 120), [h, sha], "left")
     alone = joined.filter(F.col(n).isNull())
-    first = joined.filter(F.col(n).isNotNull() & F.col(key).eqNullSafe(F.col(best))).dropDuplicates([h, sha])
+    first = joined.filter(F.col(n).isNotNull() & F.col(key).eqNullSafe(F.col(best))).dropDuplicates([h, sha])  # of the kept rows alone
     return alone.unionByName(first).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -4,12 +4,14 @@ Each source has a mean repetition rate: its target share of the epoch divided by
 size. A document's number of copies is the Poisson quantile, at its source's rate, of
 a number in (0, 1) hashed from its id and the seed, so the draw depends on neither the
 partitioning nor the other rows. A rate above `PART_RATE` is cut into equal parts, whose
-draws, each by a hash of its own, are added: a sum of Poisson numbers is one. Copies are exploded and dealt out by a hash of id and
-copy, which shuffles all sources globally.
+draws, each by a hash of its own, are added: a sum of Poisson numbers is one. Copies are
+exploded and dealt out by a hash of id and copy, which shuffles all sources globally.
 
 Nulls: a null source is a source of its own; a null id draws as one id does. Rows that
-share an id draw the same count, each for itself. An empty table gives no rows. A
-source may have any rate; more than `MAX_EPOCHS` are refused, whatever the table.
+share an id draw the same count, each for itself; their copies tie in the shuffle. Texts
+of any length are moved whole. An empty table gives no rows. All columns are returned;
+names that are asked for and taken are an error. A source may have any rate; more than
+`MAX_EPOCHS` are refused, whatever the table.
 """
 
 from __future__ import annotations
@@ -67,6 +69,9 @@ def mix_sources(df: DataFrame, key: str = "doc_id", source: str = "source", weig
 
     The names `copy` (from 0), `rate` and `shuffle_key` add those columns.
     """
+    taken = {c.lower() for c in df.columns}
+    if clash := [x for x in (copy, rate, shuffle_key) if x and x.lower() in taken]:
+        raise ValueError(f"there already are columns {', '.join(clash)}; name others")
     rates = source_rates(df, source, weights, temperature, epochs, size)
     s, r, p, c, k, o = (fresh(df, x) for x in ("_mix_source", "_mix_rate", "_mix_parts", "_mix_cdf", "_mix_copy", "_mix_order"))
     spark = df.sparkSession

@@ -10,8 +10,11 @@ for every (length, rank) which sequence and offset it gets; the pieces are ranke
 parallel and look their places up.
 
 Null text counts as empty, which still has the end id and so is a piece of length 1.
-Repeated rows are packed each for itself; a null id sorts first. An empty table gives
-no rows. Other columns are not read.
+Repeated rows are packed each for itself; a null id sorts first. Very long texts are
+encoded whole, in memory proportional to them. Pieces of equal length are alike to the
+plan: their places go by a hash of id and piece, then by these. An empty table gives no
+rows. Other columns are not read; `pack_pieces` returns them, and its own column names
+give way to theirs.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, fresh, numbered, small_side
 
 CAPACITY = 2048
-#: Hash slices of the whole input in which ranks are counted, besides one for each length.
-SLICES = 1024
+#: Hash slices of the whole input in which ranks are counted, besides one for each length: so many, or of so many pieces.
+SLICES, SLICE_PIECES = 1024, 1_000_000
 #: Words of which a worker remembers the ids.
 REMEMBERED = 600_000
 #: Letters of the longest of them.
@@ -185,20 +188,23 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, length: str = "leng
     if any(not 0 < s <= capacity for s in histogram):
         raise ValueError("a piece is empty or longer than the capacity")
     rows = plan(histogram, capacity)
-    each = -(-sum(histogram.values()) // SLICES) or 1
-    slices = spark.createDataFrame([(s, -(-n // each)) for s, n in histogram.items()], "_len long, _slices long").coalesce(1)
+    total = sum(histogram.values())
+    each = min(-(-total // SLICES), SLICE_PIECES) or 1
+    size, many, part, n, earlier, rank = (fresh(pieces, x) for x in ("_len", "_slices", "_slice", "_n", "_before", "_rank"))
+    slices = spark.createDataFrame([(s, -(-k // each)) for s, k in histogram.items()], f"{size} long, {many} long").coalesce(1)
     sliced = (
-        pieces.join(F.broadcast(slices), F.col(length) == F.col("_len"))
-        .withColumn("_slice", F.pmod(F.xxhash64(*order), F.col("_slices")))
-        .drop("_slices")
+        pieces.join(F.broadcast(slices), F.col(length) == F.col(size))
+        .withColumn(part, F.pmod(F.xxhash64(*order), F.col(many)))
+        .drop(many)
     )
-    before = Window.partitionBy("_len").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(size).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        sliced.groupBy("_len", "_slice").agg(F.count(F.lit(1)).alias("_n"))  # at most capacity + SLICES rows
-        .select("_len", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        sliced.groupBy(size, part).agg(F.count(F.lit(1)).alias(n))  # at most capacity + total / each rows
+        .select(size, part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(earlier))
     )
-    rank = F.row_number().over(Window.partitionBy("_len", "_slice").orderBy(*order)) - 1
-    ranked = sliced.withColumn("_rank", rank).join(F.broadcast(starts), ["_len", "_slice"]).withColumn("_rank", F.col("_before") + F.col("_rank"))
+    starts = small_side(starts, len(histogram) + total // each + 1, 40)
+    in_slice = F.row_number().over(Window.partitionBy(size, part).orderBy(*order)) - 1
+    ranked = sliced.withColumn(rank, in_slice).join(starts, [size, part]).withColumn(rank, F.col(earlier) + F.col(rank))
     out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     shared = spark.sparkContext.broadcast(rows)
     names = pieces.columns
@@ -209,13 +215,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, length: str = "leng
         table = np.array(shared.value, np.int64).reshape(-1, 5)
         keys = (table[:, 0] << 44) + table[:, 1]
         for batch in batches:
-            size, number = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_len", "_rank"))
-            row = table[np.searchsorted(keys, (size << 44) + number, side="right") - 1]
+            tokens, number = (batch.column(len(names) + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            row = table[np.searchsorted(keys, (tokens << 44) + number, side="right") - 1]
             past = number - row[:, 1]
-            found = [pa.array(row[:, 2] + past // row[:, 3]), pa.array(row[:, 4] + past % row[:, 3] * size)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *found], names=[f.name for f in out])
+            found = [pa.array(row[:, 2] + past // row[:, 3]), pa.array(row[:, 4] + past % row[:, 3] * tokens)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *found], names=[f.name for f in out])
 
-    return ranked.select(*names, "_len", "_rank").mapInArrow(place, out)
+    return numbered(ranked.select(*(F.col(f"`{c}`") for c in names), size, rank)).mapInArrow(place, out)
 
 
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, **tokens) -> DataFrame:

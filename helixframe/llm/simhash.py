@@ -10,11 +10,13 @@ Equal fingerprints are one node, so copies make no pairs. A half that over `DENS
 different fingerprints share makes its fingerprints dense; pairs of dense fingerprints
 are linked instead by the values near them: within a distance of 3 lies a value at
 most 1 from the one and at most 2 from the other. That is exact and in proportion to
-the dense fingerprints, not to their pairs.
+the dense fingerprints (some two thousand rows each), not to their pairs: two dense ones
+never meet in a table.
 
 Null and empty texts have fingerprint 0, linked like any other. Repeated rows share
-the fingerprint. A null id is no component's smallest, unless all are null. An empty
-table gives no rows. Other columns are not read, but `drop_near_copies` returns them.
+the fingerprint. Very long texts are read whole. A null id is no component's smallest,
+unless all are null. An empty table gives no rows. Other columns are not read, but
+`drop_near_copies` returns them, and its own column names give way to theirs.
 """
 
 from __future__ import annotations

@@ -57,6 +57,59 @@ def test_written_shards_hold_every_row(spark, tmp_path):
         sharding.write_shards(docs(spark, ODD), str(tmp_path / "no"), shards=4)
 
 
+def test_shards_against_brute_force(spark):
+    keys = [*range(-50, 400), None, 2**62]
+    weights = [1.0, 2.5, 0.5, 1.0, 3.0]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    rows = df.select("k", sharding.shard_of("k", weights).alias("s"), *(F.xxhash64(F.lit(i), "k").alias(f"h{i}") for i in range(len(weights)))).collect()
+    for r in rows:
+        scores = [-w / math.log((((r[f"h{i}"] & (1 << 64) - 1) >> 12) + 0.5) / (1 << 52)) for i, w in enumerate(weights)]
+        best = max(scores)
+        assert abs(scores[r.s] - best) <= 1e-12 * best and all(i >= r.s or x < best for i, x in enumerate(scores))
+    long = xxhash.xxh64_intdigest((7).to_bytes(8, "little"), xxhash.xxh64_intdigest((3).to_bytes(4, "little"), 42))
+    assert df.filter("k = 7").select(F.xxhash64(F.lit(3), "k").alias("h")).first().h & (1 << 64) - 1 == long
+
+
+def test_slots_of_one_key_and_clashing_names(spark):
+    df = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("shard"), F.col("id").alias("_PART"), F.lit("x").alias("_Start"), F.lit("y").alias("a.b"))
+    out = sharding.with_slots(df, "shard", "doc_id")
+    assert out.columns == [*df.columns, "slot"] and sorted(r.slot for r in out.select("slot").collect()) == list(range(5000))
+
+
+def test_placing_pieces_beside_clashing_names(spark):
+    rows = [(i, 0, 1 + i % 90, "x", "y", i) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, _LEN string, `a.b` string, _rank long")
+    out = packing.pack_pieces(df, 100)
+    assert out.columns == [*df.columns, "sequence_id", "offset"]
+    by = defaultdict(list)
+    for r in out.collect():
+        assert (r[3], r[4], r[5]) == ("x", "y", r.doc_id)
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 100
+
+
+def test_very_long_texts_and_clashing_names_in_any_case(spark):
+    text = "long word " * 500_000
+    df = spark.createDataFrame([(1, text, "a"), (2, text, "a"), (3, "x", "b")], "doc_id long, text string, source string")
+    more = df.select("*", *(F.lit(i).alias(x) for i, x in enumerate(["_DUP_h", "KEEP_id", "H", "sha", "a.b", "_Mix_Source", "COUNT", "Fp"])))
+    left = xd.drop_copies(more)
+    assert left.columns == more.columns and sorted(r.doc_id for r in left.select("doc_id").collect()) == [2, 3]
+    assert sorted(map(tuple, xd.exact_dedup(more).collect())) == sorted(map(tuple, xd.exact_dedup(df).collect()))
+    mixed = mixing.mix_sources(more, epochs=3.0)
+    assert mixed.columns == more.columns and mixed.count() > 0
+    with pytest.raises(ValueError, match="COUNT|count"):
+        mixing.mix_sources(more, copy="count")
+    assert sharding.shard_documents(more).filter("doc_id = 1").first().size == len(text) + 8
+    near = {r.doc_id: r for r in simhash.near_duplicates(more).collect()}
+    assert near[1].component_id == near[2].component_id == 1 and simhash.drop_near_copies(more).columns == more.columns
+    assert sum(r.length for r in packing.pack_documents(more).collect() if r.doc_id == 1) > 1_000_000
+
+
 # --- exact dedup
 def test_exact_dedup_against_brute_force_and_collisions(spark):
     data = [(i, random.Random(i).choice(["x", "y", "zz", "", None, "ww"])) for i in range(200)]
