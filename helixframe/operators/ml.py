@@ -8,17 +8,19 @@ scaling, the density clustering), or of Poisson weights (bootstrap).
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+import pyarrow as pa
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vec
 from . import sampling
@@ -31,6 +33,37 @@ def with_features(df: DataFrame, vector: str, out: str = "_features", normalise:
     return df.withColumn(out, array_to_vector(vec.unit(v) if normalise else v))
 
 
+def network_probabilities(df: DataFrame, vector: str, model: MultilayerPerceptronClassificationModel, normalise: bool, out: str) -> DataFrame:
+    """df with a fitted network's probabilities: its layers as matrix products, a batch of rows at a time. A null vector has none."""
+    sizes, flat, at, layers = model.getLayers(), model.weights.toArray(), 0, []
+    for n, m in zip(sizes, sizes[1:]):  # noqa: B905
+        layers.append((flat[at : at + n * m].reshape(n, m), flat[at + n * m : at + n * m + m]))  # stored by columns of the m x n matrix
+        at += n * m + m
+    shared = df.sparkSession.sparkContext.broadcast(layers)  # of the model's size
+    place = df.columns.index(vector)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(place)
+            known = np.asarray(column.is_valid())
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(int(known.sum()), -1) if known.any() else np.zeros((0, sizes[0]))
+            if normalise:
+                norms = np.linalg.norm(x, axis=1, keepdims=True)
+                x = x / np.where(norms > 0, norms, 1)
+            for i, (w, b) in enumerate(shared.value):
+                x = x @ w + b
+                if i < len(shared.value) - 1:
+                    x = 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+            e = np.exp(x - x.max(1, keepdims=True, initial=-np.inf)) if len(x) else x
+            p = e / e.sum(1, keepdims=True) if len(x) else e
+            ends = np.concatenate([[0], np.cumsum(np.where(known, sizes[-1], 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(p.ravel()), mask=pa.array(~known))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[f.name for f in schema])
+
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(each, schema)
+
+
 #: The row that describes a saved model.
 ABOUT = "classes string, normalise boolean, kind string, task string, layer string, calibrators string"
 
@@ -55,9 +88,11 @@ class Classifier:
         return cls(classes, est.fit(rows), normalise, metadata=metadata)
 
     def probabilities(self, df: DataFrame, vector: str, out: str = "probabilities") -> DataFrame:
-        scored = self.model.transform(with_features(df, vector, normalise=self.normalise))
-        p = vector_to_array("_p")
-        scored = scored.withColumn(out, p).drop("_features", "_p", "_raw", "_pred")
+        if isinstance(self.model, MultilayerPerceptronClassificationModel):
+            scored = network_probabilities(df, vector, self.model, self.normalise, out)
+        else:
+            scored = self.model.transform(with_features(df, vector, normalise=self.normalise))
+            scored = scored.withColumn(out, vector_to_array("_p")).drop("_features", "_p", "_raw", "_pred")
         for step in self.calibrators:
             scored = scored.withColumn(out, calibrated(out, step))
         return scored
@@ -87,8 +122,6 @@ class Classifier:
 
     @classmethod
     def load(cls, spark, path: str) -> Classifier:
-        from pyspark.ml.classification import MultilayerPerceptronClassificationModel, RandomForestClassificationModel
-
         about = spark.read.schema(ABOUT).json(f"{path}/about").first()
         kind = {"MultilayerPerceptronClassificationModel": MultilayerPerceptronClassificationModel, "RandomForestClassificationModel": RandomForestClassificationModel}[about.kind]
         return cls(about.classes.split(","), kind.load(f"{path}/model"), bool(about.normalise), json.loads(about.calibrators or "[]"), {"task": about.task, "layer": about.layer})

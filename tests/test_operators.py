@@ -351,3 +351,19 @@ def test_whole_texts_of_all_languages_are_complemented(spark, tmp_path):
     got = {r.doc_id: r.revcomp for r in plans_text.revcomp(spark, str(tmp_path)).collect()}
     up, pairs = str.maketrans("acgtn", "ACGTN"), str.maketrans("ACGTN", "TGCAN")
     assert got == {i: t if t is None else hashlib.md5(t.translate(up).translate(pairs)[::-1].encode()).hexdigest() for i, t, _ in rows}
+
+
+@pytest.mark.parametrize("normalise", [False, True])
+def test_a_network_scores_as_its_library_does(spark, normalise):
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(8)
+    data = [(i, i % 3, rng.normal(size=5).tolist(), "x") for i in range(120)] + [(500, 0, [0.0] * 5, "zero")]
+    df = spark.createDataFrame(data, "k int, label int, embedding array<double>, `a.b` string")
+    model = ml.Classifier.fit(df, "embedding", "label", ["a", "b", "c"], hidden=(7, 4), iterations=15, normalise=normalise)
+    want = {r.k: r.p for r in model.model.transform(ml.with_features(df, "embedding", normalise=normalise)).select("k", vector_to_array("_p").alias("p")).collect()}
+    more = df.unionByName(spark.createDataFrame([(900, 0, None, "null")], df.schema))
+    got = model.probabilities(more, "embedding")
+    assert got.columns == [*df.columns, "probabilities"]
+    rows = {r.k: r.probabilities for r in got.collect()}
+    assert rows.pop(900) is None and all(np.allclose(rows[k], p, atol=1e-12) for k, p in want.items()) and len(rows) == len(want)
