@@ -14,6 +14,16 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(value: str) -> str:
+    """A string as a literal of Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _constant(table: dict[str, list[str]]) -> Column:
+    """The table as one array of structs (c, w); parsed at once, as a call for each word would take longer than a query."""
+    return F.expr("array(" + ", ".join(f"named_struct('c', {quoted(c)}, 'w', {quoted(w)})" for c, w in V.words(table)) + ")")
+
+
 def _has_word(text: Column, table: dict[str, list[str]]) -> Column:
     """Whether any word of the table stands in the text: one pass over it."""
     return text.rlike("|".join(re.escape(w) for _, w in V.words(table)))
@@ -21,8 +31,9 @@ def _has_word(text: Column, table: dict[str, list[str]]) -> Column:
 
 def _first_word(text: Column, table: dict[str, list[str]]) -> Column:
     """At most one struct (c, w) in an array: the first word of the table that stands in the text. The table is one constant, gone through only where a word stands."""
-    words = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(w).alias("w")) for c, w in V.words(table)))
-    return F.when(_has_word(text, table), F.slice(F.filter(words, lambda x: F.contains(text, x["w"])), 1, 1)).otherwise(F.slice(words, 1, 0))
+    words = _constant(table)
+    found = F.transform(F.array(text), lambda t: F.slice(F.filter(words, lambda x: F.contains(t, x["w"])), 1, 1))  # the text is made once, not for each word
+    return F.when(_has_word(text, table), F.try_element_at(found, F.lit(1))).otherwise(F.slice(words, 1, 0))
 
 
 def category_by_words(text: str | Column, table: dict[str, list[str]]) -> Column:

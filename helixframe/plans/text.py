@@ -112,7 +112,7 @@ def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def word(table_: dict[str, list[str]]):
         words = [w for _, w in V.words(table_)]
-        return F.element_at(F.array(*(F.lit(w) for w in words)), (F.pmod(k, F.lit(len(words))) + 1).cast("int"))
+        return F.element_at(F.expr("array(" + ", ".join(map(rules.quoted, words)) + ")"), (F.pmod(k, F.lit(len(words))) + 1).cast("int"))
 
     tail = F.when(k % 5 == 0, " inhibitor").when(k % 7 == 0, " protein").otherwise("")
     return table(spark, sf_dir, "part").select(
