@@ -33,18 +33,18 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.neighbours import neighbour_graph
 
-    return ml.communities(neighbour_graph(_rows(spark, sf_dir), 15), least=5)
+    return ml.communities(neighbour_graph(_rows(spark, sf_dir), 15), least=5, levels=2, rounds=4)
 
 
 @query()
 def forest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, held = ml.train_and_evaluate(_rows(spark, sf_dir), "vec_id", "embedding", "y", ["cellular", "viral"], kind="forest", trees=200, depth=5)
+    model, held = ml.train_and_evaluate(_rows(spark, sf_dir), "vec_id", "embedding", "y", ["cellular", "viral"], kind="forest", trees=100, depth=5)
     return held.select("vec_id", "y", six(F.col("probabilities")[1]).alias("score"))
 
 
 @query()
 def network_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, held = ml.train_and_evaluate(_rows(spark, sf_dir), "vec_id", "embedding", "y", ["cellular", "viral"])
+    model, held = ml.train_and_evaluate(_rows(spark, sf_dir), "vec_id", "embedding", "y", ["cellular", "viral"], hidden=(32,), iterations=40)
     return held.select("vec_id", "y", six(F.col("probabilities")[1]).alias("score"))
 
 
