@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .filter_audit import audit_documents
 from .html_extract import extract_pages
 from .language_id import identify
 from .mixing import mix_sources
@@ -67,6 +68,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE: dict[str, str] = {
@@ -102,3 +108,24 @@ ORACLE: dict[str, str] = {
 }
 
 ORACLE["op5_poisson_mixing_documents"] = f"SELECT t.*, m.copy, m.rate, m.shuffle_key FROM ({ORACLE['op5_poisson_mixing']}) m JOIN documents t ON t.doc_id = m.doc_id"
+
+ORACLE["op11_filter_audit"] = r"""
+    WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    f AS (SELECT w.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+                 [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+                  regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)] AS fails
+          FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+    m AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY part, fails),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+    o AS (SELECT a.c || b.c || d.c || e.c || g.c AS filter_order FROM x a, x b, x d, x e, x g WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+    s AS (SELECT filter_order, step, [strpos('ABCDE', substr(filter_order, i, 1)) FOR i IN range(1, step)] AS earlier, strpos('ABCDE', substr(filter_order, step, 1)) AS own
+          FROM o, range(1, 6) r(step)),
+    c AS (SELECT m.*, s.*, len([i FOR i IN earlier IF fails[i]]) > 0 AS gone, fails[own] AS failing, len([i FOR i IN fails IF i]) AS many FROM m, s),
+    r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, own, CAST(coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS BIGINT) AS kept,
+                 CAST(coalesce(sum(n) FILTER (NOT gone AND failing), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (gone AND failing), 0) AS BIGINT) AS redundant,
+                 CAST(coalesce(sum(n) FILTER (failing AND many = 1), 0) AS BIGINT) AS unique_fails,
+                 CAST(coalesce(sum(good) FILTER (NOT gone AND failing), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (NOT gone AND failing), 0) AS BIGINT) AS toxic_lost
+          FROM c GROUP BY part, filter_order, step, own)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
