@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -14,6 +14,11 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+def _either(a: str, b: str, c: str, d: str, left: str = "u", right: str = "v") -> Column:
+    """Two rows of each: (a, b) and (c, d)."""
+    return F.inline(F.array(*(F.struct(F.col(x).alias(left), F.col(y).alias(right)) for x, y in ((a, b), (c, d)))))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every end of an edge (u, v) of longs; the root is the smallest node that can be reached."""
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
@@ -23,13 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     seen = print_of(now)
     while seen[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.select(_either("u", "v", "v", "u"))
         large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = _least(large)  # u > v in every pair
-        small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = low.select(_either("v", "m", "u", "m")).filter("u <> v").distinct()
         now = cut(small)
         if (found := print_of(now)) == seen:
             break
         seen = found
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    return now.select(_either("u", "v", "v", "v", "node", "root")).distinct()

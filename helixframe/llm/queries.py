@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .filter_audit import audit_documents
 from .html_extract import extract_pages
 from .language_id import identify
+from .minhash import near_sets
 from .mixing import mix_sources
 from .nearest import nearest
 from .packing import pack_documents
@@ -72,6 +73,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_sets(table(spark, sf_dir, "documents"), shingle=5, percent=85)
+
+
 QUERIES: dict[str, Query] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
     "op11_filter_audit": op11_filter_audit,
+    "op12_minhash": op12_minhash,
 }
 
 ORACLE: dict[str, str] = {
@@ -129,3 +135,17 @@ ORACLE["op11_filter_audit"] = r"""
           FROM c GROUP BY part, filter_order, step, own)
     SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
 """
+
+ORACLE["op12_minhash"] = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                              ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
+    x AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+    l AS (SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+    c AS (SELECT u, min(v) AS least FROM r GROUP BY u)
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.least, s.doc_id)) AS component_id, s.doc_id <= coalesce(c.least, s.doc_id) AS kept
+    FROM s LEFT JOIN c ON s.doc_id = c.u
+"""

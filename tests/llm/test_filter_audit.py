@@ -79,8 +79,8 @@ def test_empty_tables_and_fewer_filters(spark):
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert audit_documents(spark.createDataFrame([], DOCS), no_labels).count() == 0
     assert audit_documents(spark.createDataFrame([(1, "a", "en", "", "", 0)], DOCS), no_labels).count() == 600
-    words = spark.createDataFrame([("p", w, True, False) for w in (15, 5, 5, 1)], "part string, word long, good boolean, toxic boolean")  # fail none, the second twice, both
+    words = spark.createDataFrame([("p", w, True, False) for w in (15, 5, 5, 1)], "part string, word long, good boolean, toxic boolean")  # of four: one fails none, two fail X, one both
     rows = {(r.filter_order, r.step): (r.kept, r.removed, r.redundant, r.unique_fails, r.shapley) for r in audit(words, "XY").collect()}
-    assert rows == {("XY", 1): (3, 1, 0, 0, 1), ("XY", 2): (1, 2, 1, 2, 5), ("YX", 1): (1, 3, 0, 2, 5), ("YX", 2): (1, 0, 1, 0, 1)}
+    assert rows == {("YX", 1): (3, 1, 0, 0, 1), ("YX", 2): (1, 2, 1, 2, 5), ("XY", 1): (1, 3, 0, 2, 5), ("XY", 2): (1, 0, 1, 0, 1)}
     with pytest.raises(ValueError):
         audit(words, "ABCDEF")
