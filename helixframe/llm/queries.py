@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
@@ -14,6 +15,7 @@ from .language_id import identify
 from .minhash import near_sets
 from .mixing import mix_sources
 from .nearest import nearest
+from .negatives import hard_negatives
 from .packing import pack_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
@@ -77,6 +79,11 @@ def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_sets(table(spark, sf_dir, "documents"), shingle=5, percent=85)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label=label, every=50, positives=5, negatives=3, window=(50, 95))
+
+
 QUERIES: dict[str, Query] = {
     "op1_rendezvous_sharding": op1_rendezvous_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -91,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": op10_simhash,
     "op11_filter_audit": op11_filter_audit,
     "op12_minhash": op12_minhash,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -149,3 +157,16 @@ ORACLE["op12_minhash"] = r"""
     SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.least, s.doc_id)) AS component_id, s.doc_id <= coalesce(c.least, s.doc_id) AS kept
     FROM s LEFT JOIN c ON s.doc_id = c.u
 """
+
+ORACLE["op13_hard_negatives"] = """
+    WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+               FROM embeddings
+               WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    s AS (SELECT a.id AS anchor, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+          FROM e a JOIN e b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.id % 50 = 0),
+    p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+    SELECT p.anchor AS anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+           s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+    QUALIFY rank <= 3
+"""
