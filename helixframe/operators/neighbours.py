@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .ordered import running_sums
 from ..functions import vec
 from .blocks import BLOCK, block_pairs, stacked, unit_rows
+from .pivots import Search
 
 
 def centroids(df: DataFrame, label: str, vector: str, out: str = "centroid") -> DataFrame:
@@ -65,31 +66,14 @@ def nearest_label(sims: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.array_min(ties).alias("nearest"), "similarity")
 
 
-def knn(queries: DataFrame, panel: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", skip_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """(query_id, neighbour_id, distance, rank): the exact k nearest, ties to the smaller id. Each block keeps its k best a query."""
-    left = queries.select(F.col(key).alias("a"), vec.as_double(vector).alias("av"))
-    right = panel.select(F.col(key).alias("b"), vec.as_double(vector).alias("bv"))
-
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        a, b, av, bv = x["a"].to_numpy(), y["b"].to_numpy(), stacked(x["av"]), stacked(y["bv"])
-        if metric == "cosine":
-            d = 1 - unit_rows(av) @ unit_rows(bv).T
-        else:
-            d = np.sqrt(np.maximum((av**2).sum(1)[:, None] + (bv**2).sum(1)[None, :] - 2 * av @ bv.T, 0))
-            for i in range(len(a)) if metric == "exact" else ():
-                d[i] = np.sqrt(((bv - av[i]) ** 2).sum(1))
-        if skip_self:
-            d[a[:, None] == b[None, :]] = np.inf
-        take = min(k, len(b))
-        order = np.argsort(b, kind="stable")
-        near = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :take]]
-        dist = np.take_along_axis(d, near, 1).ravel()
-        out = pd.DataFrame({"query_id": np.repeat(a, take), "neighbour_id": b[near].ravel(), "distance": dist})
-        return out[np.isfinite(out["distance"])]
-
-    found = block_pairs(left, right, best, "query_id long, neighbour_id long, distance double", block)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+def knn(queries: DataFrame, panel: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", skip_self: bool = False, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
+    """(query_id, neighbour_id, distance, rank): the exact k nearest, ties to the smaller id. Only cells that can hold one are visited."""
+    return Search(panel, key, vector, metric, pivots, block).nearest(queries, k, key, vector, skip_self)[0]
+
+
+def knn_visits(queries: DataFrame, panel: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", skip_self: bool = False, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
+    """(query_id, cells, rows): the cells that `knn` visits for each query, and the rows that it compares there."""
+    return Search(panel, key, vector, metric, pivots, block).nearest(queries, k, key, vector, skip_self)[1]
 
 
 def anomaly_scores(queries: DataFrame, panel: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

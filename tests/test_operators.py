@@ -221,6 +221,50 @@ def test_knn_in_blocks_equals_brute_force(spark):
     assert all(got[(i, k + 1)] == want[i, k] for i in range(90) for k in range(3))
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("skip", [False, True])
+def test_knn_by_pivots_equals_all_pairs(spark, metric, skip):
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(12, 5)) * 30
+    x = np.vstack([middle[rng.integers(0, 12, 260)] + rng.normal(size=(260, 5)), np.zeros((4, 5)), np.repeat(rng.normal(size=(1, 5)), 30, 0)])
+    df = vectors(spark, x)
+    queries, panel = df.filter("vec_id % 3 <> 1"), df.filter("vec_id % 4 <> 2")
+    k = 6
+    found = N.knn(queries, panel, k, metric, skip_self=skip, block=40, pivots=15).collect()
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    q, p = [i for i in range(len(x)) if i % 3 != 1], [i for i in range(len(x)) if i % 4 != 2]
+    d = 1 - u @ u.T if metric == "cosine" else np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.neighbour_id, r.distance)
+    assert sorted(got) == q
+    for i in q:
+        want = sorted((round(d[i, j], 9) + 0.0, j) for j in p if not (skip and i == j))[:k]
+        own = [got[i][r] for r in range(1, k + 1)]
+        assert [round(x, 9) + 0.0 for _, x in own] == [w[0] for w in want]
+        assert len({j for j, _ in own}) == k
+    twins = [i for i in q if i >= 264]  # thirty equal vectors: the smallest ids
+    least = [j for j in p if j >= 264]
+    for i in twins:
+        assert [got[i][r][0] for r in range(1, k + 1)] == [j for j in least if not (skip and i == j)][:k]
+
+
+def test_knn_visits_few_cells_of_clustered_vectors(spark):
+    rng = np.random.default_rng(10)
+    middle = rng.normal(size=(150, 16)) * 10
+    x = middle[rng.integers(0, 150, 4000)] + rng.normal(size=(4000, 16)) * 0.1
+    df = vectors(spark, x)
+    n = df.count()
+    total = N.knn_visits(df, df, 5, "euclidean", skip_self=True, pivots=200).selectExpr("sum(rows) AS rows", "avg(cells) AS cells").first()
+    assert total.rows < n**1.5 and total.cells < 4  # of 200 cells; all pairs are 16,000,000
+
+
+def test_knn_of_empty_and_null_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.neighbour_id) for r in N.knn(df, df, 4, skip_self=True).orderBy("query_id").collect()] == [(1, 3), (3, 1)]
+    assert N.knn(df, df.limit(0), 4).count() == 0 and N.knn(df.limit(0), df, 4).count() == 0
+
+
 def clusterable():
     rng = np.random.RandomState(42)
     return np.vstack([rng.normal(c, 0.5, size=(10, 8)) for c in (0, 10, 20)]), np.repeat([0, 1, 2], 10)
