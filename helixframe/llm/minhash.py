@@ -126,7 +126,7 @@ def node_sets(needed: DataFrame, df: DataFrame, key: str, text: str, shingle: in
 def confirmed(pairs: DataFrame, nodes: DataFrame, df: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v) of nodes whose full sets have a similarity of `percent` or more."""
     pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ends = pairs.select(F.col("u").alias("node")).distinct().unionByName(pairs.select(F.col("v").alias("node")).distinct()).distinct()  # summed before they move
     needed = cut(ends.join(nodes.select("node", "h", "least"), "node"))
     sets = cut(node_sets(needed, df, key, text, shingle))
     met = pairs.join(sets.select(F.col("node").alias("u"), F.col("x").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("x").alias("b")), "v")
