@@ -166,8 +166,8 @@ class Search:
             if not compared:
                 return pd.DataFrame({"a": [], "b": [], "d": []})
             told = pd.DataFrame({"a": np.concatenate([c[0] for c in compared]), "d": np.concatenate([c[1] for c in compared]).astype(float)}).assign(b=None)
-            found = pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out]), "d": np.concatenate([o[2] for o in out])}) if out else told.iloc[:0]
-            return pd.concat([found.astype({"b": object}), told[["a", "b", "d"]]], ignore_index=True)
+            found = pd.DataFrame({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out]), "d": np.concatenate([o[2] for o in out])}) if out else told[["a", "b", "d"]].iloc[:0]
+            return pd.concat([found, told[["a", "b", "d"]]], ignore_index=True).astype({"a": object, "b": object})
 
         schema = T.StructType([T.StructField("a", kind_a), T.StructField("b", self.kind), T.StructField("d", T.DoubleType())])
         return left.groupBy("cell", "i", "j").cogroup(right.groupBy("cell", "i", "j")).applyInPandas(near, schema)

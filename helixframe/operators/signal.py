@@ -1,151 +1,107 @@
 """Operators on ordered positions of a sequence: smoothing, lags, peaks, periods.
 
-Each works on (sequence, position, value) rows and sorts once by sequence; a sequence
-is one window partition, so long inputs spread over their sequences.
+Each works on (sequence, position, value) rows, positions numbers that are distinct in
+a sequence. Frames are taken in blocks of places with copied edges (`tracks`), peaks are
+merged and spectra computed in blocks (`peaks`, `spectrum`), totals come from a row a
+block: a sequence of any length is spread over many tasks.
 """
 
 from __future__ import annotations
 
 from math import pi
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from .ordered import running_sums
+from .peaks import kept_peaks
+from .spectrum import dominant_period as dominant_period  # one of this module's operators
+from .tracks import WIDTH, framed, numbered, over, own
 
 
-def ordered(seq: str, pos: str):
-    return Window.partitionBy(seq).orderBy(pos)
-
-
-def moving_average_zero(df: DataFrame, seq: str, pos: str, value: str, width: int, out: str = "smooth") -> DataFrame:
+def moving_average_zero(df: DataFrame, seq: str, pos: str, value: str, width: int, out: str = "smooth", block: int = WIDTH) -> DataFrame:
     """Centred mean; positions beyond the ends count 0, so it divides by the full width."""
-    frame = ordered(seq, pos).rowsBetween(-(width // 2), (width - 1) // 2)
-    return df.withColumn(out, F.sum(value).over(frame) / float(width))
-
+    left, right = width // 2, (width - 1) // 2
+    rows = framed(numbered(df, seq, pos, width=block), left, right, width=block)
+    return own(rows.withColumn(out, F.sum(value).over(over(seq).rowsBetween(-left, right)) / float(width)))
 
-def moving_average_reflect(df: DataFrame, seq: str, pos: str, value: str, width: int, out: str = "smooth") -> DataFrame:
-    """Centred mean (an even width leans left); beyond the ends the values are mirrored, the end value repeated.
 
-    The sum inside comes from a window frame. What a frame lacks at an end is a sum of
-    the mirrored values, which stand next to that end: again frames, read from the ends.
-    """
+def moving_average_reflect(df: DataFrame, seq: str, pos: str, value: str, width: int, out: str = "smooth", block: int = WIDTH) -> DataFrame:
+    """Centred mean (an even width leans left); beyond the ends the values are mirrored, the end value repeated."""
     left, right = width // 2, (width - 1) // 2
-    by = ordered(seq, pos)
-    i = F.row_number().over(by) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy(seq))
-    rows = df.withColumn("_i", i).withColumn("_n", n)
-    # prefix[i] = sum of the first i values; the mirrored sum needs prefixes only near the ends, taken from one array each
-    head = F.array_sort(F.collect_list(F.when(F.col("_i") < width, F.struct("_i", F.col(value).cast("double").alias("v")))).over(Window.partitionBy(seq)))
-    tail = F.array_sort(F.collect_list(F.when(F.col("_i") >= F.col("_n") - width, F.struct((F.col("_n") - 1 - F.col("_i")).alias("_i"), F.col(value).cast("double").alias("v")))).over(Window.partitionBy(seq)))
-    inner = F.sum(value).over(by.rowsBetween(-left, right))
-    total = lambda a, m: F.aggregate(F.slice(a, 1, F.greatest(m, F.lit(0)).cast("int")), F.lit(0.0), lambda s, x: s + x["v"])
-    lack_left, lack_right = F.lit(left) - F.col("_i"), F.lit(right) - (F.col("_n") - 1 - F.col("_i"))
-    rows = rows.withColumn("_head", head).withColumn("_tail", tail).withColumn("_inner", inner)
-    whole = F.col("_inner") + total(F.col("_head"), lack_left) + total(F.col("_tail"), lack_right)
-    return rows.withColumn(out, whole / float(width)).drop("_i", "_n", "_head", "_tail", "_inner")
-
-
-def lag_autocorrelation(df: DataFrame, seq: str, pos: str, value: str, lags: tuple[int, ...] = (1, 3), unbiased: bool = False) -> DataFrame:
+    rows = framed(numbered(df, seq, pos, width=block), left, right, reflect=True, width=block)
+    return own(rows.withColumn(out, F.sum(F.col(value).cast("double")).over(over(seq).rowsBetween(-left, right)) / float(width)))
+
+
+def lag_autocorrelation(df: DataFrame, seq: str, pos: str, value: str, lags: tuple[int, ...] = (1, 3), unbiased: bool = False, block: int = WIDTH) -> DataFrame:
     """A row for each sequence: lag<k>, the sum of products of centred values over that at lag 0; unbiased: the mean product over the variance."""
-    centred = F.col(value) - F.avg(value).over(Window.partitionBy(seq))
-    rows = df.select(seq, pos, centred.alias("c"))
+    rows = numbered(df.select(seq, pos, F.col(value).alias("_x")), seq, pos, "_x", block)
+    rows = framed(rows.withColumn("c", F.col("_x") - F.col("_mean")), 0, max(lags), width=block)
     for k in lags:
-        rows = rows.withColumn(f"p{k}", F.col("c") * F.lead("c", k).over(ordered(seq, pos)))
+        rows = rows.withColumn(f"p{k}", F.col("c") * F.lead("c", k).over(over(seq)))
     agg = F.avg if unbiased else F.sum
-    return rows.groupBy(seq).agg(*(F.try_divide(agg(f"p{k}"), agg(F.col("c") * F.col("c"))).alias(f"lag{k}") for k in lags))
+    return rows.filter("_own").groupBy(seq).agg(*(F.try_divide(agg(f"p{k}"), agg(F.col("c") * F.col("c"))).alias(f"lag{k}") for k in lags))
 
 
-def offset_cosine(df: DataFrame, seq: str, pos: str, vector: str, offsets: tuple[int, ...] = (1, 3)) -> DataFrame:
+def offset_cosine(df: DataFrame, seq: str, pos: str, vector: str, offsets: tuple[int, ...] = (1, 3), block: int = WIDTH) -> DataFrame:
     """A row for each sequence: cos<k>, the mean cosine of vectors k positions apart. A zero vector has similarity 0."""
     v = vec.as_double(vector)
-    rows = df.select(seq, pos, v.alias("v"), vec.norm(v).alias("n"))
+    rows = framed(numbered(df.select(seq, pos, v.alias("v"), vec.norm(v).alias("n")), seq, pos, width=block), 0, max(offsets), width=block)
     for k in offsets:
-        far, fn = F.lead("v", k).over(ordered(seq, pos)), F.lead("n", k).over(ordered(seq, pos))
+        far, fn = F.lead("v", k).over(over(seq)), F.lead("n", k).over(over(seq))
         rows = rows.withColumn(f"v{k}", far).withColumn(f"n{k}", fn)
     safe = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(1.0)
     cos = {k: F.when(F.col(f"v{k}").isNotNull(), vec.dot("v", f"v{k}") / (safe("n") * safe(f"n{k}"))) for k in offsets}
-    return rows.groupBy(seq).agg(*(F.avg(c).alias(f"cos{k}") for k, c in cos.items()))
+    return rows.filter("_own").groupBy(seq).agg(*(F.avg(c).alias(f"cos{k}") for k, c in cos.items()))
 
 
-def offset_comb(df: DataFrame, seq: str, pos: str, vector: str, offsets: range = range(1, 16), group: str | None = None) -> DataFrame:
+def offset_comb(df: DataFrame, seq: str, pos: str, vector: str, offsets: range = range(1, 16), group: str | None = None, block: int = WIDTH) -> DataFrame:
     """Mean and standard error of the cosine at every offset, by group of sequences."""
     v = vec.as_double(vector)
     keys = [group] if group else []
-    rows = df.select(seq, *keys, pos, v.alias("v"), vec.norm(v).alias("n"))
-    order = ordered(seq, pos)
+    rows = framed(numbered(df.select(seq, *keys, pos, v.alias("v"), vec.norm(v).alias("n")), seq, pos, width=block), 0, max(offsets), width=block)
+    order = over(seq)
     ahead = F.array(*(F.struct(F.lit(k).alias("k"), F.lead("v", k).over(order).alias("v"), F.lead("n", k).over(order).alias("n")) for k in offsets))
-    pairs = rows.withColumn("ahead", ahead).withColumn("far", F.explode("ahead")).drop("ahead").filter("far.v is not null and n > 0 and far.n > 0")
+    pairs = rows.withColumn("ahead", ahead).filter("_own").withColumn("far", F.explode("ahead")).drop("ahead").filter("far.v is not null and n > 0 and far.n > 0")
     cos = vec.dot("v", "far.v") / (F.col("n") * F.col("far.n"))
     by = pairs.groupBy(*keys, F.col("far.k").alias("offset"))
     return by.agg(F.avg(cos).alias("mean"), (F.stddev_pop(cos) / F.sqrt(F.count(cos))).alias("se"), F.count(cos).alias("n"))
 
 
-def first_difference(df: DataFrame, seq: str, pos: str, value: str, out: str = "step") -> DataFrame:
-    return df.withColumn(out, F.abs(F.lead(value).over(ordered(seq, pos)) - F.col(value)))
+def first_difference(df: DataFrame, seq: str, pos: str, value: str, out: str = "step", block: int = WIDTH) -> DataFrame:
+    rows = framed(numbered(df, seq, pos, width=block), 0, 1, width=block)
+    return own(rows.withColumn(out, F.abs(F.lead(value).over(over(seq)) - F.col(value))))
 
 
-def local_peaks(df: DataFrame, seq: str, pos: str, value: str, sds: float = 1.5) -> DataFrame:
+def local_peaks(df: DataFrame, seq: str, pos: str, value: str, sds: float = 1.5, block: int = WIDTH) -> DataFrame:
     """Rows above both neighbours and above the mean plus so many standard deviations; ends are no peaks."""
-    order, whole = ordered(seq, pos), Window.partitionBy(seq)
-    limit = F.avg(value).over(whole) + sds * F.stddev_pop(value).over(whole)
-    v = F.col(value)
-    marked = df.withColumn("_peak", (v > F.lag(value).over(order)) & (v > F.lead(value).over(order)) & (v > limit))
-    return marked.filter("_peak").drop("_peak")
+    rows = framed(numbered(df, seq, pos, value, block), 1, 1, width=block)
+    v, order = F.col(value), over(seq)
+    marked = rows.withColumn("_peak", (v > F.lag(value).over(order)) & (v > F.lead(value).over(order)) & (v > F.col("_mean") + sds * F.col("_sd")))
+    return own(marked).filter("_peak").drop("_peak")
 
 
 def high_points(df: DataFrame, seq: str, value: str, sds: float = 2.0) -> DataFrame:
-    whole = Window.partitionBy(seq)
-    return df.withColumn("_lim", F.avg(value).over(whole) + sds * F.stddev_pop(value).over(whole)).filter(F.col(value) > F.col("_lim")).drop("_lim")
+    """Rows above the sequence's mean plus so many standard deviations."""
+    limits = df.groupBy(F.col(seq).alias("_seq")).agg((F.avg(value) + sds * F.stddev_pop(value)).alias("_lim"))
+    return df.join(limits, F.col(seq).eqNullSafe(F.col("_seq"))).filter(F.col(value) > F.col("_lim")).drop("_seq", "_lim")
 
 
 def merge_peaks(peaks: DataFrame, seq: str, pos: str, value: str, within: int = 30) -> DataFrame:
     """One array of kept peaks a sequence: in order, a peak closer than `within` to the last kept one replaces it if higher, else goes."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(pos).cast("long").alias("p"), F.col(value).cast("double").alias("v"))))
-    start = F.array().cast("array<struct<p:bigint,v:double>>")
-
-    def fold(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        close = (F.size(acc) > 0) & (x["p"] - last["p"] < within)
-        swapped = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(x))
-        return F.when(F.size(acc) == 0, F.array(x)).when(close & (x["v"] > last["v"]), swapped).when(close, acc).otherwise(F.concat(acc, F.array(x)))
-
-    # element_at() of an empty array is an error, so the fold starts with the first peak
-    folded = F.aggregate(F.slice("items", 2, 1 << 30), F.when(F.size("items") > 0, F.slice("items", 1, 1)).otherwise(start), fold)
-    return peaks.groupBy(seq).agg(items.alias("items")).select(seq, F.transform(folded, lambda x: x["p"]).alias("peaks"))
+    return kept_peaks(peaks, seq, pos, value, within).groupBy(seq).agg(F.array_sort(F.collect_list(pos)).alias("peaks"))
 
 
 def power_at(df: DataFrame, seq: str, pos: str, value: str, period: int = 3) -> DataFrame:
     """Power of the centred values at one period and its share of the whole spectrum without the constant, by sequence; all built in."""
-    whole = Window.partitionBy(seq)
-    i = F.row_number().over(ordered(seq, pos)) - 1
-    rows = df.select(seq, (F.col(value) - F.avg(value).over(whole)).alias("c"), i.alias("i"))
+    rows = numbered(df.select(seq, pos, F.col(value).alias("_x")), seq, pos, "_x").select(seq, (F.col("_x") - F.col("_mean")).alias("c"), F.col("_i").alias("i"))
     angle = F.col("i") * (2 * pi / period)
     power = F.pow(F.sum(F.col("c") * F.cos(angle)), 2) + F.pow(F.sum(F.col("c") * F.sin(angle)), 2)
     # the squares of all frequencies add up to n times the squared values
     return rows.groupBy(seq).agg(power.alias("power"), F.try_divide(2 * power, F.count(F.lit(1)) * F.sum(F.col("c") * F.col("c"))).alias("share"))
 
 
-def dominant_period(df: DataFrame, seq: str, pos: str, value: str) -> DataFrame:
-    """Period of the strongest frequency and the rank of that nearest to one third, by sequence: a Fourier transform of each."""
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(pos)[value].to_numpy(float)
-        power = np.abs(np.fft.rfft(x - x.mean())) ** 2
-        freq = np.fft.rfftfreq(len(x))
-        if len(power) < 2:
-            return pd.DataFrame({seq: [pdf[seq].iloc[0]], "period": [None], "third_rank": [None]})
-        best = 1 + int(np.argmax(power[1:]))
-        third = 1 + int(np.argmin(np.abs(freq[1:] - 1 / 3)))
-        rank = int((power[1:] > power[third]).sum()) + 1
-        return pd.DataFrame({seq: [pdf[seq].iloc[0]], "period": [1 / freq[best]], "third_rank": [rank]})
-
-    kind = dict(df.dtypes)[seq]
-    return df.select(seq, pos, F.col(value).cast("double").alias(value)).groupBy(seq).applyInPandas(each, f"{seq} {kind}, period double, third_rank int")
-
-
 def norm_stats(df: DataFrame, seq: str, vector: str) -> DataFrame:
     """Mean, standard deviation and coefficient of variation of vector lengths, by sequence."""
     n = vec.norm(vec.as_double(vector))
@@ -153,11 +109,20 @@ def norm_stats(df: DataFrame, seq: str, vector: str) -> DataFrame:
     return by.agg(F.avg("n").alias("norm_mean"), F.stddev_pop("n").alias("norm_std"), (F.stddev_pop("n") / F.greatest(F.avg("n"), F.lit(0.001))).alias("norm_cv"))
 
 
+def medians(df: DataFrame, seq: str, value: str) -> DataFrame:
+    """(sequence, median) without a sequence's values in one place: values are counted, and the middle ones found by running counts over ranges."""
+    by = df.filter(F.col(value).isNotNull()).groupBy(seq, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_one"))
+    at = running_sums(by, "_x", {"_at": "_one"}, by=(seq,), before=True)
+    low, high = F.floor((F.col("_at_total") - 1) / 2), F.floor(F.col("_at_total") / 2)  # places from 0 of the two middle values
+    holds = lambda place: (F.col("_at") <= place) & (place < F.col("_at") + F.col("_one"))
+    return at.filter(holds(low) | holds(high)).groupBy(seq).agg(((F.min("_x") + F.max("_x")) / 2).alias("median"))
+
+
 def above_median(df: DataFrame, seq: str, value: str, mask: str) -> DataFrame:
     """Share of values above the sequence's median, and how often that agrees with a 0/1 mask, either way round."""
-    middle = df.groupBy(seq).agg(F.median(value).alias("_m"))
+    middle = medians(df, seq, value).toDF("_seq", "_m")
     pred = (F.col(value) > F.col("_m")).cast("int")
-    by = df.join(middle, seq).groupBy(seq)
+    by = df.join(middle, F.col(seq) == F.col("_seq")).groupBy(seq)
     agree = F.avg((pred == F.col(mask)).cast("double"))
     return by.agg(F.avg(pred.cast("double")).alias("coding_fraction"), agree.alias("accuracy"), F.greatest(agree, 1 - agree).alias("best_accuracy"))
 
@@ -165,8 +130,7 @@ def above_median(df: DataFrame, seq: str, value: str, mask: str) -> DataFrame:
 def window_shift(df: DataFrame, seq: str, pos: str, vector: str, width: int = 100, step: int = 50) -> DataFrame:
     """Cosine distances of the mean vectors of neighbouring windows: uniformity (1 - their deviation) and the largest, by sequence."""
     v = vec.as_double(vector)
-    n = F.count(F.lit(1)).over(Window.partitionBy(seq))
-    rows = df.select(seq, (F.row_number().over(ordered(seq, pos)) - 1).alias("i"), n.alias("n"), v.alias("v"))
+    rows = numbered(df.select(seq, pos, v.alias("v")), seq, pos).select(seq, F.col("_i").alias("i"), F.col("_n").alias("n"), "v")
     first, last = F.greatest(F.ceil((F.col("i") - width + 1) / step), F.lit(0)), F.floor(F.col("i") / step)
     inside = rows.withColumn("w", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))).filter(F.col("w") * step < F.col("n") - width)
     dims = inside.select(seq, "w", F.posexplode("v").alias("d", "x")).groupBy(seq, "w", "d").agg(F.avg("x").alias("x"))
@@ -175,7 +139,8 @@ def window_shift(df: DataFrame, seq: str, pos: str, vector: str, width: int = 10
     return pairs.select(seq, (1 - vec.cosine("m", "next")).alias("d")).groupBy(seq).agg((1 - F.stddev_pop("d")).alias("uniformity"), F.max("d").alias("max_shift"))
 
 
-def frame_variance(df: DataFrame, seq: str, pos: str, value: str, width: int) -> DataFrame:
+def frame_variance(df: DataFrame, seq: str, pos: str, value: str, width: int, block: int = WIDTH) -> DataFrame:
     """Variance of the values in a trailing frame, from running sums."""
-    frame = ordered(seq, pos).rowsBetween(-(width - 1), 0)
-    return df.withColumn("frame_var", F.avg(F.col(value) * F.col(value)).over(frame) - F.pow(F.avg(value).over(frame), 2))
+    rows = framed(numbered(df, seq, pos, width=block), width - 1, 0, width=block)
+    frame = over(seq).rowsBetween(-(width - 1), 0)
+    return own(rows.withColumn("frame_var", F.avg(F.col(value) * F.col(value)).over(frame) - F.pow(F.avg(value).over(frame), 2)))

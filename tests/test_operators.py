@@ -10,6 +10,8 @@ from helixframe.operators import metrics as M
 from helixframe.operators import neighbours as N
 from helixframe.operators import sampling
 from helixframe.operators import signal as S
+from helixframe.operators.peaks import kept_peaks
+from helixframe.operators.spectrum import power_spectrum
 
 
 def one(spark, **columns):
@@ -103,6 +105,85 @@ def test_merged_peaks_compare_with_the_last_kept_one(spark):
     assert S.merge_peaks(peaks, "s", "i", "x", 30).first().peaks == [20, 60, 100]
 
 
+@pytest.mark.parametrize("block", [16, 40, 1 << 16])
+def test_frames_in_blocks_equal_whole_sequences(spark, block):
+    rng = np.random.default_rng(block)
+    x, y = rng.normal(size=333), rng.normal(size=7)
+    df = spark.createDataFrame([("s", 3 * i - 50, float(v)) for i, v in enumerate(x)] + [("t", i, float(v)) for i, v in enumerate(y)] + [("u", 5, 1.0)], "s string, i long, x double")
+    of = lambda rows, c: {k: [r[c] for r in sorted((r for r in rows if r.s == k), key=lambda r: r.i)] for k in "stu"}
+    for values, mode in ((x, "s"), (y, "t")):
+        smooth = of(S.moving_average_zero(df, "s", "i", "x", 5, block=block).collect(), "smooth")[mode]
+        assert np.allclose(smooth, np.convolve(values, np.ones(5) / 5, "same"))
+        mirrored = of(S.moving_average_reflect(df, "s", "i", "x", 5, block=block).collect(), "smooth")[mode]
+        assert np.allclose(mirrored, np.convolve(np.pad(values, 2, mode="symmetric"), np.ones(5) / 5, "valid"))
+        steps = of(S.first_difference(df, "s", "i", "x", block=block).collect(), "step")[mode]
+        assert np.allclose(steps[:-1], np.abs(np.diff(values))) and steps[-1] is None
+        c = values - values.mean()
+        lags = {r.s: r for r in S.lag_autocorrelation(df, "s", "i", "x", block=block).collect()}[mode]
+        assert np.isclose(lags.lag1, (c[1:] * c[:-1]).sum() / (c * c).sum()) and np.isclose(lags.lag3, (c[3:] * c[:-3]).sum() / (c * c).sum())
+        peaks = [r.x for r in S.local_peaks(df, "s", "i", "x", 1.0, block=block).filter(F.col("s") == mode).orderBy("i").collect()]
+        assert peaks == [values[i] for i in range(1, len(values) - 1) if values[i] > max(values[i - 1], values[i + 1], values.mean() + values.std())]
+        var = of(S.frame_variance(df, "s", "i", "x", 10, block=block).collect(), "frame_var")[mode]
+        assert np.allclose(var, [values[max(0, i - 9) : i + 1].var() for i in range(len(values))])
+        middle = {r.s: r["median"] for r in S.medians(df, "s", "x").collect()}
+        assert np.isclose(middle[mode], np.median(values))
+
+
+def test_a_single_sequence_is_spread_over_tasks(spark):
+    df = spark.range(40_000).select((F.col("id") % 1).alias("s"), F.col("id").alias("i"), F.rand(3).alias("x"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions are joined otherwise
+    try:
+        parts = S.moving_average_zero(df, "s", "i", "x", 5, block=1000).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("smooth").alias("count"), F.sum("smooth")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == 40_000
+
+
+@pytest.mark.parametrize("width", [30, 64, 1 << 20])
+def test_peaks_merged_in_blocks_equal_one_fold(spark, width):
+    rng = np.random.default_rng(1)
+    rows = [("a", int(p), float(v)) for p, v in zip(np.sort(rng.choice(3000, 700, replace=False)), rng.integers(0, 6, 700), strict=True)]
+    rows += [("b", int(p), float(v)) for p, v in zip(np.sort(rng.choice(40_000, 300, replace=False)), rng.random(300), strict=True)] + [("c", 7, 1.0)]
+    rows += [("d", 29 + 30 * k, float(10 - k)) for k in range(5)] + [("d", 30 * k, 0.5) for k in range(1, 5)]
+    want = set()
+    for s in "abcd":
+        kept = []
+        for _, p, v in sorted(r for r in rows if r[0] == s):
+            if kept and p - kept[-1][0] < 30:
+                kept[-1] = (p, v) if v > kept[-1][1] else kept[-1]
+            else:
+                kept.append((p, v))
+        want |= {(s, p) for p, _ in kept}
+    got = kept_peaks(spark.createDataFrame(rows, "s string, i long, x double"), "s", "i", "x", 30, width).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_spectrum_in_columns_and_rows_equals_one_transform(spark):
+    rng = np.random.default_rng(6)
+    sizes = {"a": 1009, "b": 512, "c": 3, "d": 2, "e": 4, "f": 1}
+    data = {k: rng.normal(size=n) + np.cos(np.arange(n) * 2 * np.pi / 3) for k, n in sizes.items()}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in data.items() for i, v in enumerate(x)], "s string, i long, x double")
+    got = {}
+    for r in power_spectrum(df, "s", "i", "x", short=1, tile=4).collect():
+        got.setdefault(r.s, {})[r.k] = r.power
+    for k, x in data.items():
+        want = np.abs(np.fft.rfft(x - x.mean())) ** 2
+        assert np.allclose([got[k][i] for i in range(len(want))], want, atol=1e-9) and len(got[k]) == len(want)
+    whole = {r.s: (r.period, r.third_rank) for r in S.dominant_period(df, "s", "i", "x").collect()}
+    parts = {r.s: (r.period, r.third_rank) for r in S.dominant_period(df, "s", "i", "x", short=1, tile=8).collect()}
+    assert whole == parts and whole["f"] == (None, None)
+
+
+def test_spectrum_of_a_million_positions(spark):
+    n = 1_000_003
+    df = spark.range(n).select(F.lit("s").alias("s"), F.col("id").alias("i"), (F.cos(F.col("id") * 2 * np.pi / 3) + F.pmod(F.col("id") * 7919, F.lit(1013)) / 1013).alias("x"))
+    i = np.arange(n)
+    x = np.cos(i * 2 * np.pi / 3) + (i * 7919 % 1013) / 1013
+    want = np.abs(np.fft.rfft(x - x.mean())) ** 2
+    got = power_spectrum(df, "s", "i", "x").toPandas().sort_values("k")["power"].to_numpy()
+    assert np.allclose(got, want, rtol=1e-6, atol=1e-6 * want.max())
+
+
 def test_third_of_the_spectrum(spark):
     x = np.tile([1.0, 0, 0], 30) + np.random.default_rng(2).normal(0, 0.01, 90)
     r = S.power_at(track(spark, x), "s", "i", "x", 3).first()
