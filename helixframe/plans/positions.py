@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..operators import signal as S
+from ..operators.peaks import kept_peaks
 from .registry import query, six, table
 
 _P = """SELECT vec_id // 100 AS seq, vec_id AS pos, CAST(label < 5 AS INT) AS coding, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"""
@@ -118,3 +119,34 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.neighbours import mean_pool as pool
 
     return pool(_positions(spark, sf_dir), "seq", "embedding").select("seq", F.size("vector").cast("long").alias("size"), six(vec.norm("vector")).alias("norm"))
+
+
+_EVENTS = "v AS (SELECT event_type AS seq, event_id AS pos, value AS x FROM events WHERE value IS NOT NULL)"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few long sequences: the values of each type of event in the order of their ids."""
+    return table(spark, sf_dir, "events").filter("value is not null").select(F.col("event_type").alias("seq"), F.col("event_id").alias("pos"), F.col("value").alias("x"))
+
+
+@query(f"WITH {_EVENTS} SELECT seq, pos, round(sum(x) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN 50 PRECEDING AND 49 FOLLOWING) / 100.0, 6) AS smooth FROM v")
+def long_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.moving_average_zero(_events(spark, sf_dir), "seq", "pos", "x", 100, block=1 << 10).select("seq", "pos", six("smooth").alias("smooth"))
+
+
+@query(f"""WITH {_EVENTS}, k AS (SELECT *, lag(x) OVER w AS a, lead(x) OVER w AS b, avg(x) OVER (PARTITION BY seq) + 0.5 * stddev_pop(x) OVER (PARTITION BY seq) AS lim FROM v WINDOW w AS (PARTITION BY seq ORDER BY pos)),
+    peaks AS (SELECT seq, pos, x FROM k WHERE x > a AND x > b AND x > lim), g AS (SELECT *, pos - lag(pos) OVER (PARTITION BY seq ORDER BY pos) AS gap FROM peaks),
+    i AS (SELECT *, sum(CAST(coalesce(gap, 30) >= 30 AS INT)) OVER (PARTITION BY seq ORDER BY pos) AS island FROM g), o AS (SELECT seq, island, list(pos ORDER BY pos) AS p, list(x ORDER BY pos) AS v FROM i GROUP BY seq, island),
+    f AS (SELECT seq, list_reduce(list_transform(range(1, len(p) + 1), lambda j: [[p[j], v[j]]]),
+                 lambda a, b: CASE WHEN b[1][1] - a[-1][1] < 30 THEN CASE WHEN b[1][2] > a[-1][2] THEN list_concat(a[:-2], b) ELSE a END ELSE list_concat(a, b) END) AS kept FROM o)
+    SELECT seq, CAST(u[1] AS BIGINT) AS pos FROM (SELECT seq, unnest(kept) AS u FROM f)""")
+def long_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_peaks(S.local_peaks(_events(spark, sf_dir), "seq", "pos", "x", 0.5), "seq", "pos", "x", 30, width=1 << 8)
+
+
+@query(f"""WITH {_EVENTS}, x AS (SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY seq) AS n, x - avg(x) OVER (PARTITION BY seq) AS c FROM v),
+    f AS (SELECT seq, k, max(n) AS n, round(pow(sum(c * cos(2 * pi() * ((i * k) % n) / n)), 2) + pow(sum(c * sin(2 * pi() * ((i * k) % n) / n)), 2), 6) AS p FROM x, range(1, 200000) t(k) WHERE k <= n // 2 GROUP BY seq, k),
+    b AS (SELECT seq, max(n) / arg_max(k, p) AS period FROM f GROUP BY seq), t AS (SELECT seq, k, p, row_number() OVER (PARTITION BY seq ORDER BY abs(k / n - 1.0 / 3), k) AS r FROM f)
+    SELECT b.seq, round(b.period, 6) AS period, CAST((SELECT count(*) FROM f WHERE f.seq = b.seq AND f.p > t.p) + 1 AS INTEGER) AS third_rank FROM b JOIN t ON t.seq = b.seq AND t.r = 1""")
+def long_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.dominant_period(_events(spark, sf_dir), "seq", "pos", "x", short=1 << 8, tile=8).select("seq", six("period").alias("period"), "third_rank")
