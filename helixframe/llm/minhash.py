@@ -8,19 +8,9 @@ meet, their signatures (all bytes) are compared, and a link is confirmed on the
 A pair at exactly 0.85 is missed with a probability of some 4 in a million, by the bands
 or the signature, a pair above it more seldom.
 
-Documents with equal sets are one node, so copies make no pairs. What meets is linked in
-two passes, so that a group of thousands of near copies needs no list of its pairs:
-
-1. A star: in every bucket each node meets one pivot, the node with the most company in
-   all its buckets, which is the middle of its group.
-2. Only buckets that still hold two components are looked at again, whole: every pair of
-   nodes of different components is compared by signature, in cells of at most `CELL`
-   nodes a side, and told once, in the first band that it shares. Those near enough are
-   confirmed like the others.
-
-So no pair that shares a bucket is left out unless its ends are already linked through
-others, and what a full bucket emits are near misses and links, not its pairs. Comparing
-in cells does grow with the square of a bucket whose nodes stay apart.
+Documents with equal sets are one node, so copies make no pairs. What meets is linked by a
+star in each bucket and then by comparing what is still apart (see `near`); a pair is told
+in the first band that it shares.
 
 Null texts and texts without words have an empty set and link to nothing. Texts of fewer
 words than a shingle are one shingle. Very long texts are read whole. Repeated rows
@@ -32,7 +22,6 @@ will do. An empty table gives no rows. Other columns are not read, but
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,14 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, fresh, small_side
-from .components import components
-from .simhash_similar import shingle_hashes
+from .near import CELL, Pairs, classes, company, confirmed, digest, linked, matrix, others_of, paired, shingle_hashes
 
 #: Bands of a signature, and minima of a band: one byte each, so that a band's key is one long.
 BANDS, ROWS = 48, 8
 MINIMA = BANDS * ROWS
-#: Nodes of a bucket that are compared in one cell, a side.
-CELL = 1024
 #: Standard deviations below the expected agreement at which a signature is still near enough.
 SLACK = 4.5
 _DRAWN = np.random.default_rng(20240607).integers(0, 1 << 32, (2, MINIMA), dtype=np.uint64).astype(np.uint32)
@@ -65,10 +51,6 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return least.astype(np.uint8).view(np.int64)
 
 
-def digest(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-
-
 def set_prints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """doc_id, n (size of the set), h (its digest) and sig of every row; h and sig are null for an empty set."""
     src = df.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
@@ -109,104 +91,19 @@ def verified(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return pairs.join(ends("u"), "u").join(ends("v"), "v").filter(_equal_bytes(F.col("su"), F.col("sv")) >= least).select("u", "v")
 
 
-def node_sets(needed: DataFrame, df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(node, x): the full sets of nodes (node, h, least), read again from the document of the smallest id of each."""
-    small = small_side(needed.select(F.col("least").alias("_least")).distinct(), needed.count(), 24)
-    src = df.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    src = src.join(small, F.col("id").eqNullSafe(F.col("_least")), "left_semi").select("t")
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s for t in batch.column(0) if len(s := shingle_hashes(t.as_py(), shingle))]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["h", "x"])
-
-    return src.mapInArrow(each, "h binary, x array<long>").join(needed.select("node", "h"), "h").dropDuplicates(["node"]).select("node", "x")
-
-
-def confirmed(pairs: DataFrame, nodes: DataFrame, df: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose full sets have a similarity of `percent` or more."""
-    pairs = cut(pairs)
-    ends = pairs.select(F.col("u").alias("node")).distinct().unionByName(pairs.select(F.col("v").alias("node")).distinct()).distinct()  # summed before they move
-    needed = cut(ends.join(nodes.select("node", "h", "least"), "node"))
-    sets = cut(node_sets(needed, df, key, text, shingle))
-    met = pairs.join(sets.select(F.col("node").alias("u"), F.col("x").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("x").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return cut(met.filter(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("u", "v"))
-
-
-def company(nodes: DataFrame) -> DataFrame:
-    """(band, k, node, many) of every node and band whose bucket holds `many`, two or more."""
-    rows = nodes.select("node", F.posexplode("sig").alias("band", "k"))
-    sizes = cut(rows.groupBy("band", "k").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"))
-    return cut(rows.join(small_side(sizes, sizes.count(), 32), ["band", "k"]).select("band", "k", "node", "many"))
-
-
-def star_pairs(met: DataFrame) -> DataFrame:
-    """(u, v), u < v: every node with the pivot of each of its buckets, the node that has the most company in all of its own."""
-    weights = met.groupBy("node").agg(F.sum("many").alias("w"))
-    pivots = met.join(weights, "node").groupBy("band", "k").agg(F.max_by("node", F.struct("w", "node")).alias("pivot"))
-    pairs = met.join(pivots, ["band", "k"]).filter("node <> pivot")
-    return pairs.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-
-
-def apart_pairs(met: DataFrame, found: DataFrame, sigs: DataFrame, least: int, cell: int = CELL) -> DataFrame:
-    """(u, v) of one bucket in different components of found (node, root) whose signatures agree in `least` bytes: each pair once."""
-    rows = met.join(found, "node", "left").select("band", "k", "node", "many", F.coalesce("root", "node").alias("root"))
-    live = cut(rows.groupBy("band", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "k"))
-    rows = rows.join(small_side(live, live.count(), 24), ["band", "k"], "left_semi")
-    parts = F.ceil(F.col("many") / cell).cast("int")
-    rows = rows.withColumn("s", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("band", "k", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "s", "node", "root")
-    names = ["band", "k", "i", "j"]
-    rows = rows.join(sigs, "node").select(*names, "s", "node", "root", "sig").repartition(*names).sortWithinPartitions(*names)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, 4):
-            u, v = cell_pairs(run, least)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    return rows.mapInArrow(each, "u long, v long")
-
-
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The rows that share their first columns, which are sorted by them: a run may reach over batches, but ends within a cell's rows."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(keys)])
-        starts = np.concatenate([[0], np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(0)) + 1, [batch.num_rows]])
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            if held and (cols[:, a] != last).any():
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = cols[:, a]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def cell_pairs(run: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
+def cell_pairs(run: pa.Table, least: int) -> Pairs:
     """The pairs of one cell: of different components, that share no earlier band, and agree in `least` bytes."""
-    band, i, j = (run.column(c)[0].as_py() for c in ("band", "i", "j"))
-    s, node, root = (run.column(c).to_numpy() for c in ("s", "node", "root"))
-    sig = run.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    band = run.column("band")[0].as_py()
+    sig = matrix(run, "sig", BANDS)
     octets = np.ascontiguousarray(sig).view(np.uint8)
-    right = np.flatnonzero(s == j)
-    us, vs = [], []
-    for a in np.flatnonzero(s == i):
-        others = right[(root[right] != root[a]) & ((node[right] > node[a]) | (i != j))]
-        if band and len(others):
+    found = []
+    for a, others in others_of(run):
+        if band:
             others = others[~(sig[others, :band] == sig[a, :band]).any(1)]
+        others = others[(octets[others] == octets[a]).sum(1) >= least]
         if len(others):
-            others = others[(octets[others] == octets[a]).sum(1) >= least]
-            us.append(np.full(len(others), node[a])), vs.append(node[others])
-    if not us:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return np.minimum(u, v), np.maximum(u, v)
+            found.append((a, others))
+    return paired(run, found)
 
 
 def near_sets(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 85, cell: int = CELL) -> DataFrame:
@@ -215,15 +112,13 @@ def near_sets(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: i
     nodes = prints.filter("h is not null").groupBy("h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     sigs, least = nodes.select("node", "sig"), least_agreement(percent)
-    sure = lambda pairs: confirmed(pairs, nodes, df, key, text, shingle, percent)
-    met = company(nodes)
-    found = cut(components(sure(verified(star_pairs(met), sigs, least))))
-    more = sure(apart_pairs(met, found, sigs, least, cell))
-    joined = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-    known = nodes.join(joined, "node", "left").filter("root is not null or copies > 1").select("h", "least", F.coalesce("root", "node").alias("root"))
-    known = cut(known)
-    groups = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("h", "component_id")
-    rows = prints.select("doc_id", "n", "h").join(small_side(groups, known.count(), 48), "h", "left")
+    met = company(nodes.select("node", F.posexplode("sig").alias("band", "k")), ["band", "k"])
+    joined = linked(
+        met, ["band", "k"], lambda pairs: verified(pairs, sigs, least), lambda pairs: confirmed(pairs, nodes, df, key, text, shingle, percent),
+        sigs, lambda run: cell_pairs(run, least), cell,
+    )
+    groups, n = classes(nodes, joined)
+    rows = prints.select("doc_id", "n", "h").join(small_side(groups, n, 48), "h", "left")
     component = F.coalesce("component_id", "doc_id")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
