@@ -15,7 +15,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +23,9 @@ from pyspark.sql import types as T
 
 from ..functions import vec
 from . import sampling
+from .graph import communities as communities  # of this module's methods
+from .linear import pca, scaled
 from .neighbours import knn
-from .persist import cut
 
 
 def with_features(df: DataFrame, vector: str, out: str = "_features", normalise: bool = False) -> DataFrame:
@@ -190,23 +190,13 @@ def importances(model: Classifier, names: Sequence[str]) -> list[tuple[str, floa
     return sorted(zip(names, map(float, values), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def pca(df: DataFrame, vector: str, n: int | None = None, most: int = 50, share: float = 0.9, fit_on: Column | None = None, out: str = "reduced") -> DataFrame:
-    """Principal components: n of them, or as few as hold `share` of the variance (2 at least, `most` at most). fit_on: the rows to learn from."""
-    dims = df.filter(fit_on) if fit_on is not None else df
-    means = dims.select(F.posexplode(vec.as_double(vector)).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m")).orderBy("d").collect()  # a row a component
-    mean = F.array(*(F.lit(r.m) for r in means))
-    centred = lambda x: with_features(x.withColumn("_c", F.zip_with(vec.as_double(vector), mean, lambda a, b: a - b)), "_c").drop("_c")
-    k = min(n or most, len(means), dims.limit(most + 1).count() if n is None else n)
-    model = PCA(k=max(1, k), inputCol="_features", outputCol="_pca").fit(centred(dims))
-    if n is None:
-        held = np.cumsum(model.explainedVariance.toArray())
-        k = max(min(2, k), min(k, int(np.searchsorted(held, share)) + 1))
-    return model.transform(centred(df)).withColumn(out, F.slice(vector_to_array("_pca"), 1, k)).drop("_features", "_pca")
-
-
 def kmeans(df: DataFrame, vector: str, k: int, starts: int = 10, seed: int = 42, out: str = "cluster") -> DataFrame:
-    rows = with_features(df, vector).cache()
-    best = min((KMeans(k=k, seed=seed + i, featuresCol="_features", predictionCol=out).fit(rows) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+    rows = with_features(df, vector)
+    held = rows.select("_features").persist()
+    try:
+        best = min((KMeans(k=k, seed=seed + i, featuresCol="_features", predictionCol=out).fit(held) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+    finally:
+        held.unpersist()
     return best.transform(rows).drop("_features")
 
 
@@ -370,53 +360,11 @@ def _density(x: np.ndarray, min_size: int, min_samples: int) -> np.ndarray:
     return labels
 
 
-def communities(edges: DataFrame, least: int = 2, levels: int = 4, rounds: int = 8) -> DataFrame:
-    """(node, cluster): modularity communities of (src, dst, weight), small ones -1.
-
-    In a round every other node, by a hash, moves to the neighbouring community of the
-    largest gain; nodes that moved together would undo each other. When none moves,
-    communities become nodes and it starts again. A parallel approximation of the
-    sequential methods, all joins and aggregates; only stopping tests reach the driver.
-    """
-    pairs = edges.select("src", "dst", F.col("weight").cast("double").alias("w"))
-    links = cut(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
-    members = cut(links.select(F.col("src").alias("node")).distinct().withColumn("at", F.col("node")))
-    total = links.agg(F.sum("w")).first()[0]
-    for _level in range(levels if total else 0):
-        degree = links.groupBy(F.col("src").alias("n")).agg(F.sum("w").alias("k"))
-        where = cut(degree.select("n", "k", F.col("n").alias("c")))
-        first = where
-        for turn in range(rounds):
-            mass = where.groupBy("c").agg(F.sum("k").alias("mass"))
-            to = links.filter("src <> dst").join(where.select(F.col("n").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("n"), "c").agg(F.sum("w").alias("w"))
-            own = where.select("n", "c", F.lit(0.0).alias("w"))
-            options = to.unionByName(own).groupBy("n", "c").agg(F.sum("w").alias("w")).join(mass, "c").join(where.select("n", "k", F.col("c").alias("old")), "n")
-            rest = F.col("mass") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("w") - F.col("k") * rest / F.lit(total), 9)
-            best = options.groupBy("n", "k", "old").agg(F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("old")).alias("stay"), (-F.col("c")).alias("neg"))).alias("b"))
-            may = F.pmod(F.xxhash64("n", F.lit(turn)), F.lit(2)) == 0
-            moved = cut(best.select("n", "k", F.when(may, -F.col("b.neg")).otherwise(F.col("old")).alias("c"), (F.col("old") != -F.col("b.neg")).alias("wants")))
-            where = moved.drop("wants")
-            if not moved.filter("wants").limit(1).count():
-                break
-        changed = where.filter("n <> c").limit(1).count()
-        members = cut(members.join(where.select(F.col("n").alias("at"), "c"), "at").select("node", F.col("c").alias("at")))
-        if where is first or not changed:
-            break
-        a, b = where.select(F.col("n").alias("src"), F.col("c").alias("a")), where.select(F.col("n").alias("dst"), F.col("c").alias("b"))
-        links = cut(links.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
-    sizes = members.groupBy("at").count()
-    return members.join(sizes, "at").select("node", F.when(F.col("count") >= least, F.col("at")).otherwise(-1).alias("cluster"))
-
-
 def cluster(df: DataFrame, key: str, vector: str, method: str = "kmeans", k: int | None = None, components: int | None = None, min_size: int = 5, scale: bool = True, seed: int = 42) -> DataFrame:
     """(key, cluster) after scaling and reduction; method: `density`, `kmeans` or `communities`."""
-    from .neighbours import standard_scale
-
     rows = df.select(key, vec.as_double(vector).alias("_x"))
     if scale:
-        scaled = standard_scale(rows, key, "_x").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("_x"))
-        rows = scaled
+        rows = scaled(rows, "_x", "_x")
     if components != -1:
         rows = pca(rows, "_x", components).select(key, F.col("reduced").alias("_x"))
     if method == "density":

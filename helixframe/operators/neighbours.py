@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .ordered import running_sums
 from ..functions import vec
 from .blocks import BLOCK, block_pairs, stacked, unit_rows
+from .linear import scaled
 from .pivots import Search
 
 
@@ -89,43 +90,45 @@ def strict_percentile(scores: DataFrame, reference: DataFrame, value: str, ref_v
     return scores.join(below.select(F.col("_x").alias(value), (F.col("_b") / F.col("_b_total")).alias(out)), value)
 
 
-def label_moments(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """(label, n, s, m): rows, the sum of their unit vectors and the sum of outer products (flattened): partial sums of each partition, then added."""
+def label_moments(df: DataFrame, label: str, vector: str, squares: bool = True) -> DataFrame:
+    """(label, n, z, s, m): rows, those that aren't zero, the sum of their unit vectors and, of squares, the sum of outer products (flattened): partial sums of each partition, then added.
+
+    Without squares nothing is larger than a vector; with them a label has components x components numbers.
+    """
     kind = dict(df.dtypes)[label]
     rows = df.select(F.col(label).alias("label"), vec.as_double(vector).alias("v"))
-    schema = f"label {kind}, n long, s array<double>, m array<double>"
+    schema = f"label {kind}, n long, z long, s array<double>, m array<double>"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
         for pdf in batches:
             for value, part in pdf.groupby("label", dropna=False):
                 u = unit_rows(stacked(part["v"]))
-                n, s, m = sums.get(value, (0, 0.0, 0.0))
-                sums[value] = (n + len(u), s + u.sum(0), m + u.T @ u)
-        for value, (n, s, m) in sums.items():
-            yield pd.DataFrame({"label": [value], "n": [n], "s": [s.tolist()], "m": [m.ravel().tolist()]})
+                n, z, s, m = sums.get(value, (0, 0, 0.0, 0.0))
+                sums[value] = (n + len(u), z + int(u.any(1).sum()), s + u.sum(0), m + u.T @ u if squares else np.zeros(0))
+        for value, (n, z, s, m) in sums.items():
+            yield pd.DataFrame({"label": [value], "n": [n], "z": [z], "s": [s], "m": [m.ravel()]})
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "n": [pdf["n"].sum()], "s": [stacked(pdf["s"]).sum(0).tolist()], "m": [stacked(pdf["m"]).sum(0).tolist()]})
+        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "n": [pdf["n"].sum()], "z": [pdf["z"].sum()], "s": [stacked(pdf["s"]).sum(0)], "m": [stacked(pdf["m"]).sum(0)]})
 
     return rows.mapInPandas(partial, schema).groupBy("label").applyInPandas(total, schema)
 
 
-def cross_similarity(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """(label_a, label_b, n_pairs, mean, std): cosine of all pairs of rows of two labels, without forming a pair.
+def cross_similarity(df: DataFrame, label: str, vector: str, squares: bool = True) -> DataFrame:
+    """(label_a, label_b, n_pairs, total, square): sums of the cosine, and of squares of its square, over all pairs of rows of two labels, without forming a pair.
 
     Sums of unit vectors give the sum of cosines, sums of their outer products the sum
     of squares; of a label with itself each pair counts once and rows not with themselves.
     """
-    m = label_moments(df, label, vector)
-    a, b = m.toDF("label_a", "na", "sa", "ma"), m.toDF("label_b", "nb", "sb", "mb")
+    m = label_moments(df, label, vector, squares)
+    a, b = m.toDF("label_a", "na", "za", "sa", "ma"), m.toDF("label_b", "nb", "zb", "sb", "mb")
     both = a.join(b, F.col("label_a") <= F.col("label_b"))  # labels x labels
     same = F.col("label_a") == F.col("label_b")
-    self_1 = F.aggregate(F.sequence(F.lit(0), F.size("sa") - 1), F.lit(0.0), lambda s, i: s + F.col("ma")[i * F.size("sa") + i])  # rows that aren't zero
     n = F.when(same, F.col("na") * (F.col("na") - 1) / 2).otherwise((F.col("na") * F.col("nb")).cast("double"))
-    total = F.when(same, (vec.dot("sa", "sb") - self_1) / 2).otherwise(vec.dot("sa", "sb"))
-    square = F.when(same, (vec.dot("ma", "mb") - self_1) / 2).otherwise(vec.dot("ma", "mb"))
-    return both.select("label_a", "label_b", n.cast("long").alias("n_pairs"), total.alias("total"), square.alias("square")).filter("n_pairs > 0")
+    over_pairs = lambda x, y: F.when(same, (vec.dot(x, y) - F.col("za")) / 2).otherwise(vec.dot(x, y))
+    square = over_pairs("ma", "mb") if squares else F.lit(None).cast("double")
+    return both.select("label_a", "label_b", n.cast("long").alias("n_pairs"), over_pairs("sa", "sb").alias("total"), square.alias("square")).filter("n_pairs > 0")
 
 
 def similarity_stats(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -200,10 +203,7 @@ def assignments(df: DataFrame, key: str, cluster: str, vector: str) -> DataFrame
 
 def standard_scale(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, d, x): components less their mean, over their deviation (of the rows; 1 where it is 0)."""
-    dims = df.select(F.col(key), F.posexplode(vec.as_double(vector)).alias("d", "x"))
-    stats = dims.groupBy("d").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))  # a row a component
-    scaled = (F.col("x") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
-    return dims.join(F.broadcast(stats), "d").select(key, "d", scaled.alias("x"))
+    return scaled(df.select(key, vec.as_double(vector).alias("_v")), "_v", "_v").select(key, F.posexplode("_v").alias("d", "x"))
 
 
 def neighbour_graph(df: DataFrame, k: int = 15, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

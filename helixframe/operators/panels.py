@@ -73,7 +73,7 @@ def found_boundaries(ends: DataFrame, peaks: DataFrame, seq: str, end: str, peak
 
 def group_distances(df: DataFrame, group: str, vector: str) -> DataFrame:
     """(group_a, group_b, n, mean): cosine distances of all pairs of rows of two groups, from the groups' sums, so that no pair is formed."""
-    c = cross_similarity(df, group, vector)
+    c = cross_similarity(df, group, vector, squares=False)
     return c.select(F.col("label_a").alias("group_a"), F.col("label_b").alias("group_b"), F.col("n_pairs").alias("n"), (1 - F.col("total") / F.col("n_pairs")).alias("mean"))
 
 

@@ -108,7 +108,7 @@ def pairwise_within_between(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PAIRS} SELECT label_a, label_b, count(*) AS n_pairs, round(avg(s), 6) AS mean FROM p GROUP BY ALL")
 def category_cross_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = N.cross_similarity(_vectors(spark, sf_dir), "label", "embedding")
+    pairs = N.cross_similarity(_vectors(spark, sf_dir), "label", "embedding", squares=False)
     return N.similarity_stats(pairs, ["label_a", "label_b"]).select("label_a", "label_b", "n_pairs", six("mean").alias("mean"))
 
 

@@ -3,13 +3,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import rules, seq, vec
+from helixframe.operators import graph, kmers, ml
 from helixframe.operators import intervals as I
-from helixframe.operators import kmers, ml
 from helixframe.operators import lookups as L
 from helixframe.operators import metrics as M
 from helixframe.operators import neighbours as N
 from helixframe.operators import sampling
 from helixframe.operators import signal as S
+from helixframe.operators.linear import principal, scaled
 from helixframe.operators.peaks import kept_peaks
 from helixframe.operators.spectrum import power_spectrum
 
@@ -419,6 +420,68 @@ def test_pca_keeps_the_variance(spark):
     assert z.shape[1] == 2 and np.allclose(np.abs(z), np.abs(u[:, :2] * s[:2]), atol=1e-6)
 
 
+def test_components_of_8192_dimensions(spark):
+    rng = np.random.default_rng(12)
+    n, d = 300, 8192
+    x = rng.normal(size=(n, 12)) * 2.0 ** -np.arange(12) @ rng.normal(size=(12, d)) + rng.normal(0, 0.02, (n, d)) + 3
+    df = vectors(spark, x).repartition(7)
+    mean, parts, shares = principal(df, "embedding", 10, over=10)
+    u, s, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(shares, (s**2 / (s**2).sum())[:10], atol=1e-3)
+    assert np.allclose(np.abs(np.diag(v[:8] @ parts[:, :8])), 1, atol=1e-3) and np.allclose(parts.T @ parts, np.eye(10), atol=1e-9)
+    got = ml.pca(df, "embedding", 4).orderBy("vec_id").collect()
+    assert np.allclose(np.abs([r.reduced for r in got]), np.abs((u * s)[:, :4]), rtol=1e-2, atol=1e-2)
+
+
+def test_scaling_sums_once_and_keeps_nulls(spark):
+    x = np.random.default_rng(13).normal(size=(50, 3)) * [1, 0, 7] + 1e6
+    df = vectors(spark, x).repartition(5).unionByName(spark.createDataFrame([(99, None, 0)], "vec_id long, embedding array<double>, label int"))
+    got = {r.vec_id: r.z for r in scaled(df, "embedding", "z").collect()}
+    sd = x.std(0)
+    assert got.pop(99) is None and np.allclose([got[i] for i in range(50)], (x - x.mean(0)) / np.where(sd > 0, sd, 1), atol=1e-6)
+    assert scaled(df.limit(0), "embedding", "z").count() == 0
+
+
+def clique_edges(groups, bridges):
+    return [(a, b, 1.0) for g in groups for a in g for b in g if a < b] + [(a, b, 0.3) for a, b in bridges]
+
+
+def test_communities_are_connected_and_as_good_as_the_planted_ones(spark):
+    rng = np.random.default_rng(14)
+    groups = [list(range(8 * i, 8 * i + 8)) for i in range(9)]
+    bridges = [(8 * i + 7, 8 * i + 8) for i in range(8)] + [tuple(sorted(rng.choice(72, 2, replace=False).tolist())) for _ in range(10)]
+    edges = spark.createDataFrame(clique_edges(groups, bridges), "src long, dst long, weight double")
+    found = graph.communities(edges)
+    planted = spark.createDataFrame([(n, i) for i, g in enumerate(groups) for n in g], "node long, cluster long")
+    assert graph.modularity(edges, found) >= graph.modularity(edges, planted) - 1e-9
+    at = {r.node: r.cluster for r in found.collect()}
+    inside = spark.createDataFrame([(a, b) for a, b, _ in clique_edges(groups, bridges) if at[a] == at[b]], "u long, v long")
+    parts = {r.node: r.root for r in graph.components(inside).collect()}
+    assert len({(at[n], parts.get(n, n)) for n in at}) == len(set(at.values()))
+
+
+def test_communities_that_fall_apart_are_split(spark):
+    links = graph.both_ways(spark.createDataFrame([(1, 2, 1.0), (3, 4, 1.0), (2, 5, 1.0)], "src long, dst long, weight double"))
+    where = spark.createDataFrame([(i, 7) for i in (1, 2, 3, 4)] + [(5, 8)], "n long, c long")
+    assert {r.n: r.c for r in graph.connected(links, where).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_graph_components_and_modularity_by_hand(spark):
+    rng = np.random.default_rng(15)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 260)]
+    want = {x: x for p in pairs for x in p}
+    for _ in range(len(want)):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "u long, v long")).collect()} == want
+    edges = [(1, 2, 2.0), (2, 3, 1.0), (3, 4, 3.0), (1, 3, 0.5)]
+    at, m = {1: 0, 2: 0, 3: 1, 4: 1}, 6.5
+    k = {n: sum(w for a, b, w in edges if n in (a, b)) for n in at}
+    q = sum(w for a, b, w in edges if at[a] == at[b]) / m - sum((k[a] / (2 * m)) * (k[b] / (2 * m)) for a in at for b in at if at[a] == at[b])
+    members = spark.createDataFrame(list(at.items()), "node long, cluster long")
+    assert np.isclose(graph.modularity(spark.createDataFrame(edges, "src long, dst long, weight double"), members), q)
+
+
 def test_classifier_trains_calibrates_and_comes_back(spark, tmp_path):
     rng = np.random.default_rng(8)
     x = np.vstack([rng.normal(-1, 1, (150, 5)), rng.normal(1, 1, (150, 5))])
