@@ -6,8 +6,10 @@ gear hash of the last 4 bytes is the smallest: both ends follow the bytes alone,
 insertion shifts chunks but doesn't change them, and texts that share `MIN_SPAN` bytes
 or more always share a chunk in them. Chunks are grouped by digest. A chunk that came
 before, in a smaller id, is laid beside that id's text, from `REACH` bytes before the
-first common chunk to `REACH` after the last, and runs of equal bytes are matches. Matches that touch make a span, and spans of `MIN_SPAN` bytes or more are
-reported.
+first common chunk to `REACH` after the last, and runs of `MIN_SPAN` equal bytes or more
+are matches: that text holds all of it. Matches that overlap or touch are reported as one
+span. A repeat is missed if each of its chunks has a smaller id that holds it but not
+`MIN_SPAN` bytes around it.
 
 Offsets count UTF-8 bytes and never halve a letter. Null and empty texts have no chunks.
 A row without an id is neither reported nor kept as a source. Rows that share an id are
@@ -134,8 +136,8 @@ def whole_letters(text: bytes, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def matches(df: DataFrame, key: str, text: str, within: bool) -> DataFrame:
-    """doc_id, digest (of the row's text), start, end, first: runs of `LEAST` bytes or more that `first`, the smallest id with one of their chunks, also holds."""
+def matches(df: DataFrame, key: str, text: str, within: bool, least: int = MIN_SPAN) -> DataFrame:
+    """doc_id, digest (of the row's text), start, end, first: runs of `least` bytes or more that `first`, the smallest id with one of their chunks, also holds."""
     texts = df.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("t")).filter((F.col("doc_id").isNotNull()) & (F.octet_length("t") >= DECIDE))
     held = chunked(texts, first=True).groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("at"), F.max("again").alias("again"))
     shared = cut(held.filter((F.col("first") < F.col("last")) | (F.col("again") & F.lit(within))).select("h", "first", "at"))
@@ -155,11 +157,12 @@ def matches(df: DataFrame, key: str, text: str, within: bool) -> DataFrame:
             rows, starts, ends = [], [], []
             for i, (start, a, b) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True)):
                 own = b.as_py()
-                for x, y in equal_runs(a.as_py(), own, LEAST):
+                for x, y in equal_runs(a.as_py(), own, least):
                     x, y = whole_letters(own, x, y)
-                    rows.append(i)
-                    starts.append(start + x)
-                    ends.append(start + y)
+                    if y - x >= least:
+                        rows.append(i)
+                        starts.append(start + x)
+                        ends.append(start + y)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (0, 1, 2)), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=[f.name for f in schema])
 
@@ -167,12 +170,12 @@ def matches(df: DataFrame, key: str, text: str, within: bool) -> DataFrame:
 
 
 def _spans(df: DataFrame, key: str, text: str, min_span: int, within: bool) -> DataFrame:
-    found = matches(df, key, text, within)
+    found = matches(df, key, text, within, min_span)
     by = Window.partitionBy("doc_id", "digest").orderBy("start")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     islands = found.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     spans = islands.groupBy("doc_id", "digest", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count_distinct("start", "end", "first").alias("n_chunks"), F.min_by("first", F.struct("start", "first")).alias("source_doc_id"), F.array_sort(F.collect_set("first")).alias("source_doc_ids"))
-    return spans.filter(F.col("end") - F.col("start") >= min_span)
+    return spans
 
 
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN, within: bool = False) -> DataFrame:

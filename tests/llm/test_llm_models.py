@@ -487,7 +487,18 @@ def test_spans_against_brute_force(spark):
     assert sum(map(sum, covered.values())) > 3000
     for i, own in covered.items():  # only the separators beside a passage may match another source than the smallest
         assert all(not c or any(got[i][max(0, k - 3) : k + 4]) for k, c in enumerate(own))
-    assert sum(map(sum, got.values())) - sum(map(sum, covered.values())) < 60  # short runs that touch a span
+    assert all(not g or c for i in got for g, c in zip(got[i], covered[i], strict=True))  # no byte that isn't in such a run
+
+
+def test_short_phrases_of_two_texts_side_by_side_are_no_repeat(spark):
+    rng = random.Random(19)
+    rows = []
+    for i in range(40):
+        a, b = passage(rng, 40)[:80], passage(rng, 40)[:80]
+        rows += [(i, f"{passage(rng, 20)} {a} {passage(rng, 20)}"), (100 + i, f"{passage(rng, 20)} {b} {passage(rng, 20)}"), (200 + i, f"{passage(rng, 20)}{a}{b}{passage(rng, 20)}")]
+    df = docs(spark, rows)
+    assert sd.repeated_spans(df).count() == 0
+    assert {r.doc_id: r.text for r in sd.drop_repeats(df).collect()} == dict(rows)
 
 
 def test_rows_that_share_an_id_lose_only_their_own_repeats(spark):
@@ -537,3 +548,29 @@ def test_repeats_inside_a_document(spark):
     text = f"{p} <{passage(rng, 40)}> {p}"
     out = sd.repeated_spans(docs(spark, [(1, text), (2, passage(rng, 200))]), within=True).collect()
     assert [(r.doc_id, r.source_doc_id) for r in out] == [(1, 1)] and text[out[0].start : out[0].end].strip() == p
+
+
+def test_samples_are_bounded_however_often_an_id_comes(spark):
+    from helixframe.llm import language_id, toxicity
+
+    words = {"en": "the cat and the dog", "de": "der Hund und die Katze"}
+    df = spark.range(60_000).select(
+        F.when(F.col("id") < 50_000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"),
+        F.concat(F.when(F.col("id") % 2 == 0, words["en"]).otherwise(words["de"]), F.lit(" "), F.col("id").cast("string")).alias("text"),
+    )
+    got = {}
+    real = language_id.fit
+    language_id.fit = lambda counts, langs: got.update(n=len(langs), each={x: langs.count(x) for x in langs}) or real(counts, langs)
+    try:
+        model = language_id.train(df, per_language=50)
+    finally:
+        language_id.fit = real
+    assert got["n"] <= 100 and max(got["each"].values()) <= 50 and set(model.languages) == {"en", "de"}
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).distinct()
+    real_fit = toxicity.fit
+    toxicity.fit = lambda terms, y: got.update(terms=len(terms)) or real_fit(terms, y)
+    try:
+        toxicity.train(df, labels, per_class=30)
+    finally:
+        toxicity.fit = real_fit
+    assert got["terms"] <= 60
