@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,7 +158,7 @@ def fit(counts: np.ndarray, langs: list[str]) -> Model:
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, seed: int = 3) -> Model | None:
-    """A model of the rows that aren't held out. The driver gets at most about twice per_language rows of trigram counts for each language."""
+    """A model of the rows that aren't held out. The driver gets at most per_language rows of trigram counts for each language, however often an id comes."""
     src = df.select(F.col(key).alias("id"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     src = src.filter("id is not null and t is not null and l is not null").filter(~held_out("id"))
     sizes = {r.l: r["count"] for r in src.groupBy("l").count().collect()}  # one row a language
@@ -166,7 +166,8 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return None
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (per_language + 4 * per_language**0.5) / n))))
     hashed = unit_hash(F.lit(seed), F.col("id"))
-    chosen = src.withColumn("u", hashed).filter(F.col("u") <= share[F.col("l")]).select("id", "l", "u", "t")
+    place = F.row_number().over(Window.partitionBy("l").orderBy("u", F.md5("t")))  # a task keeps per_language rows of a language at most
+    chosen = src.withColumn("u", hashed).filter(F.col("u") <= share[F.col("l")]).withColumn("place", place).filter(F.col("place") <= per_language).select("id", "l", "u", "t")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,18 +179,13 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sparse, pa.binary())], names=["l", "u", "counts"])
 
     rows = sorted(chosen.mapInArrow(counted, "l string, u double, counts binary").collect(), key=lambda r: (r.l, r.u, bytes(r.counts)))
-    kept, seen = [], dict.fromkeys(sizes, 0)
-    for r in rows:
-        seen[r.l] += 1
-        if seen[r.l] <= per_language:
-            kept.append(r)
-    if not kept:
+    if not rows:
         return None
-    counts = np.zeros((len(kept), 1 << BITS), np.float32)
-    for i, r in enumerate(kept):
+    counts = np.zeros((len(rows), 1 << BITS), np.float32)
+    for i, r in enumerate(rows):
         at, n = np.frombuffer(r.counts, np.int32).reshape(2, -1)
         counts[i, at] = n
-    return fit(counts, [r.l for r in kept])
+    return fit(counts, [r.l for r in rows])
 
 
 def with_language(df: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:

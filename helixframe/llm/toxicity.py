@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,7 +168,9 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     named = named.groupBy("k").agg(F.max((F.col("y") != 0).cast("int")).alias("y")).withColumn("u", unit_hash(F.lit(seed), F.col("k")))
     chosen = [named.filter(F.col("y") == y).orderBy("u", "k").limit(per_class) for y in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])  # at most 2 x per_class rows
-    src = df.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("id") == F.col("k")).select("y", "u", "t")
+    src = df.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), F.col("id") == F.col("k"))
+    place = F.row_number().over(Window.partitionBy("y").orderBy("u", F.md5("t")))  # an id may have several rows
+    src = src.withColumn("place", place).filter(F.col("place") <= per_class).select("y", "u", "t")
 
     def termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +183,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = src.mapInArrow(termed, "y int, u double, terms binary").toPandas()
     if not len(rows):
         return None
-    rows = rows.sort_values(["u", "y"], kind="stable").groupby("y").head(per_class)  # an id may have several rows
+    rows = rows.assign(bytes=rows["terms"].map(bytes)).sort_values(["u", "y", "bytes"], kind="stable")
     return fit([np.frombuffer(x, np.int32) for x in rows["terms"]], rows["y"].to_numpy())
 
 
