@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .persist import cut
 
 #: Shares of the nodes (one in so many) that may move together, tried one after another.
-SHARES = (2, 4, 16, 64)
+SHARES = (2, 8)
+#: A rise of the modularity that is worth another turn.
+RISE = 1e-4
 
 
 def pointed(pointers: DataFrame) -> DataFrame:
@@ -76,14 +78,14 @@ def _moved(links: DataFrame, where: DataFrame, total: float, turn: int, share: i
     return best.select("n", "k", F.when(may, -F.col("b.neg")).otherwise(F.col("old")).alias("c"), (F.col("old") != -F.col("b.neg")).alias("wants"))
 
 
-def _settled(links: DataFrame, where: DataFrame, total: float) -> DataFrame:
-    """where, once no node gains by moving, or no share of those that do raises the modularity any more."""
+def _settled(links: DataFrame, where: DataFrame, total: float, rise: float) -> DataFrame:
+    """where, once no node gains by moving, or no share of those that do raises the modularity by `rise`."""
     quality, turn, step = _quality(links, where, total), 0, 0
     while step < len(SHARES):
         tried = cut(_moved(links, where, total, turn, SHARES[step]))
         turn += 1
         better = _quality(links, tried.select("n", "c"), total)
-        if better > quality + 1e-9:
+        if better > quality + rise:
             where, quality, step = tried.drop("wants"), better, 0
         elif not tried.filter("wants").limit(1).count():
             break
@@ -100,11 +102,11 @@ def connected(links: DataFrame, where: DataFrame) -> DataFrame:
     return where.select("n").join(parts.withColumnRenamed("node", "n"), "n", "left").select("n", F.coalesce("root", "n").alias("c"))
 
 
-def communities(edges: DataFrame, least: int = 2) -> DataFrame:
+def communities(edges: DataFrame, least: int = 2, rise: float = RISE) -> DataFrame:
     """(node, cluster): modularity communities of (src, dst, weight), ids whole numbers; small ones -1.
 
     Nodes move to the neighbouring community of the largest gain, a share of them at once,
-    until none gains or no share raises the modularity. Communities are then refined: each
+    until none gains or no share raises the modularity by `rise`. Communities are then refined: each
     is split into its connected parts. The parts become nodes, and it starts again, until
     nothing changes. Every community is connected.
     """
@@ -113,7 +115,7 @@ def communities(edges: DataFrame, least: int = 2) -> DataFrame:
     total = links.agg(F.sum("w")).first()[0]
     while total:
         start = cut(links.groupBy(F.col("src").alias("n")).agg(F.sum("w").alias("k")).select("n", "k", F.col("n").alias("c")))
-        parts = cut(connected(links, _settled(links, start, total)))
+        parts = cut(connected(links, _settled(links, start, total, rise)))
         if not parts.filter("n <> c").limit(1).count():
             break
         members = cut(members.join(parts.select(F.col("n").alias("at"), "c"), "at").select("node", F.col("c").alias("at")))
