@@ -118,8 +118,8 @@ def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.encode_labels(rows, "code")[0].groupBy("label", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT 'q' || l_orderkey AS query, 't' || l_partkey AS target, l_linenumber AS alnlen, l_quantity AS evalue, 'pdb' AS source_db FROM lineitem WHERE l_orderkey % 50 = 1 UNION ALL
-    SELECT 'q' || l_orderkey, 't' || l_partkey, l_linenumber, l_quantity, 'afdb' FROM lineitem WHERE l_orderkey % 50 = 2""")
+@query("""SELECT 'q' || l_orderkey AS query, 't' || l_partkey AS target, l_linenumber AS alnlen, l_quantity AS evalue, 'pdb' AS source_db FROM lineitem WHERE l_orderkey % 2 = 1 UNION ALL
+    SELECT 'q' || l_orderkey, 't' || l_partkey, l_linenumber, l_quantity, 'afdb' FROM lineitem WHERE l_orderkey % 2 = 0""")
 def hit_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of 19 columns without a header, tagged by database."""
     from ..operators.lookups import tagged_union
@@ -127,8 +127,8 @@ def hit_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [c.split()[0] for c in features.HIT_SCHEMA.split(", ")]
     own = {"query": _text("q", F.col("l_orderkey")), "target": _text("t", F.col("l_partkey")), "alnlen": F.col("l_linenumber"), "evalue": F.col("l_quantity")}
     parts = {}
-    for i, db in ((1, "pdb"), (2, "afdb")):
-        rows = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 50 == i).select(*(own.get(n, F.lit("1")).alias(n) for n in names))
+    for i, db in ((1, "pdb"), (0, "afdb")):
+        rows = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 2 == i).select(*(own.get(n, F.lit("1")).alias(n) for n in names))
         parts[db] = features.read_hits(spark, _tsv(rows, f"{db}.m8", header=False))
     return tagged_union(parts, "source_db").select("query", "target", "alnlen", "evalue", "source_db")
 

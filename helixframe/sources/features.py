@@ -199,3 +199,27 @@ def coding_sequence(sequence: str | Column, coded: Column) -> Column:
     s = F.col(sequence) if isinstance(sequence, str) else sequence
     joined = F.array_join(F.transform(coded["parts"], lambda p: F.substring(s, p["start"].cast("int"), (p["end"] - p["start"] + 1).cast("int"))), "")
     return F.when(coded["reverse"], F.reverse(F.translate(joined, "ACGTacgt", "TGCAtgca"))).otherwise(joined)
+
+
+def read_coding_regions(spark: SparkSession, path: str) -> DataFrame:
+    """(contig_id, start, end): the coding regions of a gene finder's GFF3, starts from 0."""
+    return read_gff(spark, path, ("CDS",)).select("contig_id", (F.col("start") - 1).alias("start"), "end")
+
+
+def read_annotations(spark: SparkSession, path: str, pattern: str = "*.tsv", whole: bool = False) -> DataFrame:
+    """An annotation table, its first column named protein_id: a file, or of a folder the first file by name that fits the pattern.
+
+    whole: all fitting files of the folder are one table, as Spark writes it. A folder without such a file is an error.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if fs.getFileStatus(at).isDirectory():
+        found = sorted(str(s.getPath().toString()) for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(at, pattern)))
+        if not found:
+            raise FileNotFoundError(f"no {pattern} in {path}")
+        files = found if whole else found[:1]
+    else:
+        files = [path]
+    df = spark.read.csv(files, sep="\t", header=True)
+    return df.withColumnRenamed(df.columns[0], "protein_id")

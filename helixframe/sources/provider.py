@@ -23,6 +23,9 @@ from ..operators.lookups import uncached
 
 SCHEMA = "sequence_id string, embedding array<float>"
 
+#: Bytes of a compacted file.
+FILE_BYTES = 256 << 20
+
 
 class Provider(ABC):
     """What a source of vectors has to offer. Objects are sent to the executors."""
@@ -195,13 +198,17 @@ class Cache:
             out = out.withColumn("embedding", F.when(F.col("embedding").isNull(), F.raise_error(F.concat(F.lit("no vector of "), "sequence_id"))).otherwise(F.col("embedding")))
         return out.orderBy(order) if order else out
 
-    def compact(self, files: int = 1) -> None:
-        """Rewrite the partition beside itself, move the old one aside, put the new one in its place, then delete the old one."""
+    def compact(self, files: int | None = None, each: int = FILE_BYTES) -> None:
+        """Rewrite the partition beside itself, move the old one aside, put the new one in its place, then delete the old one.
+
+        files: how many; else as many as make about `each` bytes a file, written side by side.
+        """
         new = f"{self.path}/_compacting_{self.model}_{self.layer}"
-        self._stamped(self.read()).coalesce(files).write.mode("overwrite").parquet(new)
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         old, fresh = jvm.org.apache.hadoop.fs.Path(self.folder), jvm.org.apache.hadoop.fs.Path(new)
         fs = old.getFileSystem(conf)
+        files = files or max(1, -(-fs.getContentSummary(old).getLength() // each))
+        self._stamped(self.read()).repartition(files).write.mode("overwrite").parquet(new)
         aside = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_replaced_{self.model}_{self.layer}")
         fs.delete(aside, True)
         if not fs.rename(old, aside):

@@ -506,6 +506,54 @@ def test_ami_of_equal_and_unrelated_labels(spark):
     assert abs(ami(df, "a", "b")) < 0.03 and ami(df.withColumn("c", F.col("a") + 7), "a", "c") > 0.999
 
 
+def test_expected_information_of_small_and_large_overlaps():
+    from math import lgamma
+
+    from helixframe.operators.panels import expected_information
+
+    def terms(x, y, n):
+        fact = lambda k: lgamma(k + 1)
+        k = np.arange(max(1, x + y - n), min(x, y) + 1)
+        weight = np.array([fact(x) + fact(y) + fact(n - x) + fact(n - y) - fact(n) - fact(i) - fact(x - i) - fact(y - i) - fact(n - x - y + i) for i in k.tolist()])
+        return float((k / n * np.log(n * k / (x * y)) * np.exp(weight)).sum())
+
+    for x, y, n in ((5, 7, 20), (20, 20, 20), (1, 19, 20), (300, 500, 1000), (999, 10, 1000), (3000, 40_000, 60_000), (50_000, 60_000, 100_000), (19_999, 19_999, 200_000)):
+        assert abs(float(expected_information(np.array([x]), np.array([y]), n)[0]) - terms(x, y, n)) < 1e-9
+    assert 0 < float(expected_information(np.array([5e11]), np.array([6e11]), 10**12)[0]) < 1e-12  # no longer than of few rows
+
+
+def test_tables_of_analyses(spark):
+    from helixframe.operators import tables as T
+
+    panel = spark.createDataFrame([("a", "x", 1), ("b", "noncoding_x", 2), ("c", "y", 3)], "name string, category string, gap int")
+    metrics = spark.createDataFrame([("a", 9), ("b", 8)], "name string, gap int")
+    sequences = spark.createDataFrame([("a", "GCgcAAAA"), ("z", "G")], "name string, s string")
+    got = {r.name: r for r in T.panel_with_metrics(panel, metrics, sequences, "name", "s").collect()}
+    assert set(got) == {"a", "b"} and (got["a"].gap, got["a"].gc_content, got["a"].seq_len) == (9, 50.0, 8) and (got["b"].gc_content, got["b"].seq_len) == (0.0, 0)
+    meta = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, None), ("q", 1, "z")], "k string, o int, v string")
+    chained = T.with_metadata(panel.select("name"), "name", [T.Metadata(meta, "k", {"v": "v", "o2": F.col("o") * 2}, order="o"), T.Metadata(meta, "k", {"w": "v"}, where=F.col("o") == 1)])
+    assert {tuple(r) for r in chained.collect()} == {("a", "new", 4, "old"), ("b", None, 2, None), ("c", None, None, None)}
+    genes = spark.createDataFrame([("s", 10, 3), ("s", 3, 20), ("t", 5, 5)], "s string, a int, b int")
+    assert {r.s: r.boundaries for r in T.boundary_lists(genes, "s", "a", "b").collect()} == {"s": [2, 9, 19], "t": [4]}
+    rates = T.rates_by_category(panel, "category", F.col("gap") > 1, order=["y", "x", "none"])
+    assert {(r.category, r.n, r.n_hit, r.rate, r.place) for r in rates.collect()} == {("x", 2, 1, 50.0, 2), ("y", 1, 1, 100.0, 1)}
+    lengths = spark.createDataFrame([(i,) for i in (499, 500, 999, 1000, 2999, 3000)], "n int")
+    assert sorted(tuple(r) for r in T.bin_partition(lengths, "n", [(500, 1000), (1000, 3000)]).collect()) == [(500, "500-1kb"), (999, "500-1kb"), (1000, "1-3kb"), (2999, "1-3kb")]
+    x = np.random.default_rng(3).normal(size=(2, 50))
+    df = spark.createDataFrame([("s", i, float(a), float(b)) for i, (a, b) in enumerate(x.T)], "s string, i int, c1 double, c3 double")
+    track = T.inversion_track(df, "s", "i", "c1", "c3", 10, block=16).orderBy("i").collect()
+    same = [np.convolve(v, np.ones(10) / 10, "same") for v in x]
+    assert np.allclose([r.c1 for r in track], same[0]) and np.allclose([r.inversion for r in track], same[1] - same[0])
+
+
+def test_refused_sequences_are_an_error(spark):
+    df = spark.createDataFrame([("a", "ACGT"), ("b", "ACXT")], "k string, s string")
+    with pytest.raises(Exception, match="sequence b has letters other than ACGT"):
+        df.select(seq.checked("s", "k", 10, "ACGT")).collect()
+    with pytest.raises(Exception, match="sequence a is longer than 3"):
+        df.select(seq.checked("s", "k", 3)).collect()
+
+
 def test_routing_and_panels(spark):
     from helixframe.operators import panels
 

@@ -301,3 +301,14 @@ def test_ties_of_labels_and_ordered_passes(spark):
         mine = sorted((k for k, d, _ in rows if d == c), key=lambda k: ((k % 2**31) * sampling.FACTOR + 42) % sampling.PRIME)
         assert [ranks[k] for k in mine] == [(c, i + 1, len(mine)) for i in range(len(mine))]
     assert M.ecdf(df.filter("false"), "x").count() == 0
+
+
+def test_annotations_of_a_file_and_of_a_folder(spark, tmp_path):
+    for name, row in (("b.tsv", "p2\tx"), ("a.tsv", "p1\ty")):
+        (tmp_path / name).write_text(f"query\tfunction\n{row}\n")
+    (tmp_path / "0.txt").write_text("no table")
+    got = features.read_annotations(spark, str(tmp_path)).collect()
+    assert [(r.protein_id, r.function) for r in got] == [("p1", "y")]
+    assert features.read_annotations(spark, str(tmp_path / "b.tsv")).first().protein_id == "p2"
+    with pytest.raises(FileNotFoundError):
+        features.read_annotations(spark, str(tmp_path), "*.xls")
