@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small_side
@@ -80,10 +80,13 @@ def company(rows: DataFrame, by: list[str]) -> DataFrame:
     return cut(rows.join(small_side(sizes, sizes.count(), 32), by).select(*by, "node", "many"))
 
 
-def star_pairs(met: DataFrame, by: list[str]) -> DataFrame:
-    """(u, v), u < v: every node with the pivot of each of its buckets, the node that has the most company in all of its own."""
+def star_pairs(met: DataFrame, by: list[str], fullest: int | None = None) -> DataFrame:
+    """(u, v), u < v: every node with the pivot of each of its buckets, or of its `fullest` ones: the node that has the most company in all of its own."""
     weights = met.groupBy("node").agg(F.sum("many").alias("w"))
     pivots = met.join(weights, "node").groupBy(*by).agg(F.max_by("node", F.struct("w", "node")).alias("pivot"))
+    if fullest:
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("many"), *by))  # of a node's own buckets
+        met = met.withColumn("place", place).filter(F.col("place") <= fullest).drop("place")
     pairs = met.join(pivots, by).filter("node <> pivot")
     return pairs.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
 
@@ -150,9 +153,9 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def linked(met: DataFrame, by: list[str], verify: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame], carried: DataFrame, compare: Callable[[pa.Table], Pairs], cell: int = CELL) -> DataFrame:
-    """(node, root): the components of the links among what meets, by both passes."""
-    found = cut(components(confirm(verify(star_pairs(met, by)))))
+def linked(met: DataFrame, by: list[str], verify: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame], carried: DataFrame, compare: Callable[[pa.Table], Pairs], cell: int = CELL, fullest: int | None = None) -> DataFrame:
+    """(node, root): the components of the links among what meets, by both passes. fullest: buckets of a node that the first pass takes; the second takes all."""
+    found = cut(components(confirm(verify(star_pairs(met, by, fullest)))))
     more = confirm(apart_pairs(met, by, found, carried, compare, cell))
     return components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 

@@ -46,6 +46,8 @@ PROBES = 1 + TURNED
 #: Bits of the smallest shingle hash, and the factors of its functions, one a segment.
 TAG_BITS = 16
 FACTORS = np.random.default_rng(20240401).integers(0, 1 << 63, SEGMENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Buckets of a node, the fullest, in which it meets the pivot first.
+FULLEST = 4
 #: Standard deviations above the expected distance at which a pair is still near enough.
 SLACK = 3.0
 
@@ -138,7 +140,7 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     met = company(nodes.select("node", F.explode("keys").alias("key")), ["key"])
     joined = linked(
         met, ["key"], lambda pairs: within(pairs, nodes.select("node", "p"), far), lambda pairs: confirmed(pairs, nodes, df, key, text, shingle, 100 * similarity),
-        nodes.select("node", "p", "keys"), lambda run: cell_pairs(run, far), cell,
+        nodes.select("node", "p", "keys"), lambda run: cell_pairs(run, far), cell, FULLEST,
     )
     groups, n = classes(nodes, joined)
     return prints.select("doc_id", "h").join(small_side(groups, n, 48), "h").select(F.col("doc_id").alias("node"), F.col("component_id").alias("root"))
