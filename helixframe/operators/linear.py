@@ -48,6 +48,13 @@ def summed(df: DataFrame, vector: str, partial: Callable[[np.ndarray], Matrices]
         if total is not None:
             yield _packed(total)
 
+    rows = df.select(vec.as_double(vector).alias("v")).filter("v is not null").mapInArrow(first, schema)
+    return _add_packed(rows, add, rows.rdd.getNumPartitions())
+
+
+def _add_packed(rows: DataFrame, add: Callable[[Matrices, Matrices], Matrices], parts: int) -> Matrices | None:
+    """Packed matrices, of each of `parts` partitions a row, put together: over groups of partitions, then on the driver."""
+
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
@@ -57,10 +64,9 @@ def summed(df: DataFrame, vector: str, partial: Callable[[np.ndarray], Matrices]
         if total is not None:
             yield _packed(total)
 
-    rows = df.select(vec.as_double(vector).alias("v")).filter("v is not null").mapInArrow(first, schema)
-    groups = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
+    groups = max(1, int(parts**0.5))
     if groups > 1:
-        rows = rows.repartition(groups).mapInArrow(again, schema)
+        rows = rows.repartition(groups).mapInArrow(again, "parts array<binary>, shapes array<array<long>>")
     total = None
     for r in rows.collect():  # a row a group, of a size that the vectors' length sets
         found = _unpacked(r.parts, r.shapes)

@@ -26,6 +26,7 @@ from . import sampling
 from .graph import communities as communities  # of this module's methods
 from .linear import pca, scaled
 from .neighbours import knn
+from .network import Network
 
 
 def with_features(df: DataFrame, vector: str, out: str = "_features", normalise: bool = False) -> DataFrame:
@@ -69,7 +70,7 @@ ABOUT = "classes string, normalise boolean, kind string, task string, layer stri
 
 
 class Classifier:
-    """A network or a forest on vectors, with optional calibration of its probabilities."""
+    """A network, a perceptron of sigmoid layers or a forest on vectors, with optional calibration of its probabilities."""
 
     def __init__(self, classes: Sequence[str], model, normalise: bool, calibrators: list | None = None, metadata: dict | None = None):
         self.classes, self.model, self.normalise = list(classes), model, normalise
@@ -79,6 +80,9 @@ class Classifier:
     def fit(cls, df: DataFrame, vector: str, label: str, classes: Sequence[str], kind: str = "network", hidden: Sequence[int] = (512, 128), normalise: bool = False, iterations: int = 200, trees: int = 100, depth: int = 10, seed: int = 42, metadata: dict | None = None) -> Classifier:
         rows = with_features(df, vector, normalise=normalise).select("_features", F.col(label).cast("double").alias("_label"))
         if kind == "network":
+            columns = df.select((vec.unit(vec.as_double(vector)) if normalise else vec.as_double(vector)).alias("_v"), F.col(label).alias("_label"))
+            return cls(classes, Network.fit(columns, "_v", "_label", len(classes), hidden, iterations, seed=seed), normalise, metadata=metadata)
+        if kind == "perceptron":
             size = rows.select(F.size(vector_to_array("_features"))).first()[0]
             est = MultilayerPerceptronClassifier(layers=[size, *hidden, max(2, len(classes))], maxIter=iterations, seed=seed, featuresCol="_features", labelCol="_label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_pred")
         elif kind == "forest":
@@ -88,7 +92,9 @@ class Classifier:
         return cls(classes, est.fit(rows), normalise, metadata=metadata)
 
     def probabilities(self, df: DataFrame, vector: str, out: str = "probabilities") -> DataFrame:
-        if isinstance(self.model, MultilayerPerceptronClassificationModel):
+        if isinstance(self.model, Network):
+            scored = self.model.probabilities(df, vector, out, self.normalise)
+        elif isinstance(self.model, MultilayerPerceptronClassificationModel):
             scored = network_probabilities(df, vector, self.model, self.normalise, out)
         else:
             scored = self.model.transform(with_features(df, vector, normalise=self.normalise))
@@ -115,7 +121,10 @@ class Classifier:
 
     def save(self, path: str) -> None:
         """The model and a row of what else describes it, its calibrators included."""
-        self.model.write().overwrite().save(f"{path}/model")
+        if isinstance(self.model, Network):
+            self.model.save(f"{path}/model")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
         spark = SparkSession.active()
         rows = [(",".join(self.classes), self.normalise, type(self.model).__name__, str(self.metadata.get("task", "")), str(self.metadata.get("layer", "")), json.dumps(self.calibrators))]
         spark.createDataFrame(rows, ABOUT).coalesce(1).write.mode("overwrite").json(f"{path}/about")
@@ -123,8 +132,8 @@ class Classifier:
     @classmethod
     def load(cls, spark, path: str) -> Classifier:
         about = spark.read.schema(ABOUT).json(f"{path}/about").first()
-        kind = {"MultilayerPerceptronClassificationModel": MultilayerPerceptronClassificationModel, "RandomForestClassificationModel": RandomForestClassificationModel}[about.kind]
-        return cls(about.classes.split(","), kind.load(f"{path}/model"), bool(about.normalise), json.loads(about.calibrators or "[]"), {"task": about.task, "layer": about.layer})
+        kind = {"MultilayerPerceptronClassificationModel": MultilayerPerceptronClassificationModel, "RandomForestClassificationModel": RandomForestClassificationModel, "Network": None}[about.kind]
+        return cls(about.classes.split(","), kind.load(f"{path}/model") if kind else Network.load(spark, f"{path}/model"), bool(about.normalise), json.loads(about.calibrators or "[]"), {"task": about.task, "layer": about.layer})
 
 
 def calibrated(p: str, step: dict) -> Column:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import rules, seq, vec
-from helixframe.operators import graph, kmers, ml
+from helixframe.operators import graph, kmers, ml, network
 from helixframe.operators import intervals as I
 from helixframe.operators import lookups as L
 from helixframe.operators import metrics as M
@@ -498,6 +498,55 @@ def test_classifier_trains_calibrates_and_comes_back(spark, tmp_path):
     assert ci["accuracy"].low <= ci["accuracy"].value <= ci["accuracy"].high
 
 
+def test_gradients_of_a_network_equal_differences():
+    rng = np.random.default_rng(21)
+    layers = network.start_layers([4, 6, 5, 3], rng)
+    x, y = rng.normal(size=(30, 4)), rng.integers(0, 3, 30)
+
+    def loss(ls):
+        p = network.forward(ls, x)[-1]
+        return -np.log(p[np.arange(30), y]).mean() + 0.3 / 30 * sum((w**2).sum() for w in ls[::2]) / 2
+
+    for i, g in enumerate(network.gradients(layers, x, y, 0.3)):
+        for at in list(np.ndindex(g.shape))[:: max(1, g.size // 5)]:
+            moved = [a.copy() for a in layers]
+            moved[i][at] += 1e-6
+            back = [a.copy() for a in layers]
+            back[i][at] -= 1e-6
+            assert np.isclose((loss(moved) - loss(back)) / 2e-6, g[at], atol=1e-6)
+
+
+def rings(n, seed):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 2, n)
+    angle, far = rng.uniform(0, 2 * np.pi, n), 1 + y + rng.normal(0, 0.15, n)
+    return np.stack([np.cos(angle) * far, np.sin(angle) * far, rng.normal(size=n)], 1), y
+
+
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_a_network_learns_rings_stops_early_and_comes_back(spark, tmp_path, partitions):
+    x, y = rings(1800, 1)
+    net = network.Network.fit(vectors(spark, x, y), "embedding", "label", 2, (16, 8), epochs=60, batch=50, rate=0.01, patience=5, partitions=partitions)
+    assert len(net.losses) <= 61 and min(net.losses) < 0.2 < net.losses[0] and net.sizes == [3, 16, 8, 2]
+    tx, ty = rings(600, 2)
+    test = vectors(spark, tx, ty).unionByName(spark.createDataFrame([(9999, None, 0)], "vec_id long, embedding array<double>, label int"))
+    p = {r.vec_id: r.p for r in net.probabilities(test, "embedding", "p").collect()}
+    assert p.pop(9999) is None and np.mean([(p[i][1] > 0.5) == ty[i] for i in range(600)]) > 0.95
+    net.save(str(tmp_path / "net"))
+    again = network.Network.load(spark, str(tmp_path / "net"))
+    assert again.losses == net.losses and all(np.array_equal(a, b) for a, b in zip(again.layers, net.layers, strict=True))
+
+
+def test_a_network_without_signal_stops(spark):
+    rng = np.random.default_rng(22)
+    df = vectors(spark, rng.normal(size=(400, 3)), rng.integers(0, 2, 400))
+    net = network.Network.fit(df, "embedding", "label", 2, (8,), epochs=200, batch=40, rate=0.05, patience=3)
+    assert len(net.losses) < 60 and min(net.losses) < 0.75
+    with pytest.raises(ValueError):
+        network.Network.fit(df.limit(0), "embedding", "label", 2)
+    assert network.Network.fit(df.limit(2), "embedding", "label", 2, (4,), epochs=2).sizes == [3, 4, 2]
+
+
 def test_ami_of_equal_and_unrelated_labels(spark):
     from helixframe.operators.panels import adjusted_mutual_information as ami
 
@@ -596,7 +645,7 @@ def test_a_network_scores_as_its_library_does(spark, normalise):
     rng = np.random.default_rng(8)
     data = [(i, i % 3, rng.normal(size=5).tolist(), "x") for i in range(120)] + [(500, 0, [0.0] * 5, "zero")]
     df = spark.createDataFrame(data, "k int, label int, embedding array<double>, `a.b` string")
-    model = ml.Classifier.fit(df, "embedding", "label", ["a", "b", "c"], hidden=(7, 4), iterations=15, normalise=normalise)
+    model = ml.Classifier.fit(df, "embedding", "label", ["a", "b", "c"], kind="perceptron", hidden=(7, 4), iterations=15, normalise=normalise)
     want = {r.k: r.p for r in model.model.transform(ml.with_features(df, "embedding", normalise=normalise)).select("k", vector_to_array("_p").alias("p")).collect()}
     more = df.unionByName(spark.createDataFrame([(900, 0, None, "null")], df.schema))
     got = model.probabilities(more, "embedding")
