@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, small_side
+from .common import cut, fresh, slices, small_side
 from .near import CELL, Pairs, classes, company, confirmed, digest, linked, matrix, others_of, paired, shingle_hashes
 
 #: Bands of a signature, and minima of a band: one byte each, so that a band's key is one long.
@@ -57,7 +57,7 @@ def set_prints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     schema = T.StructType([src.schema["doc_id"], *T._parse_datatype_string("n long, h binary, sig array<long>")])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, prints = [], [], []
             for t in batch.column(1):
                 hashes = shingle_hashes(t.as_py(), shingle)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import cut, slices, small_side
 from .components import components
 
 #: Nodes of a bucket that are compared in one cell, a side.
@@ -56,7 +56,7 @@ def node_sets(needed: DataFrame, df: DataFrame, key: str, text: str, shingle: in
     src = src.join(small, F.col("id").eqNullSafe(F.col("_least")), "left_semi").select("t")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [s for t in batch.column(0) if len(s := shingle_hashes(t.as_py(), shingle))]
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["h", "x"])
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, small_side
+from .common import cut, fresh, slices, small_side
 from .near import CELL, Pairs, classes, company, confirmed, digest, linked, matrix, others_of, paired, shingle_hashes
 
 #: 64-bit words of a fingerprint; segments of its first words, bits of each.
@@ -95,7 +95,7 @@ def wide_prints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     schema = T.StructType([src.schema["doc_id"], *T._parse_datatype_string("h binary, p array<long>, keys array<long>")])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, digests, prints, keys = [], [], [], []
             for i, t in enumerate(batch.column(1)):
                 hashes = shingle_hashes(t.as_py(), shingle)
