@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .persist import cut
+from .persist import written
 
 #: Shares of the nodes (one in so many) that may move together, tried one after another.
 SHARES = (2, 8)
 #: A rise of the modularity that is worth another turn.
-RISE = 1e-4
+RISE = 2e-3
 
 
 def pointed(pointers: DataFrame) -> DataFrame:
-    """(node, root): where the pointers (node, to) of a forest end, by doubling. A root points to itself, and every `to` is a node."""
-    now = cut(pointers)
+    """(node, root): where the pointers (node, to) of a forest end, by doubling, three times for each table that is written. A root points to itself, and every `to` is a node."""
+    now = written(pointers)
     while True:
-        ahead = now.select(F.col("node").alias("to"), F.col("to").alias("far"))
-        jumped = cut(now.join(ahead, "to").select("node", F.col("far").alias("to"), (F.col("to") != F.col("far")).alias("moved")))
+        start = now.select("node", F.col("to").alias("was"))
+        for _ in range(3):
+            now = now.join(now.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to"))
+        jumped = written(now.join(start, "node"))
         now = jumped.select("node", "to")
-        if not jumped.filter("moved").limit(1).count():
+        if not jumped.filter("to <> was").limit(1).count():
             return now.withColumnRenamed("to", "root")
 
 
@@ -31,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     followed to their ends, and what is joined becomes one node.
     """
     both = F.inline(F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-    links = cut(edges.select(both).distinct())
+    links = written(edges.select(both).distinct())
     members = links.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     while True:
         links = links.filter("u <> v")
@@ -39,8 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
             return members
         hooks = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("to"))
         roots = pointed(hooks)
-        members = cut(members.join(roots.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-        links = cut(links.join(roots.toDF("u", "a"), "u").join(roots.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        members = written(members.join(roots.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        links = written(links.join(roots.toDF("u", "a"), "u").join(roots.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def _settled(links: DataFrame, where: DataFrame, total: float, rise: float) -> D
     """where, once no node gains by moving, or no share of those that do raises the modularity by `rise`."""
     quality, turn, step = _quality(links, where, total), 0, 0
     while step < len(SHARES):
-        tried = cut(_moved(links, where, total, turn, SHARES[step]))
+        tried = written(_moved(links, where, total, turn, SHARES[step]))
         turn += 1
         better = _quality(links, tried.select("n", "c"), total)
         if better > quality + rise:
@@ -110,16 +112,16 @@ def communities(edges: DataFrame, least: int = 2, rise: float = RISE) -> DataFra
     is split into its connected parts. The parts become nodes, and it starts again, until
     nothing changes. Every community is connected.
     """
-    links = cut(both_ways(edges))
-    members = cut(links.select(F.col("src").alias("node")).distinct().withColumn("at", F.col("node")))
+    links = written(both_ways(edges))
+    members = written(links.select(F.col("src").alias("node")).distinct().withColumn("at", F.col("node")))
     total = links.agg(F.sum("w")).first()[0]
     while total:
-        start = cut(links.groupBy(F.col("src").alias("n")).agg(F.sum("w").alias("k")).select("n", "k", F.col("n").alias("c")))
-        parts = cut(connected(links, _settled(links, start, total, rise)))
+        start = written(links.groupBy(F.col("src").alias("n")).agg(F.sum("w").alias("k")).select("n", "k", F.col("n").alias("c")))
+        parts = written(connected(links, _settled(links, start, total, rise)))
         if not parts.filter("n <> c").limit(1).count():
             break
-        members = cut(members.join(parts.select(F.col("n").alias("at"), "c"), "at").select("node", F.col("c").alias("at")))
+        members = written(members.join(parts.select(F.col("n").alias("at"), "c"), "at").select("node", F.col("c").alias("at")))
         a, b = parts.select(F.col("n").alias("src"), F.col("c").alias("a")), parts.select(F.col("n").alias("dst"), F.col("c").alias("b"))
-        links = cut(links.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+        links = written(links.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
     sizes = members.groupBy("at").count()
     return members.join(sizes, "at").select("node", F.when(F.col("count") >= least, F.col("at")).otherwise(-1).alias("cluster"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once, without its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for loops: a checkpoint keeps the planner's estimate of its size, which a join multiplies in every turn; a table has the size of its files."""
+    path = f"{shared_folder(df.sparkSession)}/turn-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
