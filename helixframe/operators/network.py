@@ -132,11 +132,16 @@ class Network:
             state = {"layers": mean[:k], "first": mean[k : 2 * k], "second": mean[2 * k :], "t": int(round(t / learned))}
         return cls(best, losses)
 
-    def probabilities(self, df: DataFrame, vector: str, out: str, normalise: bool = False) -> DataFrame:
-        """df with the classes' probabilities, in single precision: matrix products over Arrow batches. A null vector has none."""
+    def probabilities(self, df: DataFrame, vector: str, out: str, normalise: bool = False, keep: Sequence[str] | None = None) -> DataFrame:
+        """df, or its columns `keep`, with the classes' probabilities, in single precision: matrix products over Arrow batches. A null vector has none.
+
+        Long vectors cost less to read than to hand back: without them in `keep` only the others return. They cost
+        still less as binary columns of `packed`, which are moved as they are and not number by number.
+        """
         shared = df.sparkSession.sparkContext.broadcast([a.astype(np.float32) for a in self.layers])
         place, last = df.columns.index(vector), self.sizes[-1]
-        schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+        kept = [i for i, c in enumerate(df.columns) if keep is None or c in keep]
+        schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(out, T.ArrayType(T.DoubleType()))])
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -144,14 +149,14 @@ class Network:
                 known = np.asarray(column.is_valid())
                 p = np.zeros((0, last))
                 if known.any():
-                    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(int(known.sum()), -1)
+                    x = _singles(column, int(known.sum()))
                     if normalise:
                         norms = np.linalg.norm(x, axis=1, keepdims=True)
                         x = x / np.where(norms > 0, norms, 1)
                     p = forward(shared.value, x)[-1]
                 ends = np.concatenate([[0], np.cumsum(np.where(known, last, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(p.astype(float).ravel()), mask=pa.array(~known))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), lists], names=[f.name for f in schema])
 
         return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(each, schema)
 
@@ -166,6 +171,30 @@ class Network:
         return cls([np.frombuffer(bytes(r["body"]), float).reshape(r["shape"]) for r in rows], json.loads(rows[0]["losses"] or "[]"))
 
 
+def _singles(column: pa.Array, known: int) -> np.ndarray:
+    """The vectors that are not null, in single precision, of arrays or of packed bytes."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return np.frombuffer(b"".join(column.drop_null().to_pylist()), "<f4").reshape(known, -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(known, -1)
+
+
+def packed(df: DataFrame, vector: str, out: str) -> DataFrame:
+    """df with a vector column as bytes of single precision, little end first; null stays null."""
+    place = df.columns.index(vector)
+    kept = [i for i, c in enumerate(df.columns) if c != out]
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(out, T.BinaryType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(place)
+            known = np.asarray(column.is_valid())
+            rows = iter(_singles(column, int(known.sum())).astype("<f4") if known.any() else ())
+            bodies = [next(rows).tobytes() if k else None for k in known]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(bodies, pa.binary())], names=[f.name for f in schema])
+
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(each, schema)
+
+
 def _pass(shared, batch: int, rate: float, decay: float, seed: list[int], learn: bool):
     """Of a partition one row: learned and held-out rows, their loss and the steps, and the state it reached, times the rows it learned from."""
 

@@ -532,6 +532,8 @@ def test_a_network_learns_rings_stops_early_and_comes_back(spark, tmp_path, part
     test = vectors(spark, tx, ty).unionByName(spark.createDataFrame([(9999, None, 0)], "vec_id long, embedding array<double>, label int"))
     p = {r.vec_id: r.p for r in net.probabilities(test, "embedding", "p").collect()}
     assert p.pop(9999) is None and np.mean([(p[i][1] > 0.5) == ty[i] for i in range(600)]) > 0.95
+    few = network.packed(test, "embedding", "embedding")
+    assert {r.vec_id: r.p for r in net.probabilities(few, "embedding", "p", keep=["vec_id"]).collect()} == {**p, 9999: None}
     net.save(str(tmp_path / "net"))
     again = network.Network.load(spark, str(tmp_path / "net"))
     assert again.losses == net.losses and all(np.array_equal(a, b) for a, b in zip(again.layers, net.layers, strict=True))
