@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BASES = "ACGT"
 COMPLEMENT = ("ACGTacgtNn", "TGCAtgcaNn")
 NOT_BASE = "[^ACGTN]"
+#: Bytes that are letters at once.
+TOKENS = 4096
 
 
 def _col(c: str | Column) -> Column:
@@ -86,11 +88,10 @@ def decoded(s: str | Column) -> Column:
 
 
 def byte_tokens(s: str | Column) -> Column:
-    """The UTF-8 bytes of a string, as numbers."""
-    digits = F.hex(F.encode(_col(s), "UTF-8"))
-    return F.when(_col(s) == "", F.array().cast("array<int>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest((F.length(digits) / 2).cast("int") - 1, F.lit(0))), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
-    )
+    """The UTF-8 bytes of a string, as numbers: as letters of one byte each, in blocks, so the work grows with the length."""
+    letters = F.decode(F.encode(_col(s), "UTF-8"), "ISO-8859-1")
+    blocks = F.regexp_extract_all(letters, F.lit(f"(?s).{{1,{TOKENS}}}"), F.lit(0))
+    return F.flatten(F.transform(blocks, lambda block: F.transform(F.split(block, ""), lambda x: F.ascii(x))))
 
 
 def resolve_n(s: str | Column, key: str | Column, seed: int = 42) -> Column:

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -279,6 +281,14 @@ def test_sequences(spark):
     assert len(r.n) == 4 and set(r.n) <= set("ACGT")
 
 
+def test_byte_tokens_of_a_long_text_take_time_by_its_length(spark):
+    text = "é\n\x00€😀z" * 20_000  # 240,000 bytes; each byte once encoded the whole text again
+    begun = time.monotonic()
+    rows = spark.createDataFrame([(text,), ("",), (None,)], "t string").select("t", seq.byte_tokens("t").alias("b")).collect()
+    assert time.monotonic() - begun < 20
+    assert [r.b for r in rows] == [list(text.encode()), [], None]
+
+
 def test_kmer_features():
     f = kmers.features("AAAA")
     assert f[0] == 1.0 and f[64] == 1.0 and f[80] == 0 and f[81] == 0
