@@ -1,8 +1,8 @@
 """Models: classifiers with calibration, reduction, clusterings, bootstrap intervals.
 
 Distributed fits use pyspark.ml. What it lacks is built of joins (community
-detection), of small numpy fits on the driver whose input is a bounded table (Platt
-scaling, the density clustering), or of Poisson weights (bootstrap).
+detection, density clusters), of small numpy fits on the driver whose input is a bounded
+table (Platt scaling), or of Poisson weights (bootstrap).
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions import vec
 from . import sampling
+from .density import density_clusters as density_clusters  # of this module's methods
 from .graph import communities as communities  # of this module's methods
 from .linear import pca, scaled
 from .neighbours import knn
@@ -247,128 +248,6 @@ def bootstrap(df: DataFrame, truth: Column, pred: Column, rounds: int = 1000, se
     return df.sparkSession.createDataFrame(rows, "metric string, value double, low double, high double")
 
 
-#: Rows up to which the density clustering is exact on one machine; more are an error.
-DENSITY_ROWS = 20_000
-
-
-def density_clusters(df: DataFrame, key: str, vector: str, min_size: int = 5, min_samples: int | None = None, most: int = DENSITY_ROWS) -> DataFrame:
-    """(key, cluster): hierarchical density clusters, -1 noise.
-
-    Mutual reachability, minimum spanning tree, then of the condensed tree the clusters
-    of the largest excess of mass. The tree is one sequential object, so the whole
-    table goes to one task, and tables over `most` rows are refused.
-    """
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"density clustering is for at most {most} rows; reduce or sample first")
-    kind = dict(df.dtypes)[key]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        labels = _density(np.stack(pdf["v"]), min_size, min_samples or min_size)
-        return pd.DataFrame({key: pdf["k"].to_numpy(), "cluster": labels})
-
-    rows = df.select(F.lit(0).alias("g"), F.col(key).alias("k"), vec.as_double(vector).alias("v"))
-    return rows.groupBy("g").applyInPandas(lambda pdf: run(pdf), f"{key} {kind}, cluster int")
-
-
-def _spanning_tree(x: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Edges (a, b, weight) of the minimum spanning tree under mutual reachability, grown from the first row."""
-    n = len(x)
-    best, link = np.full(n, np.inf), np.zeros(n, int)
-    inside = np.zeros(n, bool)
-    at, edges = 0, []
-    for _ in range(n - 1):
-        inside[at] = True
-        d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(1)), core), core[at])
-        closer = (d < best) & ~inside
-        best[closer], link[closer] = d[closer], at
-        at = int(np.argmin(np.where(inside, np.inf, best)))
-        edges.append((link[at], at, best[at]))
-    return np.array(edges, dtype=[("a", int), ("b", int), ("w", float)])
-
-
-def _density(x: np.ndarray, min_size: int, min_samples: int) -> np.ndarray:
-    n = len(x)
-    labels = np.full(n, -1, np.int32)
-    if n < max(2, min_size):
-        return labels
-    k = min(min_samples, n) - 1
-    core = np.concatenate([np.partition(np.sqrt(np.maximum(((x[i : i + 256, None] - x[None]) ** 2).sum(2), 0)), k, axis=1)[:, k] for i in range(0, n, 256)])
-    edges = np.sort(_spanning_tree(x, core), order="w")
-    # merge tree: node n + i joins two subtrees at edges[i].w
-    parent, top = list(range(n)), {}
-    kids, size, height = {}, [1] * n, [0.0] * n
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    tree = list(range(n))
-    for i, (a, b, w) in enumerate(edges):
-        ra, rb = find(a), find(b)
-        node = n + i
-        kids[node] = (tree[ra], tree[rb])
-        size.append(size[tree[ra]] + size[tree[rb]])
-        height.append(float(w))
-        parent[rb] = ra
-        tree[ra] = node
-    # walk down: a split into two parts of min_size or more makes two clusters, smaller parts fall out as points
-    lam = lambda h: 1 / h if h > 0 else 1e12
-    birth, mass, points, children = {0: 0.0}, {0: 0.0}, {0: []}, {0: []}
-    stack, count = [(2 * n - 2, 0)], 1
-
-    def leaves(node: int) -> list[int]:
-        out, todo = [], [node]
-        while todo:
-            v = todo.pop()
-            out.append(v) if v < n else todo.extend(kids[v])
-        return out
-
-    while stack:
-        node, c = stack.pop()
-        if node < n:
-            points[c].append(node)
-            continue
-        level = lam(height[node])
-        a, b = kids[node]
-        big = [v for v in (a, b) if size[v] >= min_size]
-        if len(big) == 2:
-            mass[c] += size[node] * (level - birth[c])
-            for v in (a, b):
-                birth[count], mass[count], points[count], children[count] = level, 0.0, [], []
-                children[c].append(count)
-                stack.append((v, count))
-                count += 1
-        else:
-            for v in (a, b):
-                if v in big:
-                    stack.append((v, c))
-                else:
-                    gone = leaves(v)
-                    points[c] += gone
-                    mass[c] += len(gone) * (level - birth[c])
-    value, chosen = {}, set()
-    for c in range(count - 1, -1, -1):
-        below = sum(value[k] for k in children[c])
-        if c and mass[c] >= below:
-            value[c] = mass[c]
-            chosen.add(c)
-        else:
-            value[c] = below
-    top = [(k, None) for k in children[0]]
-    number = 0
-    while top:
-        c, owner = top.pop()
-        if owner is None and c in chosen:
-            owner, number = number, number + 1
-        if owner is not None:
-            labels[points[c]] = owner
-        top += [(k, owner) for k in children[c]]
-    return labels
-
-
 def cluster(df: DataFrame, key: str, vector: str, method: str = "kmeans", k: int | None = None, components: int | None = None, min_size: int = 5, scale: bool = True, seed: int = 42) -> DataFrame:
     """(key, cluster) after scaling and reduction; method: `density`, `kmeans` or `communities`."""
     rows = df.select(key, vec.as_double(vector).alias("_x"))
