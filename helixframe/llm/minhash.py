@@ -9,8 +9,7 @@ A pair at exactly 0.85 is missed with a probability of some 4 in a million, by t
 or the signature, a pair above it more seldom.
 
 Documents with equal sets are one node, so copies make no pairs. What meets is linked by a
-star in each bucket and then by comparing what is still apart (see `near`); a pair is told
-in the first band that it shares.
+star in each bucket and then by comparing what is still apart (see `near`).
 
 Null texts and texts without words have an empty set and link to nothing. Texts of fewer
 words than a shingle are one shingle. Very long texts are read whole. Repeated rows
@@ -92,14 +91,12 @@ def verified(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
 
 
 def cell_pairs(run: pa.Table, least: int) -> Pairs:
-    """The pairs of one cell: of different components, that share no earlier band, and agree in `least` bytes."""
-    band = run.column("band")[0].as_py()
+    """The pairs of one cell: of different components, that share a band and agree in `least` bytes."""
     sig = matrix(run, "sig", BANDS)
     octets = np.ascontiguousarray(sig).view(np.uint8)
     found = []
     for a, others in others_of(run):
-        if band:
-            others = others[~(sig[others, :band] == sig[a, :band]).any(1)]
+        others = others[(sig[others] == sig[a]).any(1)]
         others = others[(octets[others] == octets[a]).sum(1) >= least]
         if len(others):
             found.append((a, others))

@@ -5,14 +5,15 @@ so that a group of thousands of near copies needs no list of its pairs:
 
 1. A star: in every bucket each node meets one pivot, the node with the most company in
    all its buckets, which is the middle of its group.
-2. Only buckets that still hold two components are looked at again, whole: every pair of
-   nodes of different components is compared by what the operator carries of them, in
-   cells of at most `CELL` nodes a side, and told once. Those near enough are confirmed
-   on the full sets like the others.
+2. Only buckets that still hold two components are looked at again. Those with the same
+   pivot are one unit, in which a node comes once, however many buckets it shares with the
+   others. In a unit every pair of nodes of different components is compared by what the
+   operator carries of them, in cells of at most `CELL` nodes a side, and told in the first
+   unit that both are in. Those near enough are confirmed on the full sets like the others.
 
 So no pair that shares a bucket is left out unless its ends are already linked through
-others, and what a full bucket emits are near misses and links, not its pairs. Comparing
-in cells does grow with the square of a bucket whose nodes stay apart.
+others, and what a unit emits are near misses and links, not its pairs. Comparing
+in cells does grow with the square of a unit whose nodes stay apart.
 """
 
 from __future__ import annotations
@@ -91,26 +92,57 @@ def star_pairs(met: DataFrame, by: list[str], fullest: int | None = None) -> Dat
     return pairs.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
 
 
+def units_of(met: DataFrame, by: list[str], found: DataFrame) -> DataFrame:
+    """(unit, node, root), each once: the nodes of the buckets that hold two components of found (node, root), by the pivots of the buckets."""
+    info = met.groupBy("node").agg(F.sum("many").alias("w")).join(found, "node", "left").select("node", "w", F.coalesce("root", "node").alias("root"))
+    bucket = Window.partitionBy(*by)
+    rows = met.join(info, "node").select(
+        "node", "root", F.max_by("node", F.struct("w", "node")).over(bucket).alias("unit"), F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")
+    )
+    return rows.filter("lo < hi").select("unit", "node", "root").distinct()
+
+
 def apart_pairs(met: DataFrame, by: list[str], found: DataFrame, carried: DataFrame, compare: Callable[[pa.Table], Pairs], cell: int = CELL) -> DataFrame:
-    """(u, v) of one bucket in different components of found (node, root) that `compare` tells of a cell: rows by, i, j, s, node, root and what is carried of nodes."""
-    rows = met.join(found, "node", "left").select(*by, "node", "many", F.coalesce("root", "node").alias("root"))
-    live = cut(rows.groupBy(*by).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(*by))
-    rows = rows.join(small_side(live, live.count(), 24), by, "left_semi")
-    parts = F.ceil(F.col("many") / cell).cast("int")
-    rows = rows.withColumn("s", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select(*by, F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "s", "node", "root")
-    names = [*by, "i", "j"]
-    rows = rows.join(carried, "node").select(*names, "s", "node", "root", *(c for c in carried.columns if c != "node")).repartition(*names).sortWithinPartitions(*names)
+    """(u, v) of one unit in different components of found (node, root) that `compare` tells of a cell: rows unit, i, j, s, node, root and what is carried of nodes."""
+    units = cut(units_of(met, by, found))
+    own = units.groupBy("node").agg(F.sort_array(F.collect_list("unit")).alias("units"))  # a bucket of the node each, at most
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("unit")) / cell).cast("int")
+    rows = units.withColumn("parts", parts).withColumn("s", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("unit", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "s", "node", "root")
+    names = ["unit", "i", "j"]
+    rows = rows.join(carried.join(own, "node"), "node").select(*names, "s", "node", "root", "units", *(c for c in carried.columns if c != "node")).repartition(*names).sortWithinPartitions(*names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, len(names)):
-            u, v = compare(run)
+            u, v = first_met(run, *compare(run))
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
     return rows.mapInArrow(each, "u long, v long")
 
 
+def first_met(run: pa.Table, u: np.ndarray, v: np.ndarray) -> Pairs:
+    """The pairs of a cell whose ends are in no earlier unit together."""
+    unit = run.column("unit")[0].as_py()
+    lists = run.column("units").combine_chunks()
+    many = np.diff(lists.offsets.to_numpy())
+    before = np.full((len(lists), max(many, default=0)), np.iinfo(np.int64).max)
+    before[np.arange(before.shape[1]) < many[:, None]] = lists.flatten().to_numpy()
+    node = run.column("node").to_numpy()
+    order = np.argsort(node)
+    at = lambda x: order[np.searchsorted(node, x, sorter=order)]
+    a, b = at(u), at(v)
+    told = np.ones(len(u), bool)
+    starts = np.argsort(a, kind="stable")
+    for rows in np.split(starts, np.flatnonzero(np.diff(a[starts])) + 1):
+        if len(rows):
+            earlier = before[a[rows[0]]]
+            earlier = earlier[earlier < unit]
+            if len(earlier):
+                told[rows] = ~np.isin(before[b[rows]], earlier).any(1)
+    return u[told], v[told]
+
+
 def others_of(run: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     """(row, rows) of a cell: each row of its left side with those of its right side that are in other components, each pair once."""
     i, j = (run.column(c)[0].as_py() for c in ("i", "j"))

@@ -11,8 +11,7 @@ share, so that few of those meet, however many there are. Of pairs that meet the
 distance is verified, then the similarity itself on the shingles.
 
 Documents with equal sets are one node. What meets is linked by a star in each bucket and
-then by comparing what is still apart (see `near`); a pair is told in its first common bucket,
-so every pair that meets is linked, if near enough, however full its buckets are.
+then by comparing what is still apart (see `near`), so every pair that meets is linked, if near enough, however full its buckets are.
 
 Measured on 2168 pairs of near copies, 99.2 % of those at a similarity of 0.8 to 0.85 meet,
 and all above. Of pairs at exactly 0.8 one in 700 is then beyond the distance that is let through.
@@ -115,17 +114,11 @@ def within(pairs: DataFrame, prints: DataFrame, far: int) -> DataFrame:
 
 
 def cell_pairs(run: pa.Table, far: int) -> Pairs:
-    """The pairs of one cell: of different components, at most `far` bits apart, whose smallest common key is the cell's."""
-    key = run.column("key")[0].as_py()
-    at = (key >> (BITS + TAG_BITS)) * PROBES
-    keys, p = matrix(run, "keys", SEGMENTS * PROBES), matrix(run, "p", WORDS).view(np.uint64)
+    """The pairs of one cell: of different components, at most `far` bits apart."""
+    p = matrix(run, "p", WORDS).view(np.uint64)
     found = []
     for a, others in others_of(run):
         others = others[np.bitwise_count(p[others] ^ p[a]).sum(1, dtype=np.int64) <= far]
-        if len(others):
-            earlier = np.isin(keys[others, :at], keys[a, :at]).any(1)
-            here = keys[others, at : at + PROBES]
-            others = others[~earlier & ~(np.isin(here, keys[a, at : at + PROBES]) & (here < key)).any(1)]
         if len(others):
             found.append((a, others))
     return paired(run, found)
@@ -140,7 +133,7 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     met = company(nodes.select("node", F.explode("keys").alias("key")), ["key"])
     joined = linked(
         met, ["key"], lambda pairs: within(pairs, nodes.select("node", "p"), far), lambda pairs: confirmed(pairs, nodes, df, key, text, shingle, 100 * similarity),
-        nodes.select("node", "p", "keys"), lambda run: cell_pairs(run, far), cell, FULLEST,
+        nodes.select("node", "p"), lambda run: cell_pairs(run, far), cell, FULLEST,
     )
     groups, n = classes(nodes, joined)
     return prints.select("doc_id", "h").join(small_side(groups, n, 48), "h").select(F.col("doc_id").alias("node"), F.col("component_id").alias("root"))

@@ -110,6 +110,20 @@ def test_a_large_group_is_a_star_and_what_is_apart(spark):
         assert len(told) == len(set(told)) and set(told) == {(u, v) for u in range(0, 20, 2) for v in range(u + 2, 3000, 2)}
 
 
+def test_a_group_that_stays_apart_has_a_row_for_each_node_and_unit(spark):
+    # 500 nodes that share 80 buckets and are linked with nothing; one of them meets another, which is linked already elsewhere
+    rows = spark.range(500).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(79).cast("long"))).alias("key"), F.col("id").alias("node"))
+    met = near.company(rows.unionByName(spark.createDataFrame([(99, 3), (99, 700), (98, 700), (98, 701)], "key long, node long")), ["key"])
+    found = spark.createDataFrame([(700, 700), (701, 700)], "node long, root long")
+    units = near.units_of(met, ["key"], found)
+    assert units.count() == 501 and {r.node for r in units.collect()} == {*range(500), 700}  # 3 has the most company, so it is the pivot of all
+    carried = spark.range(702).select(F.col("id").alias("node"))
+    every = lambda run: near.paired(run, list(near.others_of(run)))
+    for cell in (1024, 90):
+        told = [(r.u, r.v) for r in near.apart_pairs(met, ["key"], found, carried, every, cell).collect()]
+        assert len(told) == len(set(told)) and {(u, v) for u in range(500) for v in range(u + 1, 500)} | {(3, 700)} <= set(told)
+
+
 def test_links_of_a_group_whose_ends_differ_are_all_found(spark):
     rng = random.Random(8)
     base = ["w" + str(rng.randrange(5000)) for _ in range(260)]
