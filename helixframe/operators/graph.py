@@ -11,6 +11,8 @@ from .persist import written
 SHARES = (2, 8)
 #: A rise of the modularity that is worth another turn.
 RISE = 2e-3
+#: Links of a partition that is kept for the turns.
+PART = 1 << 16
 
 
 def pointed(pointers: DataFrame) -> DataFrame:
@@ -33,7 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
     followed to their ends, and what is joined becomes one node.
     """
     both = F.inline(F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-    links = written(edges.select(both).distinct())
+    return _joined(written(edges.select(both).distinct()))
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """`components` of written links (u, v) in both directions."""
     members = links.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     while True:
         links = links.filter("u <> v")
@@ -54,53 +60,69 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def modularity(edges: DataFrame, members: DataFrame) -> float:
     """Of the communities (node, cluster) of edges (src, dst, weight)."""
     links = both_ways(edges)
-    where = members.select(F.col("node").alias("n"), F.col("cluster").alias("c"))
-    return _quality(links, where, links.agg(F.sum("w")).first()[0] or 0.0)
-
-
-def _quality(links: DataFrame, where: DataFrame, total: float) -> float:
-    """Modularity of where (n, c) over links in both directions."""
+    total = links.agg(F.sum("w")).first()[0]
     if not total:
         return 0.0
+    where = members.select(F.col("node").alias("n"), F.col("cluster").alias("c"))
     by = links.join(where.select(F.col("n").alias("src"), F.col("c").alias("a")), "src").join(where.select(F.col("n").alias("dst"), F.col("c").alias("b")), "dst")
-    sums = by.groupBy("a").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inside"))
-    return float(sums.agg(F.sum(F.col("inside") / total - F.pow(F.col("k") / total, 2))).first()[0])
+    inside = F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)
+    return _quality(by.select(F.col("a").alias("c"), F.col("w").alias("k"), inside.alias("inside")), total)
 
 
-def _moved(links: DataFrame, where: DataFrame, total: float, turn: int, share: int) -> DataFrame:
-    """(n, k, c): where (n, k, c) after every node in `share`, by a hash of the turn, has moved to the neighbouring community of the largest gain."""
-    mass = where.groupBy("c").agg(F.sum("k").alias("mass"))
-    to = links.filter("src <> dst").join(where.select(F.col("n").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("n"), "c").agg(F.sum("w").alias("w"))
-    own = where.select("n", "c", F.lit(0.0).alias("w"))
-    options = to.unionByName(own).groupBy("n", "c").agg(F.sum("w").alias("w")).join(mass, "c").join(where.select("n", "k", F.col("c").alias("old")), "n")
-    rest = F.col("mass") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)
-    gain = F.round(F.col("w") - F.col("k") * rest / F.lit(total), 9)
-    best = options.groupBy("n", "k", "old").agg(F.max(F.struct(gain.alias("g"), (F.col("c") == F.col("old")).alias("stay"), (-F.col("c")).alias("neg"))).alias("b"))
-    may = F.pmod(F.xxhash64("n", F.lit(turn)), F.lit(share)) == 0
-    return best.select("n", "k", F.when(may, -F.col("b.neg")).otherwise(F.col("old")).alias("c"), (F.col("old") != -F.col("b.neg")).alias("wants"))
+def _quality(rows: DataFrame, total: float) -> float:
+    """Modularity of communities c by the weights k, and of them those inside, of its rows."""
+    sums = rows.groupBy("c").agg(F.sum("k").alias("k"), F.sum("inside").alias("inside"))
+    return float(sums.agg(F.sum(F.col("inside") / total - F.pow(F.col("k") / total, 2))).first()[0])
+
 
+def options(links: DataFrame, where: DataFrame, total: float, parts: int) -> DataFrame:
+    """(n, k, loop, c, best, inside): of each node (n, k, loop, c) the neighbouring community of the largest gain, its own on a tie, and the weight inside its own.
 
-def _settled(links: DataFrame, where: DataFrame, total: float, rise: float) -> DataFrame:
-    """where, once no node gains by moving, or no share of those that do raises the modularity by `rise`."""
-    quality, turn, step = _quality(links, where, total), 0, 0
-    while step < len(SHARES):
-        tried = written(_moved(links, where, total, turn, SHARES[step]))
+    Links (src, dst, w) in both directions, without loops, in `parts` partitions by src, meet the nodes once and are moved once: nodes tell their neighbours where they are.
+    """
+    at = where.join(where.groupBy("c").agg(F.sum("k").alias("mass")), "c")
+    told = links.join(at.select(F.col("n").alias("src"), F.col("c").alias("to"), F.col("mass").alias("there")).hint("shuffle_hash"), "src")
+    to = told.select(F.col("dst").alias("n"), "to", "there", "w").repartition(parts, "n").groupBy("n", "to").agg(F.sum("w").alias("w"), F.max("there").alias("there"))
+    both = at.join(to, "n", "left")
+    gain = lambda w, mass: F.round(w - F.col("k") * mass / F.lit(total), 9)
+    other = F.max(F.when(F.col("to") != F.col("c"), F.struct(gain(F.col("w"), F.col("there")).alias("g"), (-F.col("to")).alias("neg"))))
+    same = F.coalesce(F.max(F.when(F.col("to") == F.col("c"), F.col("w"))), F.lit(0.0))
+    by = both.groupBy("n").agg(*(F.max(x).alias(x) for x in ("k", "loop", "c", "mass")), other.alias("b"), same.alias("same"))
+    leaves = F.col("b.g") > gain(F.col("same"), F.col("mass") - F.col("k"))
+    return by.select("n", "k", "loop", "c", F.when(leaves, -F.col("b.neg")).otherwise(F.col("c")).alias("best"), (F.col("same") + F.col("loop")).alias("inside"))
+
+
+def _moved(known: DataFrame, turn: int, share: int) -> DataFrame:
+    """(n, k, loop, c) of known options, after every node in `share`, by a hash of the turn, has moved."""
+    may = F.pmod(F.xxhash64("n", F.lit(turn)), F.lit(share)) == 0
+    return known.select("n", "k", "loop", F.when(may, F.col("best")).otherwise(F.col("c")).alias("c"))
+
+
+def _settled(links: DataFrame, total: float, rise: float) -> DataFrame:
+    """(n, c): communities of one node each, after moves until no node gains by one, or no share of those that do raises the modularity by `rise`. The modularity of a turn comes with its options."""
+    rows = F.col("src") == F.col("dst")
+    start = links.groupBy(F.col("src").alias("n")).agg(F.sum("w").alias("k"), F.sum(F.when(rows, F.col("w")).otherwise(0.0)).alias("loop"))
+    parts = 1 + links.count() // PART
+    near = links.filter(~rows).repartition(parts, "src").persist()
+    known = written(options(near, written(start.select("n", "k", "loop", F.col("n").alias("c"))), total, parts))
+    quality, turn, step = _quality(known, total), 0, 0
+    while step < len(SHARES) and known.filter("best <> c").limit(1).count():
+        tried = written(options(near, _moved(known, turn, SHARES[step]), total, parts))
         turn += 1
-        better = _quality(links, tried.select("n", "c"), total)
+        better = _quality(tried, total)
         if better > quality + rise:
-            where, quality, step = tried.drop("wants"), better, 0
-        elif not tried.filter("wants").limit(1).count():
-            break
+            known, quality, step = tried, better, 0
         else:
             step += 1  # fewer at once: nodes that moved together undid each other
-    return where
+    near.unpersist()
+    return known.select("n", "c")
 
 
 def connected(links: DataFrame, where: DataFrame) -> DataFrame:
     """(n, c): communities split into their connected parts, each named by its smallest node. That never lowers the modularity."""
     a, b = where.select(F.col("n").alias("src"), F.col("c").alias("a")), where.select(F.col("n").alias("dst"), F.col("c").alias("b"))
-    inside = links.join(a, "src").join(b, "dst").filter((F.col("a") == F.col("b")) & (F.col("src") < F.col("dst"))).select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    parts = components(inside)
+    inside = links.join(a, "src").join(b, "dst").filter((F.col("a") == F.col("b")) & (F.col("src") != F.col("dst")))
+    parts = _joined(written(inside.select(F.col("src").alias("u"), F.col("dst").alias("v"))))
     return where.select("n").join(parts.withColumnRenamed("node", "n"), "n", "left").select("n", F.coalesce("root", "n").alias("c"))
 
 
@@ -116,8 +138,7 @@ def communities(edges: DataFrame, least: int = 2, rise: float = RISE) -> DataFra
     members = written(links.select(F.col("src").alias("node")).distinct().withColumn("at", F.col("node")))
     total = links.agg(F.sum("w")).first()[0]
     while total:
-        start = written(links.groupBy(F.col("src").alias("n")).agg(F.sum("w").alias("k")).select("n", "k", F.col("n").alias("c")))
-        parts = written(connected(links, _settled(links, start, total, rise)))
+        parts = written(connected(links, _settled(links, total, rise)))
         if not parts.filter("n <> c").limit(1).count():
             break
         members = written(members.join(parts.select(F.col("n").alias("at"), "c"), "at").select("node", F.col("c").alias("at")))

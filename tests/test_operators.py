@@ -499,6 +499,34 @@ def test_communities_that_fall_apart_are_split(spark):
     assert {r.n: r.c for r in graph.connected(links, where).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
+def test_a_turn_of_communities_meets_the_links_once_and_tells_the_modularity(spark):
+    rng = np.random.default_rng(21)
+    edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 40, (120, 2))})  # some are loops, weights tie
+    df = spark.createDataFrame([(a, b, float(1 + (a + b) % 2)) for a, b in edges], "src long, dst long, weight double")
+    w = {(r.src, r.dst): r.w for r in graph.both_ways(df).collect()}
+    total, nodes = sum(w.values()), sorted({a for a, _ in w}) + [99]  # 99 has a loop only
+    w[99, 99] = 3.0
+    total += 3.0
+    k = {n: sum(x for (a, _), x in w.items() if a == n) for n in nodes}
+    at = {n: nodes[n % 7] for n in nodes}
+    mass = {c: sum(k[n] for n in nodes if at[n] == c) for c in set(at.values())}
+    want = {}
+    for n in nodes:
+        to = {c: sum(x for (a, b), x in w.items() if a == n != b and at[b] == c) for c in {at[n]} | {at[b] for a, b in w if a == n != b}}
+        gain = {c: round(x - k[n] * (mass[c] - (k[n] if c == at[n] else 0.0)) / total, 9) for c, x in to.items()}
+        want[n] = (max(gain, key=lambda c: (gain[c], c == at[n], -c)), to[at[n]] + w.get((n, n), 0.0))
+    links = spark.createDataFrame([(a, b, x) for (a, b), x in w.items() if a != b], "src long, dst long, w double").repartition(3, "src").persist()
+    where = spark.createDataFrame([(n, k[n], w.get((n, n), 0.0), at[n]) for n in nodes], "n long, k double, loop double, c long")
+    known = graph.options(links, where, total, 3)
+    assert {r.n: (r.best, round(r.inside, 6)) for r in known.collect()} == {n: (c, round(x, 6)) for n, (c, x) in want.items()}
+    plan = known._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 1 and len([x for x in plan.splitlines() if "Join" in x and "src#" in x]) == 1
+    links.unpersist()
+    both = [(a, b, x / 2) for (a, b), x in w.items()]  # each is taken in both directions
+    members = spark.createDataFrame(list(at.items()), "node long, cluster long")
+    assert np.isclose(graph._quality(known, total), graph.modularity(spark.createDataFrame(both, "src long, dst long, weight double"), members))
+
+
 def test_graph_components_and_modularity_by_hand(spark):
     rng = np.random.default_rng(15)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(i, i + 1) for i in range(200, 260)]
